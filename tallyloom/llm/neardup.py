@@ -32,7 +32,7 @@ LEAST_FREQUENT, TOP_FREQUENT, MOST_FREQUENT = 512, 4_096, 1_000_000
 #: Frequent words per part of an equality list.
 PART_WORDS = 4.4
 #: Postings of a bucket, and of a part of a long list.
-BUCKET_POSTINGS, LIST_POSTINGS = 250_000, 65_536
+BUCKET_POSTINGS, LIST_POSTINGS = 64_000, 65_536
 #: Sizes and rare-word counts from here on are put into classes of about 3 % in the plan's histogram.
 FINE = 128
 
