@@ -1 +1 @@
-
+"""Sources, the registry of sources, adapters, and sinks."""

@@ -1 +1 @@
-
+"""Structured Streaming over request logs."""
