@@ -125,7 +125,7 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
     actions, summary = F.coalesce(t["actions_requested"], F.array().cast("array<string>")), F.coalesce(t["summary"], F.lit(""))
     r = F.struct(*[ref[_C(f)].alias(_C(f)) for f in SCALAR_FIELDS], actions.alias(LIST_FIELD), summary.alias("summary"))
     stages = F.array(*[F.struct(F.lit(s).alias("stage"), *[F.lit(v).alias(n) for n, v in zip(("swap", "unparsed", "invalid", "padded"), STAGES[s], strict=True)]) for s in STAGES])
-    rows = records(spark, d).select("record_id", "source_dataset", ruled.alias("ruled"), r.alias("r"), F.inline(stages))
+    rows = records(spark, d).select("record_id", "source_dataset", ruled.alias("ruled"), r.alias("r")).select("*", F.inline(stages))
     h = lambda what: F.substring(F.sha1(F.concat(F.col("record_id"), F.lit(":"), F.col("stage"), F.lit(f":{what}"))), 1, 2)
     swapped = lambda what: h(what) < F.col("swap")
     acts = F.col(f"r.{LIST_FIELD}")

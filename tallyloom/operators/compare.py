@@ -18,9 +18,16 @@ def staged(scored: DataFrame, stage: str, name: str, score: str = "penalised_sco
 
 
 def three_way(scored: DataFrame, stages: tuple[str, str, str] = ("baseline", "sft", "dpo"), score: str = "penalised_score") -> DataFrame:
-    """The records that all three stages predicted, side by side (prefixes b, s, d); joined on record_id only, one exchange each."""
-    b, s, d = (staged(scored, st, n, score) for st, n in zip(stages, "bsd", strict=True))
-    return b.join(s, "record_id").join(d, "record_id")
+    """The records that all three stages predicted, side by side (prefixes b, s, d).
+
+    An inner join of three filters of one table is one aggregation by record: the table is read once and exchanged once,
+    and of repeated records of a stage the last by ``ordinal`` counts, as in :func:`staged`.
+    """
+    cols = {"score": F.col(score), "syntax": F.col("syntax"), "exact": F.col("exact"), "output": F.col("raw_output")}
+    order = F.col("ordinal") if "ordinal" in scored.columns else F.lit(0)
+    row = F.struct(order.alias("o"), *[c.alias(n) for n, c in cols.items()])
+    sides = scored.groupBy("record_id").agg(*[F.max(F.when(F.col("stage") == st, row)).alias(n) for st, n in zip(stages, "bsd", strict=True)])
+    return sides.where("record_id is not null and b is not null and s is not null and d is not null").select("record_id", *[F.col(f"{n}.{c}").alias(f"{n}_{c}") for n in "bsd" for c in cols])
 
 
 def evidence(joined: DataFrame, k: int = 3) -> DataFrame:

@@ -33,8 +33,8 @@ def read_jsonl_or_empty(spark: SparkSession, path: str, schema: T.StructType | s
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with a header: all strings, quoted line breaks allowed, a bare empty cell null, a quoted one empty. Header names become snake_case."""
-    rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, quote='"', escape='"', emptyValue="")
+    """A CSV with a header: all strings, quoted line breaks allowed, empty cells are empty strings or null, never the text "null". Header names become snake_case."""
+    rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, quote='"', escape='"', nullValue="\u0000", emptyValue="")
     return rows.toDF(*["_".join("".join(ch if ch.isalnum() else " " for ch in c.lower()).split()) for c in rows.columns])
 
 
