@@ -33,7 +33,7 @@ def eval_policy(df: DataFrame, allow_synthetic: bool) -> DataFrame:
 
 
 def build(raw: dict[Source, DataFrame] | list[tuple[Source, DataFrame]], profile: Profile) -> tuple[DataFrame, DataFrame]:
-    """(canonical rows, rejects) of raw source frames; the canonical rows are written once to the shared folder before they are counted."""
+    """(canonical rows, rejects) of raw source frames; rows are written to the shared folder after adaptation and once more before leaks are removed."""
     accepted, refused = None, None
     pairs = list(raw.items()) if isinstance(raw, dict) else raw
     for source, df in pairs:
@@ -54,6 +54,9 @@ def build(raw: dict[Source, DataFrame] | list[tuple[Source, DataFrame]], profile
         }
         meta = F.struct(*[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds.items()])
         train = train.unionByName(more.select("record_id", "split", "source_dataset", "input_text", F.col("target").cast(rows.schema["target"].dataType).alias("target"), meta.alias("metadata")))
-        train = sampling.cap_synthetic(train.withColumn("__s", F.col("metadata.synthetic")), "__s", "record_id", profile.max_synthetic_share, profile.seed + 200).drop("__s")
-    both = train.unionByName(held).withColumn("lineage_root_id", F.col("metadata.lineage_root_id"))
-    return written(lineage.without_leaks(both).drop("lineage_root_id"), "canonical"), refused
+        # The cap is decided on ids alone; texts of variants that it drops are never written.
+        ids = written(train.select("record_id", F.coalesce(F.col("metadata.synthetic"), F.lit(False)).alias("synthetic")), "variants")
+        kept = sampling.cap_synthetic(ids, "synthetic", "record_id", profile.max_synthetic_share, profile.seed + 200)
+        train = train.join(kept.select("record_id").distinct(), "record_id", "left_semi")
+    both = written(train.unionByName(held).withColumn("lineage_root_id", F.col("metadata.lineage_root_id")), "canonical")
+    return lineage.without_leaks(both).drop("lineage_root_id"), refused
