@@ -54,7 +54,7 @@ def classes(records: DataFrame, record_id: str, text: str) -> tuple[DataFrame, D
     Null and blank texts, texts without a word and null ids belong to no class. A record with several texts is a member
     of several classes. The pair (hi, lo) is a 128-bit hash of the set.
     """
-    toks = F.array_sort(F.array_distinct(hashed(words(F.col(text)))))
+    toks = F.sort_array(F.array_distinct(hashed(words(F.col(text)))))
     hi, lo = F.xxhash64("toks"), F.xxhash64(F.lit("second"), F.reverse("toks"))
     sets = records.select(F.col(record_id).cast("string").alias("record_id"), toks.alias("toks")).where("record_id is not null and size(toks) > 0")
     # One row per class leaves the first shuffle; the copies of a class meet only as partial aggregates.
