@@ -152,6 +152,11 @@ def _allowed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a["kind"] != 2) | ((a["mark"] | b["mark"]) > 0)
 
 
+def _lead(rows: np.ndarray) -> np.ndarray:
+    """In a list of a frequent word only hard sets need comparing with all."""
+    return (rows["kind"] != 2) | (rows["mark"] > 0)
+
+
 def similar_classes(sets: DataFrame, sim: Similarity | None = None) -> DataFrame:
     """(a_hi, a_lo, b_hi, b_lo, likeness): every pair of different classes that reaches the similarity, written to the shared folder."""
     sim = sim or Similarity()
@@ -159,7 +164,7 @@ def similar_classes(sets: DataFrame, sim: Similarity | None = None) -> DataFrame
     spark = sets.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(order)  # at most MOST_FREQUENT words
-    close = candidates(sets.select("hi", "toks"), lambda b: emitted(b, shared.value), max(least, int(rows * per_set / BUCKET_POSTINGS) + 1), sim, _allowed)
+    close = candidates(sets.select("hi", "toks"), lambda b: emitted(b, shared.value), max(least, int(rows * per_set / BUCKET_POSTINGS) + 1), sim, _allowed, _lead)
     left = sets.select(F.col("hi").alias("a"), F.col("lo").alias("a_lo"), F.col("toks").alias("x"))
     right = sets.select(F.col("hi").alias("b"), F.col("lo").alias("b_lo"), F.col("toks").alias("y"))
     both = F.size(F.array_intersect("x", "y"))

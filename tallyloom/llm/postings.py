@@ -109,6 +109,8 @@ def split_lists(postings: np.ndarray, parts: np.ndarray) -> np.ndarray:
 
 
 Allowed = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: Which postings of a list lead: every allowed pair has at least one, so the others are never compared with each other.
+Lead = Callable[[np.ndarray], np.ndarray]
 
 
 def _close(a: np.ndarray, b: np.ndarray, sim: Similarity, allowed: Allowed) -> np.ndarray:
@@ -120,42 +122,57 @@ def _close(a: np.ndarray, b: np.ndarray, sim: Similarity, allowed: Allowed) -> n
     return (apart <= total - 2 * need) & (left >= need) & (a["cid"] != b["cid"]) & ((a["block"] != b["block"]) | (a["block"] == ANY)) & allowed(a, b)
 
 
-def _long(rows: np.ndarray, sim: Similarity, allowed: Allowed) -> Iterator[np.ndarray]:
-    """Pairs of one long list, sorted by size: blocks of rows against the stretch of columns that size allows.
+def _by_size(rows: np.ndarray) -> np.ndarray:
+    return rows[np.lexsort((rows["b1"], rows["b0"], rows["size"]))]
+
+
+def _block(block: np.ndarray, cols: np.ndarray, sim: Similarity, allowed: Allowed, first: int | None) -> np.ndarray:
+    """Pairs of a block of rows, sorted by size, with columns; with ``first`` only columns behind a row count, column 0 being row ``first``.
 
     Columns are skipped in whole when their positions leave too few elements, and when the block's first set already
     tells that they are too far: a set at distance r from it can only be close to columns within r more bits.
     """
-    rows = rows[np.lexsort((rows["b1"], rows["b0"], rows["size"]))]
-    n, at = len(rows), 0
-    size = rows["size"].astype(np.int64)
-    while at < n - 1:
-        stop = np.searchsorted(size, sim.reach(size[at : at + 1])[0], "right")
-        step = max(1, min(256, CELLS // max(1, stop - at)))
-        block = rows[at : at + step]
-        stop = np.searchsorted(size, sim.reach(size[at + len(block) - 1 : at + len(block)])[0], "right")
-        columns = np.arange(at + 1, stop)
-        cols = rows[columns]
-        need = sim.overlap(size[at] + size[columns])
-        keep = cols["size"].astype(np.int64) - cols["low"] >= need
-        lead = np.bitwise_count(block["b0"][0] ^ cols["b0"]).astype(np.int64) + np.bitwise_count(block["b1"][0] ^ cols["b1"])
-        radius = int((np.bitwise_count(block["b0"][0] ^ block["b0"]).astype(np.int64) + np.bitwise_count(block["b1"][0] ^ block["b1"])).max())
-        top = size[at + len(block) - 1] + size[columns]
-        keep &= lead <= top - 2 * sim.overlap(top) + 2 + radius
-        columns, cols = columns[keep], cols[keep]
-        if len(cols):
-            ok = np.bitwise_count(block["b0"][:, None] ^ cols["b0"][None, :]).astype(np.uint8)
-            ok += np.bitwise_count(block["b1"][:, None] ^ cols["b1"][None, :])
-            limit = top[keep] - 2 * sim.overlap(top[keep]) + 2
-            i, j = np.nonzero(ok <= np.minimum(limit, 255)[None, :])
-            later = columns[j] > at + i
-            i, j = i[later], j[later]
-            good = _close(block[i], cols[j], sim, allowed)
-            yield np.stack([block["cid"][i[good]], cols["cid"][j[good]]], axis=1)
-        at += len(block)
-
-
-def joined(postings: np.ndarray, sim: Similarity, allowed: Allowed) -> np.ndarray:
+    least, most = int(block["size"][0]), int(block["size"][-1])
+    size = cols["size"].astype(np.int64)
+    keep = size - cols["low"] >= sim.overlap(least + size)
+    top = most + size
+    limit = top - 2 * sim.overlap(top) + 2
+    lead = np.bitwise_count(block["b0"][0] ^ cols["b0"]).astype(np.int64) + np.bitwise_count(block["b1"][0] ^ cols["b1"])
+    radius = int((np.bitwise_count(block["b0"][0] ^ block["b0"]).astype(np.int64) + np.bitwise_count(block["b1"][0] ^ block["b1"])).max())
+    keep &= lead <= limit + radius
+    at = np.flatnonzero(keep)
+    if not len(at):
+        return np.zeros((0, 2), np.int64)
+    cols = cols[at]
+    apart = np.bitwise_count(block["b0"][:, None] ^ cols["b0"][None, :])
+    apart += np.bitwise_count(block["b1"][:, None] ^ cols["b1"][None, :])
+    i, j = np.nonzero(apart <= np.minimum(limit[at], 255).astype(np.uint8)[None, :])
+    if first is not None:
+        behind = at[j] + first > i
+        i, j = i[behind], j[behind]
+    good = _close(block[i], cols[j], sim, allowed)
+    return np.stack([block["cid"][i[good]], cols["cid"][j[good]]], axis=1)
+
+
+def _long(rows: np.ndarray, sim: Similarity, allowed: Allowed, lead: Lead) -> Iterator[np.ndarray]:
+    """Pairs of one long list: blocks of leading rows against the stretch of columns that size allows."""
+    leading = lead(rows)
+    heads, rest = _by_size(rows[leading]), _by_size(rows[~leading])
+    for cols, within in ((heads, True), (rest, False)):
+        size = cols["size"].astype(np.int64)
+        own = heads["size"].astype(np.int64)
+        at = 0
+        while at < len(heads) and len(cols):
+            begin = at + 1 if within else int(np.searchsorted(size, -(-sim.num * own[at] // sim.den)))
+            stop = int(np.searchsorted(size, sim.reach(own[at]), "right"))
+            step = max(1, min(256, CELLS // max(1, stop - begin), len(heads) - at))
+            stop = int(np.searchsorted(size, sim.reach(own[at + step - 1]), "right"))
+            if stop > begin:
+                yield _block(heads[at : at + step], cols[begin:stop], sim, allowed, 1 if within else None)
+            at += step
+
+
+def joined(postings: np.ndarray, sim: Similarity, allowed: Allowed, lead: Lead) -> np.ndarray:
     """Distinct candidate pairs (smaller cid, larger cid) of a bucket of whole lists."""
     order = np.lexsort((postings["size"], postings["key"], postings["kind"]))
     postings = postings[order]
@@ -177,7 +194,7 @@ def joined(postings: np.ndarray, sim: Similarity, allowed: Allowed) -> np.ndarra
             good = _close(a, b, sim, allowed)
             out.append(np.stack([a["cid"][good], b["cid"][good]], axis=1))
     for k in np.flatnonzero(lengths > SHORT):
-        out += list(_long(postings[starts[k] : starts[k] + lengths[k]], sim, allowed))
+        out += list(_long(postings[starts[k] : starts[k] + lengths[k]], sim, allowed, lead))
         if sum(map(len, out)) > 4 * CELLS:
             out = [_distinct(np.concatenate(out))]
     return _distinct(np.concatenate(out))
@@ -190,7 +207,7 @@ def _distinct(pairs: np.ndarray) -> np.ndarray:
     return pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))] if len(pairs) else pairs
 
 
-def candidates(sets: DataFrame, emit: Callable[[pd.DataFrame], np.ndarray], buckets: int, sim: Similarity, allowed: Allowed) -> DataFrame:
+def candidates(sets: DataFrame, emit: Callable[[pd.DataFrame], np.ndarray], buckets: int, sim: Similarity, allowed: Allowed, lead: Lead) -> DataFrame:
     """(a, b): distinct candidate pairs of the sets whose postings meet in a list.
 
     ``buckets`` follows the number of postings, so a bucket's size does not grow with the data.
@@ -202,7 +219,7 @@ def candidates(sets: DataFrame, emit: Callable[[pd.DataFrame], np.ndarray], buck
                 yield packed(emit(b), buckets)
 
     def read(group: pd.DataFrame) -> pd.DataFrame:
-        pairs = joined(np.concatenate([np.frombuffer(x, POSTING) for x in group["blob"]]), sim, allowed)
+        pairs = joined(np.concatenate([np.frombuffer(x, POSTING) for x in group["blob"]]), sim, allowed, lead)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     blobs = sets.mapInPandas(write, "bucket int, rows long, blob binary")
