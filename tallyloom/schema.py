@@ -26,3 +26,12 @@ METADATA = (
 )
 MESSAGES = "array<struct<role:string,content:string>>"
 REJECT = ("adapter_name string, source_record_id string, reason string, raw_excerpt string")
+
+
+def json_schema() -> dict:
+    """The payload as a JSON Schema, with name and version."""
+    enum = lambda f: {"type": "string", "enum": list(DOMAINS[f])}
+    text, maybe = {"type": "string"}, {"type": ["string", "null"]}
+    customer = {"type": "object", "additionalProperties": False, "properties": {"name": maybe, "account_id": maybe, "plan_tier": {"enum": [*DOMAINS["customer.plan_tier"], None]}}}
+    properties = {"summary": text, **{f: enum(f) for f in ("issue_category", "priority", "product_area", "sentiment")}, "customer": customer, "requires_human_followup": {"type": "boolean"}, "actions_requested": {"type": "array", "items": text}}
+    return {"title": SCHEMA_NAME, "version": SCHEMA_VERSION, "type": "object", "additionalProperties": False, "properties": properties, "required": sorted(k for k in TOP_KEYS if k != "actions_requested")}
