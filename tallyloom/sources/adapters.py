@@ -26,7 +26,14 @@ def _get(df: DataFrame, *names: str) -> Column:
     return F.coalesce(*have, F.lit(""))
 
 
+def _prepared(df: DataFrame, **columns: Column) -> DataFrame:
+    """Cleaned inputs as columns of their own, so that the many expressions over them stay small; raw_json is kept beside."""
+    return df.withColumn("__raw", _raw_json(df)).withColumns({f"__{n}": c for n, c in columns.items()})
+
+
 def _raw_json(df: DataFrame) -> Column:
+    if "__raw" in df.columns:
+        return F.col("__raw")
     return F.col("raw") if "raw" in df.columns else F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
 
 
@@ -49,31 +56,31 @@ def seed_tickets(df: DataFrame) -> DataFrame:
 
 
 def helpdesk(df: DataFrame) -> DataFrame:
-    subject, body, email = _get(df, "subject"), _get(df, "description"), _get(df, "requester_email", "requesterEmail")
-    text = _with_subject(subject, body)
-    target = X.target_from_text(X.summary_line(subject, body), text, _get(df, "priority"), _get(df, "category"), F.lit(""), X.name_from_email(email), F.lit(None).cast("string"), X.plan_tier(_get(df, "plan_tier"), text))
-    return _draft(df, "it-helpdesk", ("ticket_id", "id"), text, target, {"requester_email": email}, F.when(body == "", "missing_description"))
+    df = _prepared(df, subject=_get(df, "subject"), body=_get(df, "description"), email=_get(df, "requester_email", "requesterEmail"), level=_get(df, "priority"), kind=_get(df, "category"), plan=_get(df, "plan_tier"))
+    df = df.withColumn("__text", _with_subject(F.col("__subject"), F.col("__body")))
+    text = F.col("__text")
+    target = X.target_from_text(X.summary_line(F.col("__subject"), F.col("__body")), text, F.col("__level"), F.col("__kind"), F.lit(""), X.name_from_email(F.col("__email")), F.lit(None).cast("string"), X.plan_tier(F.col("__plan"), text))
+    return _draft(df, "it-helpdesk", ("ticket_id", "id"), text, target, {"requester_email": F.col("__email")}, F.when(F.col("__body") == "", "missing_description"))
 
 
 def customer_support(df: DataFrame) -> DataFrame:
-    subject, body = _get(df, "subject"), _get(df, "body", "message", "ticket_body")
-    queue, kind = _get(df, "queue"), _get(df, "type")
     tags = F.lit("") if "tags" not in df.columns else F.coalesce(F.array_join("tags", " "), F.lit("")) if df.schema["tags"].dataType.typeName() == "array" else _get(df, "tags")
-    text = _with_subject(subject, body)
-    category = F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in (queue, kind, tags)])
-    answered = F.lower(_get(df, "answer")).rlike(X.pattern(NO_FOLLOW_UP))
-    none = lambda *n: F.nullif(_get(df, *n), F.lit(""))
-    target = X.target_from_text(X.summary_line(subject, body), text, _get(df, "priority"), category, tags, none("customer_name"), none("account_id"), X.plan_tier(_get(df, "plan_tier"), body), ~answered)
-    return _draft(df, "support-ticket", ("ticket_id", "id"), text, target, {"queue": queue, "ticket_type": kind, "tags": tags}, F.when(body == "", "missing_body"))
+    df = _prepared(
+        df, subject=_get(df, "subject"), body=_get(df, "body", "message", "ticket_body"), queue=_get(df, "queue"), kind=_get(df, "type"), tags=tags, level=_get(df, "priority"), answer=F.lower(_get(df, "answer")), plan=_get(df, "plan_tier"), name=F.nullif(_get(df, "customer_name"), F.lit("")), account=F.nullif(_get(df, "account_id"), F.lit(""))
+    )
+    df = df.withColumns({"__text": _with_subject(F.col("__subject"), F.col("__body")), "__category": F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("__queue", "__kind", "__tags")])})
+    target = X.target_from_text(X.summary_line(F.col("__subject"), F.col("__body")), F.col("__text"), F.col("__level"), F.col("__category"), F.col("__tags"), F.col("__name"), F.col("__account"), X.plan_tier(F.col("__plan"), F.col("__body")), ~F.col("__answer").rlike(X.pattern(NO_FOLLOW_UP)))
+    return _draft(df, "support-ticket", ("ticket_id", "id"), F.col("__text"), target, {"queue": F.col("__queue"), "ticket_type": F.col("__kind"), "tags": F.col("__tags")}, F.when(F.col("__body") == "", "missing_body"))
 
 
 def complaints(df: DataFrame) -> DataFrame:
-    story, product, sub, issue = (_get(df, n) for n in ("consumer_complaint_narrative", "product", "sub_product", "issue"))
+    df = _prepared(df, story=_get(df, "consumer_complaint_narrative"), product=_get(df, "product"), sub=_get(df, "sub_product"), issue=_get(df, "issue"), response=_get(df, "company_response_to_consumer"))
+    story, product, sub, issue = (F.col(f"__{n}") for n in ("story", "product", "sub", "issue"))
     summary = F.substring(F.concat(F.coalesce(F.nullif(product, F.lit("")), F.lit("Consumer complaint")), F.lit(": "), F.coalesce(F.nullif(issue, F.lit("")), F.lit("reported issue"))), 1, X.SUMMARY_LENGTH)
     category = F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in (product, sub, issue)])
     nothing = F.lit(None).cast("string")
     target = X.target_from_text(summary, story, F.lit(""), category, product, nothing, nothing, nothing, F.lit(True))
-    return _draft(df, "cfpb", ("complaint_id",), story, target, {"product": product, "sub_product": sub, "issue": issue, "company_response_to_consumer": _get(df, "company_response_to_consumer")}, F.when(story == "", "missing_consumer_complaint_narrative"))
+    return _draft(df, "cfpb", ("complaint_id",), story, target, {"product": product, "sub_product": sub, "issue": issue, "company_response_to_consumer": F.col("__response")}, F.when(story == "", "missing_consumer_complaint_narrative"))
 
 
 def schema_discipline(df: DataFrame) -> DataFrame:
