@@ -30,7 +30,7 @@ SWAPS = tuple((a, b) for a, b in (
 ))
 LOST = "�"
 #: Size of the model that is broadcast; the counts behind it cover all documents.
-MODEL_WORDS, MODEL_PAIRS, LEAST_COUNT = 100_000, 100_000, 3
+MODEL_WORDS, MODEL_PAIRS, MODEL_CONTEXTS, LEAST_COUNT = 100_000, 100_000, 50_000, 3
 #: Log-likelihood gain from which a restored form is believed: for byte sequences, for swapped single-byte tables.
 GAIN, SWAP_GAIN = 1.0, 4.0
 
@@ -39,6 +39,14 @@ _CUES = frozenset("sign signs letter letters character characters symbol symbols
 #: Verbs that make a sign behind them a quotation.
 _SHOWS = frozenset("show shows showed displays reads prints writes".split())
 _ASCII = re.compile(r"[A-Za-z]+")
+#: Runs up to this length are signs rather than words.
+SIGN = 2
+
+
+def before(text: str, at: int) -> str:
+    """The last ASCII word in the 20 characters before a position, in lower case; empty if there is none."""
+    words = _ASCII.findall(text[max(0, at - 20) : at])
+    return words[-1].lower() if words else ""
 
 
 @lru_cache(maxsize=None)
@@ -56,8 +64,8 @@ def byte_table(name: str) -> dict[str, int]:
 class Model:
     """Word and character-pair counts of the corpus."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[str, int]) -> None:
-        self.words, self.pairs = words, pairs
+    def __init__(self, words: dict[str, int], pairs: dict[str, int], contexts: dict[str, int] | None = None) -> None:
+        self.words, self.pairs, self.contexts = words, pairs, contexts or {}
         self.total = math.log(sum(words.values()) + 1)
         self.after: Counter = Counter()
         for p, n in pairs.items():
@@ -131,17 +139,18 @@ class Decoder:
         self.model = model
         self.tables = {e: byte_table(e) for e in READINGS}
         self.leads = {e: frozenset(c for c, b in t.items() if 0xC2 <= b <= 0xF4) for e, t in self.tables.items()}
-        self.seen: dict[str, list[tuple[float, str, str]]] = {}
+        self.seen: dict[str, list[tuple[float, str, str, bool]]] = {}
 
-    def options(self, run: str) -> list[tuple[float, str, str]]:
-        """(gain, channel, restored) of the readings that make a run likelier, best first."""
-        if run not in self.seen:
+    def options(self, run: str, before: str = "") -> list[tuple[float, str, str, bool]]:
+        """(gain, channel, restored, sure) of the readings that make a run likelier, best first. Signs are judged by the word before them."""
+        key = f"{before} {run}" if len(run) <= SIGN else run
+        if key not in self.seen:
             if len(self.seen) > 300_000:
                 self.seen.clear()
-            self.seen[run] = self._options(run)
-        return self.seen[run]
+            self.seen[key] = self._options(run, before)
+        return self.seen[key]
 
-    def _options(self, run: str) -> list[tuple[float, str, str]]:
+    def _options(self, run: str, before: str) -> list[tuple[float, str, str, bool]]:
         chars, base, out = set(run), self.model.score(run), []
         for e in READINGS:
             if chars.isdisjoint(self.leads[e]):
@@ -152,16 +161,23 @@ class Decoder:
                 reached |= edge
             gain, best = max(((self.model.score(x) - base, x) for x in reached), default=(0.0, ""))
             if gain > GAIN:
-                out.append((gain, e, best))
-        if self.model.words.get(run, 0) < 1_000:
+                out.append((gain, e, best, True))
+        if len(run) <= SIGN or self.model.words.get(run, 0) < 1_000:
             for read, true in SWAPS:
                 try:
                     back = run.encode(read).decode(true)
                 except (UnicodeEncodeError, UnicodeDecodeError):
                     continue
-                known = self.model.words.get(back, 0)
-                if back != run and known >= 20 and self.model.score(back) - base > SWAP_GAIN and known > (30 if _ASCII.search(run) else 200) * self.model.words.get(run, 0):
-                    out.append((self.model.score(back) - base, f"{read}<{true}", back))
+                known, here = self.model.words.get(back, 0), self.model.words.get(run, 0)
+                gain = self.model.score(back) - base
+                if back == run or known < 20 or known < 5 * here or gain <= 0:
+                    continue
+                if len(run) > SIGN:
+                    sure = known > 30 * here and gain > SWAP_GAIN
+                else:  # the restored sign must be usual behind this very word, and the written one must not
+                    usual, odd = self.model.contexts.get(f"{before} {back}", 0), self.model.contexts.get(f"{before} {run}", 0)
+                    sure = bool(before) and usual >= 5 and usual > 30 * odd
+                out.append((gain, f"{read}<{true}", back, sure))
         return sorted(out, key=lambda o: -o[0])  # of equal gains the reading listed first
 
     def fill(self, run: str) -> str | None:
@@ -172,20 +188,23 @@ class Decoder:
 
     def restore(self, text: str) -> tuple[str, int, int, str | None]:
         """(restored text, damaged runs, runs that could not be restored, channel). A clean text comes back as it is."""
-        found, channels = [], Counter()
+        found, doubtful, channels = [], [], Counter()
         for m in _RUN.finditer(text):
             run = m.group()
             lost = LOST in run
-            options = [] if lost else self.options(run)
+            options = [] if lost else self.options(run, before(text, m.start()) if len(run) <= SIGN else "")
             if (lost or options) and not self._quoted(text, m.start(), m.end(), run if lost else options[0][2]):
-                found.append((m, run, lost, options))
-                for e in {o[1] for o in options}:
-                    channels[e] += max(o[0] for o in options if o[1] == e)
+                sure = [o for o in options if o[3]]
+                (found if lost or sure else doubtful).append((m, run, lost, sure or options))
+                for e in {o[1] for o in sure}:
+                    channels[e] += max(o[0] for o in sure if o[1] == e)
         if not found:
             return text, 0, 0, None
         top = max(channels, key=lambda e: round(channels[e], 6)) if channels else "lost"
+        # What is doubtful by itself is believed in the channel that the rest of the text has gone through.
+        found += [(m, run, False, same) for m, run, _, options in doubtful if (same := [o for o in options if o[1] == top])]
         out, at, open_ = [], 0, 0
-        for m, run, lost, options in found:
+        for m, run, lost, options in sorted(found, key=lambda f: f[0].start()):
             if lost:
                 new = self.fill(run)
                 open_ += new is None
@@ -208,15 +227,21 @@ class Decoder:
 def fit(documents: DataFrame, text: str = "text") -> Model:
     """Count words and character pairs beyond ASCII over all documents and keep the most frequent.
 
-    Pairs of two ASCII characters are left out. The model has at most MODEL_WORDS and MODEL_PAIRS entries, each seen at
-    least LEAST_COUNT times, whatever the corpus.
+    Pairs of two ASCII characters are left out; of signs the word before them is counted as well. The model has at most
+    MODEL_WORDS, MODEL_PAIRS and MODEL_CONTEXTS entries, whatever the corpus.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter = Counter()
         pairs: Counter = Counter()
+        signs: Counter = Counter()
         for b in batches:
-            runs = Counter(r for t in b["text"] for r in _RUN.findall(t))
+            runs: Counter = Counter()
+            for t in b["text"]:
+                for m in _RUN.finditer(t):
+                    runs[m.group()] += 1
+                    if m.end() - m.start() <= SIGN:
+                        signs[f"{before(t, m.start())} {m.group()}"] += 1
             for r, n in runs.items():
                 if len(r) <= 40:
                     words[r] += n
@@ -227,14 +252,15 @@ def fit(documents: DataFrame, text: str = "text") -> Model:
             if len(words) > 200_000:
                 yield pd.DataFrame({"kind": "w", "item": list(words), "n": list(words.values())})
                 words.clear()
-        for kind, c in (("w", words), ("p", pairs)):
+        for kind, c in (("w", words), ("p", pairs), ("s", signs)):
             yield pd.DataFrame({"kind": kind, "item": list(c), "n": list(c.values())})
 
     rows = documents.select(F.col(text).alias("text")).where(F.col(text).isNotNull()).mapInPandas(count, "kind string, item string, n long")
     counts = rows.groupBy("kind", "item").agg(F.sum("n").alias("n"))
     words = counts.where(f"kind = 'w' and n >= {LEAST_COUNT}").orderBy(F.desc("n"), "item").limit(MODEL_WORDS).collect()
     pairs = counts.where("kind = 'p'").orderBy(F.desc("n"), "item").limit(MODEL_PAIRS).collect()
-    return Model({r["item"]: r["n"] for r in words}, {r["item"]: r["n"] for r in pairs})
+    signs = counts.where(f"kind = 's' and n >= {LEAST_COUNT}").orderBy(F.desc("n"), "item").limit(MODEL_CONTEXTS).collect()
+    return Model(*({r["item"]: r["n"] for r in part} for part in (words, pairs, signs)))
 
 
 def repaired(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
