@@ -176,7 +176,7 @@ class Decoder:
                     sure = known > 30 * here and gain > SWAP_GAIN
                 else:  # the restored sign must be usual behind this very word, and the written one must not
                     usual, odd = self.model.contexts.get(f"{before} {back}", 0), self.model.contexts.get(f"{before} {run}", 0)
-                    sure = bool(before) and usual >= 5 and usual > 30 * odd
+                    sure = bool(before) and usual >= 5 and usual > 30 * odd and known > 30 * here
                 out.append((gain, f"{read}<{true}", back, sure))
         return sorted(out, key=lambda o: -o[0])  # of equal gains the reading listed first
 
