@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 #: Encodings that UTF-8 bytes may have been read in (fixed list).
 READINGS = ("cp1252", "latin1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8_r", "cp866", "cp852", "iso8859_2", "iso8859_5", "iso8859_15", "cp1253", "cp1254")
 #: (read as, written in) for single-byte text (fixed list).
@@ -256,7 +258,7 @@ def fit(documents: DataFrame, text: str = "text") -> Model:
             yield pd.DataFrame({"kind": kind, "item": list(c), "n": list(c.values())})
 
     rows = documents.select(F.col(text).alias("text")).where(F.col(text).isNotNull()).mapInPandas(count, "kind string, item string, n long")
-    counts = rows.groupBy("kind", "item").agg(F.sum("n").alias("n"))
+    counts = written(rows.groupBy("kind", "item").agg(F.sum("n").alias("n")), "counts")  # the documents are counted once
     words = counts.where(f"kind = 'w' and n >= {LEAST_COUNT}").orderBy(F.desc("n"), "item").limit(MODEL_WORDS).collect()
     pairs = counts.where("kind = 'p'").orderBy(F.desc("n"), "item").limit(MODEL_PAIRS).collect()
     signs = counts.where(f"kind = 's' and n >= {LEAST_COUNT}").orderBy(F.desc("n"), "item").limit(MODEL_CONTEXTS).collect()
