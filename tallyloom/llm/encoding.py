@@ -2,7 +2,8 @@
 
 The channel: text was encoded in one way and read in another, perhaps twice, or bytes were lost and stand as U+FFFD. The
 language model is the corpus itself: counts of its words with letters beyond ASCII over all documents, backed by counts
-of neighbouring characters. For each stretch of such characters the byte lattice of every reading is searched by a
+of neighbouring characters. Runs that look like the image of a channel do not count as language, copies of a text count
+a few times at most, and no source outweighs all others together, so damage does not become usual by being frequent. For each stretch of such characters the byte lattice of every reading is searched by a
 Viterbi pass, in which a character stays as it is or a valid byte sequence becomes the character it stands for; lost
 bytes are wildcards that the word list fills. A stretch is damaged if the best restored form is far likelier than what
 is written, and not merely quoted: a sign by itself next to words that speak of signs, letters or printing.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,6 +35,8 @@ SWAPS = tuple((a, b) for a, b in (
 LOST = "�"
 #: Size of the model that is broadcast; the counts behind it cover all documents.
 MODEL_WORDS, MODEL_PAIRS, MODEL_CONTEXTS, LEAST_COUNT = 100_000, 100_000, 50_000, 3
+#: Copies of one text that are counted.
+MOST_COPIES = 4
 #: Log-likelihood gain from which a restored form is believed: for byte sequences, for swapped single-byte tables.
 GAIN, SWAP_GAIN = 1.0, 4.0
 
@@ -63,6 +67,60 @@ def byte_table(name: str) -> dict[str, int]:
     return out
 
 
+_HIGH = re.compile(r"[\u0080-\U0010ffff]+")
+#: What garbled bytes usually stand for: letters of living scripts, punctuation, signs, emoji.
+_LIKELY = re.compile(r"[\u00a0-\u017f\u0192\u0218-\u021b\u02c6\u02dc\u0386-\u03ce\u0400-\u045f\u0490\u0491\u05d0-\u05ea\u0600-\u06ff\u0e01-\u0e5b\u1e00-\u1eff\u2010-\u2044\u20ac\u2116\u2122\u2190-\u22ff\u2500-\u27bf\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3\ufe0f\uff00-\uffef\U0001f300-\U0001faff]+")
+_WIDE = re.compile(r"[\u3000-\u9fff\uac00-\ud7a3\uff00-\uffef]+")
+#: Signs that stand between the letters of clean words.
+_INNER = frozenset("’‘ʼ·‐‑–—…•→←×°«»“”„€™®©§\u00a0\u00ad\u200b\u200c\u200d")
+
+
+def _odd(run: str) -> int:
+    """Breaks inside a word that clean text does not have: signs between letters, a change of script, a capital after a small letter."""
+    n = 0
+    for i in range(1, len(run)):
+        a, b = run[i - 1], run[i]
+        if a.isalpha() and b.isalpha():
+            n += _alphabet(a) != _alphabet(b) or (a.islower() and b.isupper() and b >= "\x80")
+        elif not b.isalpha() and b >= "\x80" and b not in _INNER and not unicodedata.combining(b):
+            n += a.isalpha() and i + 1 < len(run) and run[i + 1].isalpha()
+    return n
+
+
+def _alphabet(c: str) -> int:
+    return 1 if "\u0370" <= c < "\u0400" else 2 if "\u0400" <= c < "\u0530" else 0 if c < "\u0250" else 3
+
+
+@lru_cache(maxsize=200_000)
+def image(run: str) -> bool:
+    """Whether a run looks like the image of a channel, however frequent it is.
+
+    It does if a stretch of its characters beyond ASCII spells, from end to end, valid byte sequences of likely
+    characters (of ideographs at least two), or if a swapped table turns a word with breaks into one without.
+    """
+    for m in _HIGH.finditer(run):
+        part = m.group()
+        for e in READINGS if len(part) > 1 else ():
+            table = byte_table(e)
+            if not 0xC2 <= table.get(part[0], 0) <= 0xF4:
+                continue
+            try:
+                back = bytes(table.get(c, 0) for c in part).decode("utf-8")
+            except UnicodeDecodeError:
+                continue
+            if _LIKELY.fullmatch(back) and (len(back) > 1 or not _WIDE.fullmatch(back)):
+                return True
+    if len(run) > SIGN and (breaks := _odd(run)):
+        for read, true in SWAPS:
+            try:
+                back = run.encode(read).decode(true)
+            except (UnicodeEncodeError, UnicodeDecodeError):
+                continue
+            if back != run and back.isalpha() and not _odd(back) and (breaks > 1 or len(back) > 3):
+                return True
+    return False
+
+
 class Model:
     """Word and character-pair counts of the corpus."""
 
@@ -164,22 +222,21 @@ class Decoder:
             gain, best = max(((self.model.score(x) - base, x) for x in reached), default=(0.0, ""))
             if gain > GAIN:
                 out.append((gain, e, best, True))
-        if len(run) <= SIGN or self.model.words.get(run, 0) < 1_000:
-            for read, true in SWAPS:
-                try:
-                    back = run.encode(read).decode(true)
-                except (UnicodeEncodeError, UnicodeDecodeError):
-                    continue
-                known, here = self.model.words.get(back, 0), self.model.words.get(run, 0)
-                gain = self.model.score(back) - base
-                if back == run or known < 20 or known < 5 * here or gain <= 0:
-                    continue
-                if len(run) > SIGN:
-                    sure = known > 30 * here and gain > SWAP_GAIN
-                else:  # the restored sign must be usual behind this very word, and the written one must not
-                    usual, odd = self.model.contexts.get(f"{before} {back}", 0), self.model.contexts.get(f"{before} {run}", 0)
-                    sure = bool(before) and usual >= 5 and usual > 30 * odd and known > 30 * here
-                out.append((gain, f"{read}<{true}", back, sure))
+        for read, true in SWAPS:
+            try:
+                back = run.encode(read).decode(true)
+            except (UnicodeEncodeError, UnicodeDecodeError):
+                continue
+            known, here = self.model.words.get(back, 0), self.model.words.get(run, 0)
+            gain = self.model.score(back) - base
+            if back == run or known < 20 or known < 5 * here or gain <= 0:
+                continue
+            if len(run) > SIGN:
+                sure = known > 30 * here and gain > SWAP_GAIN
+            else:  # the restored sign must be usual behind this very word, and the written one must not
+                usual, odd = self.model.contexts.get(f"{before} {back}", 0), self.model.contexts.get(f"{before} {run}", 0)
+                sure = bool(before) and usual >= 5 and usual > 30 * odd and known > 30 * here
+            out.append((gain, f"{read}<{true}", back, sure))
         return sorted(out, key=lambda o: -o[0])  # of equal gains the reading listed first
 
     def fill(self, run: str) -> str | None:
@@ -198,7 +255,7 @@ class Decoder:
             if (lost or options) and not self._quoted(text, m.start(), m.end(), run if lost else options[0][2]):
                 sure = [o for o in options if o[3]]
                 (found if lost or sure else doubtful).append((m, run, lost, sure or options))
-                for e in {o[1] for o in sure}:
+                for e in dict.fromkeys(o[1] for o in sure):
                     channels[e] += max(o[0] for o in sure if o[1] == e)
         if not found:
             return text, 0, 0, None
@@ -226,39 +283,52 @@ class Decoder:
         return not _CUES.isdisjoint(near) or not _SHOWS.isdisjoint(before)
 
 
-def fit(documents: DataFrame, text: str = "text") -> Model:
+def fit(documents: DataFrame, text: str = "text", source: str = "source") -> Model:
     """Count words and character pairs beyond ASCII over all documents and keep the most frequent.
 
-    Pairs of two ASCII characters are left out; of signs the word before them is counted as well. The model has at most
-    MODEL_WORDS, MODEL_PAIRS and MODEL_CONTEXTS entries, whatever the corpus.
+    Images of a channel are left out, a text counts at most MOST_COPIES times, and of each count the largest source
+    gives no more than all others together (if the documents name several sources). Pairs of two ASCII characters are
+    left out; of signs the word before them is counted as well. The model has at most MODEL_WORDS, MODEL_PAIRS and
+    MODEL_CONTEXTS entries, whatever the corpus.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words: Counter = Counter()
-        pairs: Counter = Counter()
-        signs: Counter = Counter()
+        counts: Counter = Counter()
         for b in batches:
             runs: Counter = Counter()
-            for t in b["text"]:
+            for t, s, copies in zip(b["text"], b["source"], b["copies"], strict=True):
                 for m in _RUN.finditer(t):
-                    runs[m.group()] += 1
-                    if m.end() - m.start() <= SIGN:
-                        signs[f"{before(t, m.start())} {m.group()}"] += 1
-            for r, n in runs.items():
+                    r = m.group()
+                    runs[r, s] += copies
+                    if len(r) <= SIGN and not image(r):
+                        counts["s", f"{before(t, m.start())} {r}", s] += copies
+            for (r, s), n in runs.items():
+                if image(r):
+                    continue
                 if len(r) <= 40:
-                    words[r] += n
+                    counts["w", r, s] += n
                 for i in range(len(r) + 1):
                     p = (r[i - 1] if i else " ") + (r[i] if i < len(r) else " ")
                     if p[0] >= "\x80" or p[1] >= "\x80":
-                        pairs[p] += n
-            if len(words) > 200_000:
-                yield pd.DataFrame({"kind": "w", "item": list(words), "n": list(words.values())})
-                words.clear()
-        for kind, c in (("w", words), ("p", pairs), ("s", signs)):
-            yield pd.DataFrame({"kind": kind, "item": list(c), "n": list(c.values())})
-
-    rows = documents.select(F.col(text).alias("text")).where(F.col(text).isNotNull()).mapInPandas(count, "kind string, item string, n long")
-    counts = written(rows.groupBy("kind", "item").agg(F.sum("n").alias("n")), "counts")  # the documents are counted once
+                        counts["p", p, s] += n
+            if len(counts) > 200_000:
+                yield rows_of(counts)
+                counts.clear()
+        if counts:
+            yield rows_of(counts)
+
+    def rows_of(counts: Counter) -> pd.DataFrame:
+        return pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["kind", "item", "source", "n"])
+
+    named = F.coalesce(F.col(source).cast("string"), F.lit("")) if source in documents.columns else F.lit("")
+    texts = documents.select(F.col(text).alias("text"), named.alias("source")).where(F.col(text).isNotNull() & F.col(text).rlike(r"[^\x00-\x7f]"))
+    once = texts.groupBy(F.xxhash64("text").alias("h"), F.xxhash64(F.lit("second"), F.reverse("text")).alias("lo")).agg(F.min("text").alias("text"), F.min("source").alias("source"), F.least(F.count(F.lit(1)), F.lit(MOST_COPIES)).alias("copies"))
+    rows = once.select("text", "source", "copies").mapInPandas(count, "kind string, item string, source string, n long")
+    parts = rows.groupBy("kind", "item", "source").agg(F.sum("n").alias("n")).groupBy("kind", "item").agg(F.sum("n").alias("n"), F.max("n").alias("top"))
+    parts = written(parts, "counts")  # the documents are counted once
+    several = texts.select("source").distinct().limit(2).count() > 1
+    rest = F.col("n") - F.col("top")
+    counts = parts.withColumn("n", rest + F.least("top", F.greatest(rest, F.lit(LEAST_COUNT)))) if several else parts
     words = counts.where(f"kind = 'w' and n >= {LEAST_COUNT}").orderBy(F.desc("n"), "item").limit(MODEL_WORDS).collect()
     pairs = counts.where("kind = 'p'").orderBy(F.desc("n"), "item").limit(MODEL_PAIRS).collect()
     signs = counts.where(f"kind = 's' and n >= {LEAST_COUNT}").orderBy(F.desc("n"), "item").limit(MODEL_CONTEXTS).collect()

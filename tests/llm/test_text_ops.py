@@ -160,3 +160,20 @@ def test_repair_in_spark(spark, model):
     rows = encoding.repaired(df, model).collect()
     assert sorted(r["doc_id"] for r in rows) == [1, 1, 5] and rows[0]["restored"] == "Le café a été"
     assert encoding.repaired(df.limit(0), model).count() == 0
+
+
+def _garble(text, written, read):
+    return "".join(chr(b) if b < 128 else {v: k for k, v in encoding.byte_table(read).items()}.get(b, chr(b)) for b in text.encode(written))
+
+
+@pytest.mark.parametrize("written,read", [("utf-8", "cp1252"), ("utf-8", "cp1251"), ("cp1252", "cp850"), ("cp1252", "cp1251")])
+@pytest.mark.parametrize("copies", [True, False])
+def test_damage_of_a_third_of_the_rows_is_found(spark, written, read, copies):
+    """One garbled thread in copies, or one source garbled as a whole, holds far more rows than the clean form."""
+    german = "Die Tür wäre schön, für heute genügt größere Mühe."
+    clean = [(i, f"Ticket {i}: {german}", f"desk/{i % 9}") for i in range(150)] + [(1_000 + i, f"Case {i}: {CLEAN[i % 4]}", f"desk/{i % 7}") for i in range(450)]
+    bad = [(5_000 + i, _garble(german if copies else f"Thread {i}: {german}", written, read), "import/old") for i in range(1_500)]
+    docs = spark.createDataFrame(clean + bad, "doc_id long, text string, source string")
+    rows = {r["doc_id"]: r["restored"] for r in encoding.repaired(docs, encoding.fit(docs)).collect()}
+    assert set(rows) == {i for i, _, _ in bad}
+    assert all(rows[i] == (german if copies else f"Thread {i - 5_000}: {german}") for i, _, _ in bad)
