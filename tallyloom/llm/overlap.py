@@ -1,11 +1,9 @@
-"""Same or near-same records across splits (problem 6): winnowing fingerprints.
-
-Texts become sequences of word hashes; of every window of rolling hashes over five words the least is kept, so a passage
-shared over window + 4 words leaves a common fingerprint wherever it stands. Fingerprints are joined across the splits.
-One that stands in very many texts is joined together with the fingerprints behind it (two, then three in a row), so
-common phrases count only where they follow each other. Where seeds meet, the sketch test of the posting engine throws
-out texts that cannot be alike, collinear seeds are chained and extended word by word, and the likeness is computed on
-the whole texts.
+"""Same or near-same records across splits (problem 6): an exact join across the sides, then alignment.
+
+Likeness of word sets implies no shared passage, and neither do short texts or passages that stand in very many texts, so
+candidates come from the exact lists of the near-duplicate join (problem 4), joined across the splits: they lose no pair,
+whatever else the tables hold. The sketch test of the posting engine throws out texts that cannot be alike; of the rest
+collinear seeds of five words are chained and extended word by word, and the likeness is computed on the whole texts.
 """
 
 from __future__ import annotations
@@ -21,15 +19,18 @@ from pyspark.sql import functions as F
 
 from ..plans import salted_join
 from ..storage import written
+from . import neardup
 from .leakage import words as python_words
-from .neardup import BUCKET_POSTINGS, MOST_FREQUENT
-from .postings import ANY, POSTING, Similarity, candidates, flat, hashed, mix, sketches, words
+from .neardup import BUCKET_POSTINGS
+from .postings import Similarity, candidates, flat, hashed, mix, words
 
-#: Words per rolling hash and hashes per window.
+#: Words per rolling hash (and seed of an alignment) and hashes per window.
 GRAM, WINDOW = 5, 4
-#: Fingerprints in more texts than this are joined with those behind them.
+#: Fingerprints in more texts than this say little about a text. The join does not depend on it.
 HOT = 1_024
 HELD, TRAIN = 1, 2
+#: Bit of a mark that the exact join sets on hard sets.
+HARD = 4
 
 
 def fingerprints(values: np.ndarray, row: np.ndarray, rows: int, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -57,35 +58,6 @@ def fingerprints(values: np.ndarray, row: np.ndarray, rows: int, gram: int = GRA
     return least[new], who[new]
 
 
-def _in(values: np.ndarray, sorted_list: np.ndarray) -> np.ndarray:
-    if not len(sorted_list):
-        return np.zeros(len(values), bool)
-    return sorted_list[np.minimum(np.searchsorted(sorted_list, values), len(sorted_list) - 1)] == values
-
-
-def _joined_with_next(prints: np.ndarray, row: np.ndarray, keys: np.ndarray, step: int) -> np.ndarray:
-    """Each key mixed with the fingerprint ``step`` places on in the same text; keys at a text's end stay as they are."""
-    at = np.arange(len(prints)) + step
-    ok = at < len(prints)
-    ok[ok] = row[at[ok]] == row[np.flatnonzero(ok)]
-    out = keys.copy()
-    out[ok] = mix(keys[ok] ^ (prints[at[ok]] << np.uint64(1)), 40 + step)
-    return out
-
-
-def keys_of(values: np.ndarray, row: np.ndarray, rows: int, hot: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(key, row, keys by level): a fingerprint's key grows by the next fingerprint for every level at which it is hot."""
-    prints, who = fingerprints(values, row, rows)
-    keys, levels = prints, [prints]
-    live = np.ones(len(keys), bool)
-    for step, list_ in enumerate(hot, 1):
-        live = live & _in(keys, list_)
-        longer = _joined_with_next(prints, who, keys, step)
-        keys = np.where(live, longer, keys)
-        levels.append(keys[live])
-    return keys, who, levels
-
-
 def _once(row: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct (row, value) pairs, by row."""
     order = np.lexsort((values, row))
@@ -112,22 +84,9 @@ def classes(both: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, written(sets.withColumn("toks", hashed(words(F.col("text")))), "overlap-sets")
 
 
-def _hot(sets: DataFrame, known: list[np.ndarray], floor: int) -> np.ndarray:
-    shared = sets.sparkSession.sparkContext.broadcast(known)
-
-    def count(batches):
-        for b in batches:
-            if len(b):
-                values, row = flat(b["toks"])
-                key, n = np.unique(keys_of(values, row, len(b), shared.value)[2][-1], return_counts=True)
-                yield pd.DataFrame({"key": key.view(np.int64), "n": n})
-
-    rows = sets.select("toks").mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > floor).select("key").collect()
-    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
-
-
 def _allowed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (((a["mark"] & HELD) > 0) & ((b["mark"] & TRAIN) > 0)) | (((a["mark"] & TRAIN) > 0) & ((b["mark"] & HELD) > 0))
+    across = (((a["mark"] & HELD) > 0) & ((b["mark"] & TRAIN) > 0)) | (((a["mark"] & TRAIN) > 0) & ((b["mark"] & HELD) > 0))
+    return across & ((a["kind"] != 2) | (((a["mark"] | b["mark"]) & HARD) > 0))
 
 
 def _lead(rows: np.ndarray) -> np.ndarray:
@@ -173,28 +132,21 @@ def similar_texts(sets: DataFrame, sim: Similarity | None = None) -> DataFrame:
     """(a, a_lo, b, b_lo, likeness, coverage_a, coverage_b) of pairs of different word sequences across the sides that reach the similarity."""
     sim = sim or Similarity()
     spark = sets.sparkSession
-    count, total = sets.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("toks")), F.lit(0))).first()
-    floor = max(HOT, total // MOST_FREQUENT)  # hot keys number at most total / floor
-    hot: list[np.ndarray] = []
-    for _ in range(2):
-        hot.append(_hot(sets, hot, floor))
-        if not len(hot[-1]):
-            break
-    shared = spark.sparkContext.broadcast(hot)
+    bags = sets.select(F.col("cid").alias("hi"), F.sort_array(F.array_distinct("toks")).alias("toks"))
+    order, count, per_set = neardup.plan(bags, sim)
+    shared = spark.sparkContext.broadcast(order)  # at most neardup.MOST_FREQUENT words
 
     def emit(b: pd.DataFrame) -> np.ndarray:
         values, row = flat(b["toks"])
-        key, who, _ = keys_of(values, row, len(b), shared.value)
         owner, distinct = _once(row, values)
-        b0, b1 = sketches(distinct, owner, len(b))
-        size = np.bincount(owner, minlength=len(b))
-        who, key = _once(who, key)
-        out = np.zeros(len(key), POSTING)
-        out["key"], out["cid"], out["b0"], out["b1"], out["size"] = key, b["cid"].to_numpy(np.int64)[who], b0[who], b1[who], size[who]
-        out["block"], out["mark"] = ANY, b["side"].to_numpy(np.uint8)[who]
+        cid = b["cid"].to_numpy(np.int64)
+        ends = np.cumsum(np.bincount(owner, minlength=len(b)))
+        out = neardup.emitted(pd.DataFrame({"hi": cid, "toks": np.split(distinct.view(np.int64), ends[:-1])}), shared.value)
+        by_cid = np.argsort(cid)
+        out["mark"] = out["mark"] * HARD + b["side"].to_numpy(np.uint8)[by_cid[np.searchsorted(cid[by_cid], out["cid"])]]
         return out
 
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 0.4 / BUCKET_POSTINGS) + 1)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(count * per_set / BUCKET_POSTINGS) + 1)
     close = candidates(sets.select("cid", "toks", "side"), emit, buckets, sim, _allowed, _lead)
     left = sets.select(F.col("cid").alias("a"), F.col("lo").alias("a_lo"), F.col("text").alias("x"))
     right = sets.select(F.col("cid").alias("b"), F.col("lo").alias("b_lo"), F.col("text").alias("y"))

@@ -119,3 +119,30 @@ def test_overlaps_match_brute_force(spark, monkeypatch):
 def test_alignment():
     a = "the quick brown fox jumps over the lazy dog today".split()
     assert overlap.aligned(a, a) == (10, 10) and overlap.aligned(a, a[5:] + a[:5]) == (5, 5) and overlap.aligned([], a) == (0, 0)
+
+
+def _found_across(spark, held, train):
+    both = overlap.texts(spark.createDataFrame(held, "i string, x string"), "i", "x", 1).unionByName(overlap.texts(spark.createDataFrame(train, "i string, x string"), "i", "x", 2))
+    members, sets = overlap.classes(both)
+    return {(r["held_id"], r["train_id"]) for r in overlap.record_overlaps(members, overlap.similar_texts(sets)).collect()}
+
+
+@pytest.mark.parametrize("frequent", [4, 60, 1_000])
+def test_overlaps_inside_a_hot_family(spark, monkeypatch, frequent):
+    """Variants of one text, sentences re-ordered and words inserted: whether a pair is found does not depend on the others."""
+    monkeypatch.setattr(overlap, "HOT", 6)
+    monkeypatch.setattr(neardup, "LEAST_FREQUENT", frequent)
+    monkeypatch.setattr(neardup, "TOP_FREQUENT", frequent)
+    rnd = random.Random(11)
+    parts = [[f"s{i}w{j}" for j in range(rnd.randrange(3, 9))] for i in range(8)]
+
+    def variant():
+        out = [list(p) for p in parts]
+        rnd.shuffle(out)
+        for _ in range(rnd.randrange(2, 9)):
+            p = rnd.choice(out)
+            p.insert(rnd.randrange(len(p) + 1), f"new{rnd.randrange(9)}")
+        return ". ".join(" ".join(p) for p in out)
+
+    held, train = [(f"h{i}", variant()) for i in range(40)], [(f"t{i}", variant()) for i in range(90)]
+    assert _found_across(spark, held, train) == {(a, b) for a, x in held for b, y in train if alike(x, y)}
