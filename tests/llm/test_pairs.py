@@ -146,3 +146,10 @@ def test_overlaps_inside_a_hot_family(spark, monkeypatch, frequent):
 
     held, train = [(f"h{i}", variant()) for i in range(40)], [(f"t{i}", variant()) for i in range(90)]
     assert _found_across(spark, held, train) == {(a, b) for a, x in held for b, y in train if alike(x, y)}
+
+
+def test_overlaps_of_short_texts(spark):
+    rnd = random.Random(12)
+    texts_ = lambda n, mark: [(f"{mark}{i}", " ".join(rnd.sample("a b c d e f g h i j".split(), rnd.randrange(1, 9)))) for i in range(n)]
+    held, train = texts_(40, "h"), texts_(60, "t")
+    assert _found_across(spark, held, train) == {(a, b) for a, x in held for b, y in train if alike(x, y)}
