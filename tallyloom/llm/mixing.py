@@ -171,3 +171,27 @@ def composition_witness(composition: DataFrame) -> DataFrame:
     """(source_dataset, claimed_rows, builds): what the builds believed they held, by the spelling they used."""
     w = Window.partitionBy("source_dataset")
     return composition.select("source_dataset", "row_count", F.size(F.collect_set("build_label").over(w)).alias("builds")).groupBy("source_dataset", "builds").agg(F.sum("row_count").alias("claimed_rows"))
+
+
+def witnessed(report: DataFrame, canonical: DataFrame, members: DataFrame, registry: DataFrame, composition: DataFrame) -> DataFrame:
+    """The report with what the further witnesses say of each source.
+
+    ``claimed_rows`` is what the builds believed they held, case, blanks and hyphens of the spelling settled and a
+    beginning that fits one source only taken for it; ``unnamed_rows`` (the same on every line) are claims that name no
+    source. ``group_records`` and ``other_group_records`` are records of the source whose source_group is, or is not,
+    the registry's; records that name no group of the registry are in neither.
+    """
+    key = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"[\s\-]+", "_")
+    entries = registry.where("dataset_name is not null").select("dataset_name", key("dataset_name").alias("k"), key("source_group").alias("g")).distinct()
+    claims = composition_witness(composition).select(key("source_dataset").alias("spelt"), "claimed_rows").groupBy("spelt").agg(F.sum("claimed_rows").alias("rows"))
+    fits = (F.col("spelt") == F.col("k")) | ((F.col("spelt") != "") & F.col("k").startswith(F.col("spelt")))
+    met = claims.join(F.broadcast(entries), fits, "left").groupBy("spelt", "rows").agg(F.max(F.when(F.col("spelt") == F.col("k"), F.col("dataset_name"))).alias("exact"), F.min("dataset_name").alias("first"), F.count_distinct("dataset_name").alias("n"))
+    named = met.select(F.coalesce("exact", F.when(F.col("n") == 1, F.col("first"))).alias("source_dataset"), "rows")
+    claimed = named.where("source_dataset is not null").groupBy("source_dataset").agg(F.sum("rows").alias("claimed_rows"))
+    unnamed = named.where("source_dataset is null").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("unnamed_rows"))
+    groups = canonical.select("record_id", key("metadata.source_group").alias("said")).join(F.broadcast(entries.select(F.col("g").alias("said")).distinct()), "said").distinct()
+    of = members.select("record_id", F.explode(F.split(F.substring_index("pattern", ";", 1), r"\|")).alias("source_dataset"))
+    votes = of.join(groups, "record_id").join(F.broadcast(entries.select(F.col("dataset_name").alias("source_dataset"), "g")), "source_dataset").groupBy("source_dataset", "record_id").agg(F.max(F.col("said") == F.col("g")).alias("same"))
+    agreed = votes.groupBy("source_dataset").agg(F.count_if("same").alias("group_records"), F.count_if(~F.col("same")).alias("other_group_records"))
+    out = report.join(F.broadcast(claimed), "source_dataset", "left").join(F.broadcast(agreed), "source_dataset", "left").crossJoin(F.broadcast(unnamed))
+    return out.select(*report.columns, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("claimed_rows", "unnamed_rows", "group_records", "other_group_records")])

@@ -83,7 +83,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d)[1]
+    members, report, _ = _mix(spark, d)
+    return mixing.witnessed(report, table(spark, d, "support_tickets_canonical"), members, table(spark, d, "source_registry"), table(spark, d, "support_tickets_dataset_composition"))
 
 
 def p5_mix(spark: SparkSession, d: str) -> DataFrame:

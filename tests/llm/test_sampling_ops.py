@@ -179,3 +179,19 @@ def test_windows_of_documents(spark):
     used = packing.usage(packing.windows_of(sizes, win), win).first()
     assert used["tokens"] == sum(n.values()) and used["bins"] == 2
     assert packing.windows_of(sizes.limit(0), win).count() == 0
+
+
+def test_mix_report_names_the_further_witnesses(spark):
+    """Claims of the builds and source groups stand beside the records of each source."""
+    reg = spark.createDataFrame([("one_a", "ad_a", "g1"), ("two_b", "ad_b", "g2")], "dataset_name string, adapter_name string, source_group string")
+    rows = [("1", "one_a", (None, "G1 ")), ("2", "one_a", (None, "g2")), ("3", "??", ("ad_b", "g2")), ("3", "??", ("ad_b", "g1")), ("4", "two_b", (None, None)), ("5", "two_b", (None, "unknown"))]
+    canonical = spark.createDataFrame(rows, "record_id string, source_dataset string, metadata struct<adapter_name:string,source_group:string>")
+    composition = spark.createDataFrame([("b1", "one_a", 5), ("b1", "ONE-A ", 2), ("b2", "one", 3), ("b2", None, 4), ("b2", "", 1), ("b1", "two_b", 7)], "build_label string, source_dataset string, row_count long")
+    targets = spark.createDataFrame([("m", "one_a", 0.5, 1, 4), ("m", "two_b", 0.5, 1, 4)], "mix_name string, source_dataset string, target_share double, max_repeats int, mix_rows long")
+    members = mixing.memberships(canonical, reg)
+    report = mixing.plan(members, targets)[0]
+    got = {r["source_dataset"]: r for r in mixing.witnessed(report, canonical, members, reg, composition).collect()}
+    said = {k: (r["records"], r["claimed_rows"], r["unnamed_rows"], r["group_records"], r["other_group_records"]) for k, r in got.items()}
+    assert said == {"one_a": (2, 10, 5, 1, 1), "two_b": (3, 7, 5, 1, 0)}
+    empty = mixing.witnessed(report, canonical.limit(0), members.limit(0), reg, composition.limit(0)).collect()
+    assert len(empty) == 2 and all(r["claimed_rows"] == r["unnamed_rows"] == r["group_records"] == 0 for r in empty)
