@@ -2,6 +2,6 @@
 
 from .components import connected_components
 from .ranking import ranked
-from .skew import salted_join
+from .skew import salted_join, star_join
 
-__all__ = ["connected_components", "ranked", "salted_join"]
+__all__ = ["connected_components", "ranked", "salted_join", "star_join"]

@@ -12,8 +12,8 @@ def unit_hash(*parts: Column | str, seed: str = "") -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def ranked(df: DataFrame, keys: list[str], unit: str, tie: str, out: str = "rank", buckets: int = 256) -> DataFrame:
-    """Add ``out``, the 0-based rank of each row within ``keys`` by (``unit``, ``tie``).
+def ranked(df: DataFrame, keys: list[str], unit: str, tie: str, out: str = "rank", buckets: int = 256, weight: str | None = None) -> DataFrame:
+    """Add ``out``, the 0-based rank of each row within ``keys`` by (``unit``, ``tie``); with ``weight``, the sum of that column over the rows before it.
 
     ``unit`` is a double in [0, 1), about evenly spread. A group is cut into ``buckets`` ranges of ``unit``; a running
     sum of the bucket counts (at most groups x buckets rows) gives each bucket its offset, and rows are sorted only
@@ -21,11 +21,12 @@ def ranked(df: DataFrame, keys: list[str], unit: str, tie: str, out: str = "rank
     """
     b = "__bucket"
     cut = df.withColumn(b, F.least(F.floor(F.col(unit) * buckets), F.lit(buckets - 1)).cast("int"))
-    counts = cut.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("__n"))
+    counts = cut.groupBy(*keys, b).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(b).alias("__b"), before.alias("__offset"))
     on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)] + [F.col(b) == F.col("__b")]
-    inside = F.row_number().over(Window.partitionBy(*keys, b).orderBy(unit, tie)) - 1
+    w = Window.partitionBy(*keys, b).orderBy(unit, tie)
+    inside = F.coalesce(F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if weight else F.row_number().over(w) - 1
     return (
         cut.withColumn("__inside", inside)
         .join(offsets, on, "left")

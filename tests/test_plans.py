@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tallyloom.plans import connected_components, ranked, salted_join
+from tallyloom.plans import components, connected_components, ranked, salted_join, skew
 from tallyloom.plans.ranking import unit_hash
 
 
@@ -34,6 +34,14 @@ def test_components_match_union_find(spark):
     assert got == brute(edges)
 
 
+def test_components_with_hot_nodes(spark, monkeypatch):
+    """Hubs above and below their neighbours go through the broadcast half of the joins."""
+    monkeypatch.setattr(components, "SMALL", 10)
+    monkeypatch.setattr(skew, "SMALL", 10)
+    edges = [("hub", f"s{i:03d}") for i in range(150)] + [("zhub", f"s{i:03d}") for i in range(120, 300)] + [(f"q{i}", f"q{i + 1}") for i in range(30)] + [(None, "hub")]
+    assert {tuple(r) for r in connected_components(spark.createDataFrame(edges, "p string, q string"), "p", "q").collect()} == brute(edges)
+
+
 def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "a string, b string"), "a", "b").count() == 0
 
@@ -49,6 +57,20 @@ def test_ranks_are_exact_and_layout_free(spark):
     assert [got[0][("hot", i)] for i in order] == list(range(500))
 
 
+def test_weighted_ranks_are_running_sums(spark):
+    df = spark.range(400).select(F.lit("k").alias("k"), F.col("id").cast("string").alias("id"), (F.col("id") % 7).alias("w")).withColumn("u", unit_hash("id"))
+    rows = ranked(df.repartition(5), ["k"], "u", "id", "start", buckets=8, weight="w").orderBy("u", "id").collect()
+    assert [r["start"] for r in rows] == [sum(x["w"] for x in rows[:i]) for i in range(len(rows))]
+
+
+def test_star_join_keeps_every_row(spark):
+    left = spark.createDataFrame([("h", i) for i in range(50)] + [("c", 1), ("none", 2), (None, 3)], "k string, v long")
+    right = spark.createDataFrame([("h", "x"), ("c", "y"), (None, "z")], "k string, w string")
+    for how in ("inner", "left"):
+        got = [sorted(map(str, skew.star_join(left, right, "k", hot, how).collect())) for hot in ([], ["h"])]
+        assert got[0] == got[1] and len(got[0]) == (51 if how == "inner" else 53)
+
+
 def test_salted_join_keeps_every_pair(spark):
     left = spark.range(120_000).select(F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
     right = spark.createDataFrame([(1, "a"), (4, "b"), (4, "c")], "k long, w string")
