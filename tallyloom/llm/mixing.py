@@ -1,10 +1,12 @@
 """Mixing sources to target weights (problem 5).
 
-Records are counted by membership pattern: the source their ``source_dataset`` names exactly or, failing that, the one
-their ``adapter_name`` names, plus any further source that the other witness names. A min-cost flow routes the uses of
-each pattern (first use free, every repetition dearer) to the quotas of the sources; what only a slack arc can give is a
-source's shortfall, and is then spread over the other sources so that the mix keeps its size. Which records are used,
-and which are repeated, is decided by a seeded hash.
+Records (or their tokens) are added up by membership pattern: the source their ``source_dataset`` names exactly or,
+failing that, the one their ``adapter_name`` names, plus any further source that the other witness names. Two min-cost
+flows route the uses of each pattern to the quotas of the sources, the first use free, every repetition dearer; each pair
+of pattern and source has its own capacity, the pattern's units times the repetitions that the source's line allows. In
+the first network a source's requirement is met by its own patterns or, at a cost, by a slack arc: what runs there is
+its shortfall. In the second there is no slack, and what a source lacks is spread over the others so that the mix keeps
+its size. Which records are used, and which are repeated, is decided by a seeded hash.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,12 +32,13 @@ REPORT = T.StructType(
         T.StructField("mixed_rows", T.LongType()),
         T.StructField("actual_share", T.DoubleType()),
         T.StructField("short_rows", T.LongType()),
+        T.StructField("lacking_rows", T.LongType()),
     ]
 )
 ROUTE = T.StructType(
     [
         T.StructField("mix_name", T.StringType()),
-        T.StructField("pattern", T.StringType()),
+        T.StructField("kind", T.StringType()),
         T.StructField("source_dataset", T.StringType()),
         T.StructField("first_use", T.LongType()),
         T.StructField("last_use", T.LongType()),
@@ -44,15 +47,19 @@ ROUTE = T.StructType(
 )
 #: More sources than this are refused: the registry is a table of fixed size.
 MOST_SOURCES = 2_000
-#: Patterns are sets of registry sources; so many of them are refused rather than cut off.
-MOST_PATTERNS = 200_000
+#: Patterns are sets of registry sources; so many of them are refused rather than cut off. For a mix those that name the
+#: same of its sources are one kind, and the flow takes so many kinds.
+MOST_PATTERNS, MOST_KINDS = 200_000, 2_000
+KIND = T.StructType([T.StructField("mix_name", T.StringType()), T.StructField("pattern", T.StringType()), T.StructField("kind", T.StringType())])
 
 
-def memberships(canonical: DataFrame, registry: DataFrame) -> DataFrame:
-    """(record_id, pattern): one row per distinct record that has a source.
+def memberships(canonical: DataFrame, registry: DataFrame, size: Column | None = None) -> DataFrame:
+    """(record_id, pattern, size): one row per distinct record that has a source.
 
     ``pattern`` is the source (of several, all that rows of the record name, sorted and joined by a bar), and after a
-    semicolon those that only a further witness names. Rows with a null id or without a source drop out.
+    semicolon those that only a further witness names. ``size`` is what a record adds to a mix, such as its tokens (1 if
+    not given, the largest if its rows differ, nothing for null or less than 0). Rows with a null id or without a source
+    drop out.
     """
     entries = registry.where("dataset_name is not null").select("dataset_name", "adapter_name").distinct().limit(MOST_SOURCES + 1).collect()
     if len(entries) > MOST_SOURCES:
@@ -64,16 +71,16 @@ def memberships(canonical: DataFrame, registry: DataFrame) -> DataFrame:
     named = F.broadcast(spark.createDataFrame([(n,) for n in names], "by_name string"))
     adapted = F.broadcast(spark.createDataFrame(sorted(by_adapter.items()), "adapter string, by_adapter string"))
     found = (
-        canonical.select("record_id", "source_dataset", F.col("metadata.adapter_name").alias("a"))
+        canonical.select("record_id", "source_dataset", F.col("metadata.adapter_name").alias("a"), (F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)) if size is not None else F.lit(1)).cast("long").alias("size"))
         .where("record_id is not null")
         .join(named, F.col("source_dataset") == F.col("by_name"), "left")
         .join(adapted, F.col("a") == F.col("adapter"), "left")
-        .select("record_id", F.coalesce("by_name", "by_adapter").alias("first"), "by_adapter")
+        .select("record_id", "size", F.coalesce("by_name", "by_adapter").alias("first"), "by_adapter")
         .where("first is not null")
     )
-    sets = found.groupBy("record_id").agg(F.array_sort(F.collect_set("first")).alias("p"), F.array_sort(F.collect_set("by_adapter")).alias("q"))
+    sets = found.groupBy("record_id").agg(F.array_sort(F.collect_set("first")).alias("p"), F.array_sort(F.collect_set("by_adapter")).alias("q"), F.max("size").alias("size"))
     other = F.array_except("q", "p")
-    return sets.select("record_id", F.concat(F.array_join("p", "|"), F.when(F.size(other) > 0, F.concat(F.lit(";"), F.array_join(other, "|"))).otherwise(F.lit(""))).alias("pattern"))
+    return sets.select("record_id", F.concat(F.array_join("p", "|"), F.when(F.size(other) > 0, F.concat(F.lit(";"), F.array_join(other, "|"))).otherwise(F.lit(""))).alias("pattern"), "size")
 
 
 def _sources(pattern: str) -> tuple[list[str], list[str]]:
@@ -81,80 +88,102 @@ def _sources(pattern: str) -> tuple[list[str], list[str]]:
     return first.split("|"), more.split("|") if more else []
 
 
-def route(patterns: dict[str, int], lines: dict[str, tuple[float, int]], rows: int) -> tuple[dict, dict, dict]:
-    """(uses by (pattern, source), short rows by source, records by source) of one mix; ``lines``: share and cap by source."""
+def kinds(patterns: dict[str, tuple[int, int]], wanted: set[str]) -> dict[str, tuple[list[str], list[str], int, int, list[str]]]:
+    """kind -> (sources, further sources, records, units, patterns): the patterns of a mix by the wanted sources they name."""
+    out: dict[str, tuple] = {}
+    for p, (n, units) in sorted(patterns.items()):
+        first, more = ([s for s in part if s in wanted] for part in _sources(p))
+        if first or more:
+            name = "|".join(first) + (";" + "|".join(more) if more else "")
+            _, _, m, u, of = out.get(name, (first, more, 0, 0, []))
+            out[name] = (first, more, m + n, u + units, [*of, p])
+    if len(out) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of memberships in one mix")
+    return out
+
+
+def _network(of: dict, caps: dict[str, int], further: bool) -> tuple[Network, dict]:
+    """The uses of every kind, convex in their number, on arcs to its sources with the capacity that the source's cap allows."""
+    net, used = Network(), {}
+    for k, (first, more, _, units, _) in of.items():
+        mine = first + more if further else first
+        i, most = 0, sum(caps[s] for s in mine)
+        while i < most:  # one arc per repetition, from the 33rd on for twice as many each time
+            step = min(most - i, max(1, i // 32))
+            net.arc("S", ("k", k), units * step, 4 * i * i)
+            i += step
+        for s in mine:
+            used[k, s] = net.arc(("k", k), ("s", s), units * caps[s], 0 if s in first else 3)
+    return net, used
+
+
+def route(of: dict, lines: dict[str, tuple[float, int]], rows: int) -> tuple[dict, dict, dict]:
+    """(uses by (kind, source), short rows by source, quota by source) of one mix; ``lines``: share and cap by source."""
     order = sorted(lines)
-    want = dict(zip(order, apportion([lines[s][0] for s in order], rows), strict=True))
-    count: dict[str, int] = defaultdict(int)
-    for p, n in patterns.items():
-        for s in _sources(p)[0]:
-            count[s] += n
-    # Shortfalls: the requirement of each source from its own records or from slack.
-    net, slack = Network(), {}
+    caps = {s: lines[s][1] for s in order}
+    net, _ = _network(of, caps, False)
+    dear, slack = 8 * (1 + max(caps.values(), default=0) * len(order)) ** 2, {}
     for s in order:
-        net.arc("S", s, count[s] * lines[s][1])
-        slack[s] = net.arc("slack", s, INF, 1)
-        net.arc(s, "T", math.ceil(lines[s][0] * rows))
+        slack[s] = net.arc("slack", ("s", s), INF, dear)
+        net.arc(("s", s), "T", math.ceil(lines[s][0] * rows))
     net.arc("S", "slack", INF)
     net.send("S", "T", INF >> 2)
     short = {s: net.flow(h) for s, h in slack.items()}
-    # Routing: a pattern's uses cost more with every repetition, a source beyond its quota more still.
-    net, used = Network(), {}
-    for p, n in sorted(patterns.items()):
-        first, more = _sources(p)
-        mine = [s for s in first + more if s in lines]
-        if not mine:
-            continue
-        for k in range(min(lines[s][1] for s in mine)):
-            net.arc("S", ("p", p), n, 4 * k * k)
-        for s in mine:
-            used[p, s] = net.arc(("p", p), ("s", s), n * lines[s][1], 0 if s in first else 3)
+    net, used = _network(of, caps, True)
+    want = dict(zip(order, apportion([lines[s][0] for s in order], rows), strict=True))
     for s in order:
         net.arc(("s", s), "T", want[s])
-        left, cost = INF, 2_000
+        cost = dear
         for piece in slices(max(1, want[s])):
             net.arc(("s", s), "T", piece, cost)
             cost *= 2
-        net.arc(("s", s), "T", left, cost * 2)
+        net.arc(("s", s), "T", INF, cost * 2)
     net.send("S", "T", rows)
-    return {k: f for k, h in used.items() if (f := net.flow(h))}, short, dict(count)
+    return {k: f for k, h in used.items() if (f := net.flow(h))}, short, want
+
 
+def plan(members: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(report, routes, kinds) for a target table of fixed size. Sources that no line names get nothing.
 
-def plan(members: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(report, routes) for a target table of fixed size. Sources that no line names get nothing."""
+    ``short_rows`` is what a source's own records cannot give of its share within the allowed repetitions, ``lacking_rows``
+    what the mix as routed holds less of the source than its quota.
+    """
     spark = members.sparkSession
-    patterns = {r[0]: r[1] for r in members.groupBy("pattern").count().limit(MOST_PATTERNS + 1).collect()}
+    patterns = {r[0]: (r[1], r[2]) for r in members.groupBy("pattern").agg(F.count(F.lit(1)), F.sum("size")).limit(MOST_PATTERNS + 1).collect()}
     if len(patterns) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
     mixes: dict[str, dict] = defaultdict(dict)
     for r in sorted(targets.where("mix_name is not null and source_dataset is not null").select("mix_name", "source_dataset", "target_share", "max_repeats", "mix_rows").collect(), key=str):
         mixes[r[0]].setdefault(r[1], (float(r[2] or 0), max(0, int(r[3] or 0)), int(r[4] or 0)))
-    report, routes = [], []
+    report, routes, named = [], [], []
     for mix, lines in sorted(mixes.items()):
         rows = max(n for _, _, n in lines.values())
-        uses, short, count = route(patterns, {s: (a, b) for s, (a, b, _) in lines.items()}, rows)
+        of = kinds(patterns, set(lines))
+        uses, short, want = route(of, {s: (a, b) for s, (a, b, _) in lines.items()}, rows)
         got: dict[str, int] = defaultdict(int)
         reach: dict[str, int] = defaultdict(int)
-        for (p, s), f in sorted(uses.items()):
+        for (k, s), f in sorted(uses.items()):
             got[s] += f
-            routes.append((mix, p, s, reach[p], reach[p] + f, patterns[p]))
-            reach[p] += f
+            routes.append((mix, k, s, reach[k], reach[k] + f, of[k][3]))
+            reach[k] += f
+        named += [(mix, p, k) for k in of for p in of[k][4]]
         total = sum(got.values()) or 1
-        report += [(mix, s, a, b, count.get(s, 0), a * n, got[s], got[s] / total, short[s]) for s, (a, b, n) in sorted(lines.items())]
-    return spark.createDataFrame(report, REPORT), spark.createDataFrame(routes, ROUTE)
+        count = {s: sum(n for first, _, n, _, _ in of.values() if s in first) for s in lines}
+        report += [(mix, s, a, b, count[s], a * n, got[s], got[s] / total, short[s], max(0, want[s] - got[s])) for s, (a, b, n) in sorted(lines.items())]
+    return spark.createDataFrame(report, REPORT), spark.createDataFrame(routes, ROUTE), spark.createDataFrame(named, KIND)
 
 
-def mixed(members: DataFrame, routes: DataFrame, seed: str = "mix") -> DataFrame:
+def mixed(members: DataFrame, routes: DataFrame, named: DataFrame, seed: str = "mix") -> DataFrame:
     """(mix_name, source_dataset, record_id, repeats): how often each chosen record stands in the mix for the source.
 
-    The uses of a pattern are dealt in turn over its records in hash order: use t goes to the record of rank t modulo
-    the number of records, so no record is used a second time before all have been used once.
+    The uses of a kind are dealt in turn over its records in hash order, a record taking as many units as its size: use t
+    goes to the record that holds unit t modulo all units, so no record is used a second time before all have been used
+    once. A record is in if its first unit is, so a source's total is met to within one record.
     """
-    mixes = routes.select("mix_name", "pattern").distinct()
-    dealt = ranked(members.join(F.broadcast(mixes), "pattern").withColumn("u", unit_hash("mix_name", "record_id", seed=seed)), ["mix_name", "pattern"], "u", "record_id")
-    upto = lambda edge: F.floor((F.col(edge) - 1 - F.col("rank")) / F.col("n")) + 1  # noqa: E731  uses below the edge
+    w = ranked(members.where("size > 0").join(F.broadcast(named), "pattern").withColumn("u", unit_hash("mix_name", "record_id", seed=seed)), ["mix_name", "kind"], "u", "record_id", "start", weight="size")
+    upto = lambda edge: F.floor((F.col(edge) - 1 - F.col("start")) / F.col("n")) + 1  # noqa: E731  uses below the edge
     return (
-        dealt.join(F.broadcast(routes), ["mix_name", "pattern"])
+        w.join(F.broadcast(routes), ["mix_name", "kind"])
         .withColumn("repeats", (F.greatest(upto("last_use"), F.lit(0)) - F.greatest(upto("first_use"), F.lit(0))).cast("long"))
         .where("repeats > 0")
         .groupBy("mix_name", "source_dataset", "record_id")
@@ -162,6 +191,13 @@ def mixed(members: DataFrame, routes: DataFrame, seed: str = "mix") -> DataFrame
     )
 
 
+def totals(mix: DataFrame, targets: DataFrame) -> DataFrame:
+    """(mix_name, mixed_rows, lines_over_cap): the size of each mix, and lines that repeat a record more often than allowed."""
+    lines = targets.groupBy("mix_name", "source_dataset").agg(F.max("max_repeats").alias("cap"))
+    by_line = mix.groupBy("mix_name", "source_dataset").agg(F.sum("repeats").alias("n"), F.max("repeats").alias("most")).join(F.broadcast(lines), ["mix_name", "source_dataset"])
+    return by_line.groupBy("mix_name").agg(F.sum("n").alias("mixed_rows"), F.count_if(F.col("most") > F.col("cap")).alias("lines_over_cap"))
+
+
 def short_lines(report: DataFrame) -> DataFrame:
     """Lines whose share cannot be reached within the allowed repetitions."""
     return report.where("short_rows > 0").select("mix_name", "source_dataset")

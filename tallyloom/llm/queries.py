@@ -40,6 +40,10 @@ def p2_plan(spark: SparkSession, d: str) -> DataFrame:
     return quota_sample.plan(table(spark, d, "support_tickets"), table(spark, d, "sample_targets"))
 
 
+def p2_totals(spark: SparkSession, d: str) -> DataFrame:
+    return quota_sample.totals(p2_plan(spark, d))
+
+
 def p2_sample(spark: SparkSession, d: str) -> DataFrame:
     tickets = table(spark, d, "support_tickets")
     return quota_sample.sample(tickets, quota_sample.plan(tickets, table(spark, d, "sample_targets")))
@@ -49,12 +53,16 @@ def _marked(spark: SparkSession, d: str) -> DataFrame:
     return splits.with_seed_marks(splits.related(table(spark, d, "support_tickets_canonical")), table(spark, d, "support_tickets"))
 
 
+def p3_splits(spark: SparkSession, d: str) -> DataFrame:
+    return splits.assign(_marked(spark, d), table(spark, d, "split_targets"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return splits.torn(_marked(spark, d))
+    return p3_splits(spark, d).where("torn").select("record_id", "group_id")
 
 
-def p3_splits(spark: SparkSession, d: str) -> DataFrame:
-    return splits.assign(splits.related(table(spark, d, "support_tickets_canonical")), table(spark, d, "split_targets"))
+def p3_shares(spark: SparkSession, d: str) -> DataFrame:
+    return splits.shares(p3_splits(spark, d), table(spark, d, "split_targets")).drop("records", "actual_share")
 
 
 def _near(spark: SparkSession, d: str):
@@ -82,14 +90,22 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return mixing.short_lines(_mix(spark, d)[1])
 
 
+def p5_short(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1].select("mix_name", "source_dataset", "records", "short_rows")
+
+
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    members, report, _ = _mix(spark, d)
+    members, report, _, _ = _mix(spark, d)
     return mixing.witnessed(report, table(spark, d, "support_tickets_canonical"), members, table(spark, d, "source_registry"), table(spark, d, "support_tickets_dataset_composition"))
 
 
 def p5_mix(spark: SparkSession, d: str) -> DataFrame:
-    members, _, routes = _mix(spark, d)
-    return mixing.mixed(members, routes)
+    members, _, routes, kinds = _mix(spark, d)
+    return mixing.mixed(members, routes, kinds)
+
+
+def p5_totals(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.totals(p5_mix(spark, d), table(spark, d, "mix_targets"))
 
 
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:
@@ -185,6 +201,9 @@ def _alike(rows: str, allowed: str) -> str:
 _LABEL = "CASE WHEN regexp_replace(lower(trim({0})), '[\\s\\-]+', '_', 'g') IN ({1}) THEN regexp_replace(lower(trim({0})), '[\\s\\-]+', '_', 'g') END"
 _quoted = lambda names: ", ".join(f"'{n}'" for n in names)
 _ID = "nullif(lower(trim({0}, ' \t\n\r')), '')"
+_OF_SOURCE = """s AS (SELECT DISTINCT record_id, coalesce(a.dataset_name, b.dataset_name) AS source_dataset FROM support_tickets_canonical c
+             LEFT JOIN source_registry a ON c.source_dataset = a.dataset_name LEFT JOIN source_registry b ON c.metadata.adapter_name = b.adapter_name WHERE record_id IS NOT NULL),
+        n AS (SELECT source_dataset, count(*) AS n FROM s WHERE source_dataset IS NOT NULL GROUP BY 1)"""
 _MARK = "coalesce(lower(trim({0}, ' \t\n\r')) IN ({1}), false)"
 
 
@@ -204,6 +223,14 @@ def oracle_sql() -> dict[str, str]:
         n AS (SELECT l.c AS issue_category, l.p AS priority, count(*) AS n FROM r GROUP BY ALL)
         SELECT request_name, issue_category, priority FROM sample_targets t LEFT JOIN n USING (issue_category, priority)
         WHERE coalesce(n, 0) < target_share * sample_rows OR coalesce(n, 0) < min_rows""",
+        "p2_totals": f"""
+        WITH r AS (SELECT record_id, min(struct_pack(c := c, p := p)) AS l FROM (
+               SELECT record_id, {_LABEL.format('target.issue_category', _quoted(quota_sample.CATEGORIES))} AS c, {_LABEL.format('target.priority', _quoted(quota_sample.PRIORITIES))} AS p FROM support_tickets)
+             WHERE record_id IS NOT NULL AND c IS NOT NULL AND p IS NOT NULL GROUP BY 1),
+        n AS (SELECT l.c AS issue_category, l.p AS priority, count(*) AS n FROM r GROUP BY ALL)
+        SELECT request_name, count(*) AS cells, least(max(sample_rows), sum(coalesce(n, 0)))::BIGINT AS quota_rows, count_if(coalesce(n, 0) < target_share * sample_rows OR coalesce(n, 0) < min_rows) AS short_cells
+        FROM sample_targets t LEFT JOIN n USING (issue_category, priority) GROUP BY 1""",
+        "p3_shares": "SELECT split_name, target_share, true AS near_target, 0::BIGINT AS broken_groups FROM split_targets",
         "p3_found": f"""
         WITH RECURSIVE rows_ AS (SELECT record_id, {_ID.format('record_id')} AS node, {_ID.format('metadata.lineage_root_id')} AS root, {_ID.format('metadata.parent_record_id')} AS parent,
                {_MARK.format('split', train)} AS train, {_MARK.format('split', held)} AS held FROM support_tickets_canonical WHERE record_id IS NOT NULL),
@@ -217,10 +244,12 @@ def oracle_sql() -> dict[str, str]:
         g AS (SELECT component, min(record_id) AS group_id, bool_or(train) AS t, bool_or(held) AS h FROM rec JOIN mark USING (node) GROUP BY 1)
         SELECT record_id, group_id FROM rec JOIN g USING (component) WHERE t AND h""",
         "p4_found": " UNION ALL ".join(p4),
-        "p5_found": """
-        WITH s AS (SELECT DISTINCT record_id, coalesce(a.dataset_name, b.dataset_name) AS source_dataset FROM support_tickets_canonical c
-             LEFT JOIN source_registry a ON c.source_dataset = a.dataset_name LEFT JOIN source_registry b ON c.metadata.adapter_name = b.adapter_name WHERE record_id IS NOT NULL),
-        n AS (SELECT source_dataset, count(*) AS n FROM s WHERE source_dataset IS NOT NULL GROUP BY 1)
+        "p5_short": f"""
+        WITH {_OF_SOURCE} SELECT mix_name, source_dataset, coalesce(n, 0) AS records, greatest(0, ceil(target_share * mix_rows) - max_repeats * coalesce(n, 0))::BIGINT AS short_rows FROM mix_targets LEFT JOIN n USING (source_dataset)""",
+        "p5_totals": f"""
+        WITH {_OF_SOURCE} SELECT mix_name, least(max(mix_rows), sum(max_repeats * coalesce(n, 0)))::BIGINT AS mixed_rows, 0::BIGINT AS lines_over_cap FROM mix_targets LEFT JOIN n USING (source_dataset) GROUP BY 1""",
+        "p5_found": f"""
+        WITH {_OF_SOURCE}
         SELECT mix_name, source_dataset FROM mix_targets LEFT JOIN n USING (source_dataset) WHERE target_share * mix_rows > max_repeats * coalesce(n, 0)""",
         "p6_found": _alike(sides, "a.side = 1 AND b.side = 2"),
         "p7_sample": """

@@ -4,7 +4,8 @@ Records are related when one names the other, or both name the same id, as linea
 of that relation are the groups. Groups are counted by size class and label profile (bundles), and only these counts go
 to the driver. A min-cost flow sends the records of each bundle to the splits, with quotas on splits and convex costs
 for splits whose share of a profile runs ahead; it is rounded to whole groups, largest sizes first, carrying what
-rounding left over. Which groups of a bundle go where is decided by a seeded hash.
+rounding left over. Which groups of a bundle go where is decided by a seeded hash. The same table of groups tells which
+of them today's marks tear apart.
 """
 
 from __future__ import annotations
@@ -74,18 +75,17 @@ def groups(records: DataFrame) -> DataFrame:
     )
 
 
-def torn(records: DataFrame) -> DataFrame:
-    """(record_id, group_id): every record of a group that has both a train and a held-out mark."""
-    apart = groups(records).where("train and held").select("component", "group_id")
-    return salted_join(records.select("record_id", "component"), apart, "component").select("record_id", "group_id")
-
-
 def _size_class(size: Column) -> Column:
     return F.when(size <= EXACT_SIZES, size).otherwise(EXACT_SIZES + F.ceil(4 * F.log2(size / EXACT_SIZES))).cast("int")
 
 
 def allocate(bundles: list[tuple[int, str, int, int]], shares: dict[str, float]) -> list[tuple[int, str, str, int, int]]:
-    """Split whole groups: (size class, profile, split, first rank, last rank) from (size class, profile, groups, records)."""
+    """Split whole groups: (size class, profile, split, first rank, last rank) from (size class, profile, groups, records).
+
+    Without shares every bundle goes whole to a null split.
+    """
+    if not shares:
+        return [(size, profile, None, 0, n) for size, profile, n, _ in bundles]
     order = sorted(shares)
     whole = sum(shares.values()) or 1.0
     part = [shares[s] / whole for s in order]
@@ -128,16 +128,27 @@ def allocate(bundles: list[tuple[int, str, int, int]], shares: dict[str, float])
 
 
 def assign(records: DataFrame, targets: DataFrame, seed: str = "split") -> DataFrame:
-    """(record_id, group_id, split_name): every record, with all of its group in one split of ``targets`` (a small table).
+    """(record_id, group_id, split_name, torn): every record, with all of its group in one split of ``targets`` (a small table).
 
-    Lines with a null name or share are ignored; with none left the result is empty. Bundles are at most size classes
-    x profiles, whatever the number of groups.
+    ``torn`` tells groups that carry both a train and a held-out mark today. Lines with a null name or share are ignored;
+    with none left the split is null. Bundles are at most size classes x profiles, whatever the number of groups.
     """
     shares = {r[0]: float(r[1]) for r in targets.where("split_name is not null and target_share > 0").select("split_name", "target_share").collect()}
     of = written(groups(records).withColumn("size_class", _size_class(F.col("size"))).withColumn("profile", F.coalesce("category", F.lit("none"))), "groups")
     bundles = [tuple(r) for r in of.groupBy("size_class", "profile").agg(F.count(F.lit(1)), F.sum("size")).collect()]
-    placed = allocate(bundles, shares) if shares else []
-    ranges = records.sparkSession.createDataFrame(placed, "size_class int, profile string, split_name string, first long, last long")
+    ranges = records.sparkSession.createDataFrame(allocate(bundles, shares), "size_class int, profile string, split_name string, first long, last long")
     dealt = ranked(of.withColumn("u", unit_hash("group_id", seed=seed)), ["size_class", "profile"], "u", "group_id")
-    chosen = dealt.join(F.broadcast(ranges), ["size_class", "profile"]).where("rank >= first and rank < last").select("component", "group_id", "split_name")
-    return salted_join(records.select("record_id", "component"), chosen, "component").select("record_id", "group_id", "split_name")
+    # Ranges of a bundle are disjoint, at most one per split, and cover all of its ranks.
+    chosen = dealt.join(F.broadcast(ranges), ["size_class", "profile"]).where("rank >= first and rank < last").select("component", "group_id", "split_name", (F.col("train") & F.col("held")).alias("torn"))
+    return salted_join(records.select("record_id", "component"), chosen, "component").select("record_id", "group_id", "split_name", "torn")
+
+
+def shares(assigned: DataFrame, targets: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """(split_name, target_share, records, actual_share, near_target, broken_groups): how near the splits came, and groups with records in more than one split."""
+    counts = assigned.groupBy("split_name").agg(F.count(F.lit(1)).alias("records"))
+    total = assigned.agg(F.count(F.lit(1)).alias("__all"))
+    broken = assigned.groupBy("group_id").agg(F.min("split_name").alias("a"), F.max("split_name").alias("b")).agg(F.count_if(F.col("a") != F.col("b")).alias("broken_groups"))
+    lines = targets.where("split_name is not null and target_share > 0").select("split_name", "target_share")
+    out = F.broadcast(lines).join(counts, "split_name", "left").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(broken))  # a row each
+    share = F.coalesce(F.try_divide(F.coalesce("records", F.lit(0)), F.col("__all")), F.lit(0.0))
+    return out.select("split_name", "target_share", F.coalesce("records", F.lit(0)).alias("records"), share.alias("actual_share"), (F.abs(share - F.col("target_share")) <= tolerance).alias("near_target"), "broken_groups")

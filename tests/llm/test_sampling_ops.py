@@ -54,6 +54,24 @@ def test_quotas_follow_targets_floors_and_supply(spark):
     assert drawn[0] == drawn[1] and len(drawn[0]) == len(set(drawn[0])) == 40
 
 
+def test_rounding_is_random_fair_and_keeps_margins():
+    shares = dict(zip([(i, j) for i in "abc" for j in "xyz"], (0.1607, 0.1259, 0.1915, 0.1435, 0.0293, 0.1491, 0.05, 0.1, 0.05), strict=True))
+    drawn = [quota_sample.rounded(shares, 17, str(k)) for k in range(1_500)]
+    assert drawn[0] == quota_sample.rounded(shares, 17, "0") and len({str(d) for d in drawn}) > 20
+    for d in drawn:
+        assert sum(d.values()) == 17 and all(abs(d[c] - shares[c] * 17) < 1 for c in d)
+        for axis in (0, 1):
+            for label in {c[axis] for c in d}:
+                assert abs(sum(n for c, n in d.items() if c[axis] == label) - 17 * sum(x for c, x in shares.items() if c[axis] == label)) < 1
+    assert all(abs(sum(d[c] for d in drawn) / len(drawn) - shares[c] * 17) < 0.06 for c in shares)
+    assert quota_sample.rounded({("a", "x"): 1 / 3}, 1, "s") in ({("a", "x"): 0}, {("a", "x"): 1}) and quota_sample.rounded({}, 5, "s") == {}
+
+
+def test_margins_that_give_way_are_told():
+    got, rows, cols = quota_sample.quotas({("a", "x"): 0.5, ("b", "y"): 0.5}, {}, {("a", "x"): 10, ("b", "y"): 2}, 10)
+    assert got == {("a", "x"): 8, ("b", "y"): 2} and rows == {"a": 3, "b": 0} and cols == {"x": 3, "y": 0}
+
+
 def test_quota_sample_of_empty_tables(spark):
     t = tickets(spark, [])
     targets = spark.createDataFrame([("r", "billing", "low", 1.0, 2, 5), (None, "billing", "low", 1.0, 1, 1)], REQUEST)
@@ -75,7 +93,10 @@ def test_torn_groups(spark):
     df = canon(spark, [("A", "train", "a ", None), ("B", "eval", " A", None), ("C", "train", "gone", None), ("D", "train", None, "GONE"), ("E", "train", "E", None), ("E", "train", "e", None), ("F", None, None, None), (None, "eval", "a", None)])
     seed = spark.createDataFrame([("e", " Test"), ("F", ""), ("C", "train"), (None, "test")], "record_id string, split string")
     marked = splits.with_seed_marks(splits.related(df), seed)
-    assert {tuple(r) for r in splits.torn(marked).collect()} == {("A", "A"), ("B", "A"), ("E", "E")}
+    targets = spark.createDataFrame([("train", 0.7), ("test", 0.3)], "split_name string, target_share double")
+    for lines in (targets, targets.limit(0)):
+        rows = splits.assign(marked, lines).collect()
+        assert {(r["record_id"], r["group_id"]) for r in rows if r["torn"]} == {("A", "A"), ("B", "A"), ("E", "E")} and len(rows) == 6
 
 
 def test_split_assignment_keeps_groups_and_shares(spark):
@@ -84,10 +105,12 @@ def test_split_assignment_keeps_groups_and_shares(spark):
     out = [sorted(tuple(r) for r in splits.assign(splits.related(canon(spark, rows).repartition(n)), targets).collect()) for n in (1, 4)]
     assert out[0] == out[1] and len(out[0]) == len(rows)
     of = {}
-    for r, g, s in out[0]:
-        assert of.setdefault(g, s) == s
-    share = sum(1 for _, _, s in out[0] if s == "train") / len(rows)
+    for _, g, s, torn in out[0]:
+        assert of.setdefault(g, s) == s and not torn
+    share = sum(1 for _, _, s, _ in out[0] if s == "train") / len(rows)
     assert abs(share - 0.7) < 0.02
+    report = {r["split_name"]: r for r in splits.shares(splits.assign(splits.related(canon(spark, rows)), targets), targets).collect()}
+    assert set(report) == {"train", "test"} and report["train"]["actual_share"] == share and all(r["near_target"] and r["broken_groups"] == 0 for r in report.values())
     assert splits.assign(splits.related(canon(spark, [])), targets).count() == 0
 
 
@@ -102,10 +125,10 @@ def test_mix_reaches_shares_or_reports(spark):
     m = mixing.memberships(spark.createDataFrame(rows, SRC), reg)
     assert m.count() == 51 and m.where("record_id = 'x'").first()["pattern"] == "a;b"
     targets = spark.createDataFrame([("m", "a", 0.5, 2, 60), ("m", "b", 0.5, 1, 60)], "mix_name string, source_dataset string, target_share double, max_repeats int, mix_rows long")
-    report, routes = mixing.plan(m, targets)
+    report, routes, kinds = mixing.plan(m, targets)
     r = {x["source_dataset"]: x for x in report.collect()}
     assert r["a"]["records"] == 11 and r["a"]["short_rows"] == 8 and r["b"]["short_rows"] == 0 and [tuple(x) for x in mixing.short_lines(report).collect()] == [("m", "a")]
-    used = mixing.mixed(m, routes).collect()
+    used = mixing.mixed(m, routes, kinds).collect()
     assert sum(u["repeats"] for u in used) == 60 and max(u["repeats"] for u in used if u["source_dataset"] == "a") <= 2 and max(u["repeats"] for u in used if u["source_dataset"] == "b") == 1
     assert sum(u["repeats"] for u in used if u["source_dataset"] == "a") == r["a"]["mixed_rows"]
 
@@ -114,8 +137,56 @@ def test_mix_of_nothing(spark):
     reg = spark.createDataFrame([("a", "fa")], "dataset_name string, adapter_name string")
     targets = spark.createDataFrame([("m", "a", 1.0, 1, 5)], "mix_name string, source_dataset string, target_share double, max_repeats int, mix_rows long")
     m = mixing.memberships(spark.createDataFrame([], SRC), reg)
-    report, routes = mixing.plan(m, targets)
-    assert report.first()["short_rows"] == 5 and mixing.mixed(m, routes).count() == 0
+    report, routes, kinds = mixing.plan(m, targets)
+    assert report.first()["short_rows"] == report.first()["lacking_rows"] == 5 and mixing.mixed(m, routes, kinds).count() == 0
+
+
+TARGETS = "mix_name string, source_dataset string, target_share double, max_repeats int, mix_rows long"
+
+
+def test_mix_of_records_in_two_sources(spark):
+    """Each source uses a shared record as often as its own line allows, and what cannot be had is told."""
+    m = spark.createDataFrame([(f"r{i}", "a|b", 1) for i in range(10)], "record_id string, pattern string, size long")
+    for rows, got, lacking in ((20, (10, 10), (0, 0)), (40, (30, 10), (0, 10)), (200, (50, 10), (50, 90))):
+        report, routes, kinds = mixing.plan(m, spark.createDataFrame([("m", "a", 0.5, 5, rows), ("m", "b", 0.5, 1, rows)], TARGETS))
+        r = {x["source_dataset"]: x for x in report.collect()}
+        assert tuple(r[s]["mixed_rows"] for s in "ab") == got and tuple(r[s]["lacking_rows"] for s in "ab") == lacking
+        assert (r["a"]["short_rows"], r["b"]["short_rows"]) == (max(0, rows // 2 - 50), max(0, rows // 2 - 10))
+        used = {s: [u["repeats"] for u in mixing.mixed(m, routes, kinds).collect() if u["source_dataset"] == s] for s in "ab"}
+        assert tuple(sum(used[s]) for s in "ab") == got and max(used["a"]) <= 5 and max(used["b"]) == 1
+
+
+def test_mix_by_tokens(spark):
+    reg = spark.createDataFrame([("a", "fa"), ("b", "fb")], "dataset_name string, adapter_name string")
+    rows = [(f"{s}{i}", s, (None,), i % 9) for s in "ab" for i in range(200)]
+    df = spark.createDataFrame(rows + [rows[5], ("null", "a", (None,), None)], "record_id string, source_dataset string, metadata struct<adapter_name:string>, tokens int")
+    m = mixing.memberships(df, reg, F.col("tokens"))
+    report, routes, kinds = mixing.plan(m, spark.createDataFrame([("m", "a", 0.75, 3, 2_000), ("m", "b", 0.25, 1, 2_000)], TARGETS))
+    size = {r["record_id"]: r["size"] for r in m.collect()}
+    got = {s: sum(u["repeats"] * size[u["record_id"]] for u in mixing.mixed(m, routes, kinds).collect() if u["source_dataset"] == s) for s in "ab"}
+    assert abs(got["a"] - 1_500) <= 8 and abs(got["b"] - 500) <= 8 and report.where("short_rows > 0").count() == 0
+
+
+def test_many_patterns_of_few_wanted_sources():
+    patterns = {"|".join(sorted({"a", f"x{i}", f"y{i % 50}"})): (1, 2) for i in range(3_000)}
+    of = mixing.kinds(patterns, {"a", "b"})
+    assert list(of) == ["a"] and of["a"][2:4] == (3_000, 6_000) and mixing.route(of, {"a": (1.0, 1), "b": (0.0, 1)}, 10)[0] == {("a", "a"): 10}
+    with pytest.raises(ValueError):
+        mixing.kinds({f"s{i}": (1, 1) for i in range(mixing.MOST_KINDS + 1)}, {f"s{i}" for i in range(mixing.MOST_KINDS + 1)})
+
+
+# The result queries come out of the operators
+
+
+@pytest.mark.parametrize("module,name,query", [(quota_sample, "shortfalls", "p2_found"), (splits, "allocate", "p3_found"), (mixing, "route", "p5_found")])
+def test_results_hang_on_the_flow(spark, monkeypatch, module, name, query):
+    from tallyloom.llm import queries
+
+    stubs = {"shortfalls": lambda need, have: dict.fromkeys(need, 0), "allocate": lambda bundles, shares: [], "route": lambda of, lines, rows: ({}, dict.fromkeys(lines, 0), dict.fromkeys(lines, 0))}
+    d = "/root/testdata/sf0.001"
+    assert queries.queries()[query](spark, d).count() > 0
+    monkeypatch.setattr(module, name, stubs[name])
+    assert queries.queries()[query](spark, d).count() == 0
 
 
 # Problem 7
