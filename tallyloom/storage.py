@@ -49,13 +49,19 @@ def _delete(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back; the files go when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, tag)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists in its file system."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
