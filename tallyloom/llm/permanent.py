@@ -9,45 +9,72 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..plans.ranking import unit_hash
 from ..storage import exists
 
+#: Appends that may run at the same time before one of them gives up.
+TRIES = 20
+
 
 class NumberRegistry:
     """Permanent numbers and thresholds below one folder of a shared file system.
 
     Numbers come from a hash of seed and identifier rather than from a generator: a task that is run twice, after an
     executor was lost, writes the same number. They are persisted all the same, so a later change of the seed leaves
-    identifiers that were seen before untouched.
+    identifiers that were seen before untouched. Every append is a numbered batch that is written once: an append that
+    failed on its way is overwritten, of two writers that want the same number one takes the next, and an identifier
+    that stands in several batches has the number of the first.
     """
 
     def __init__(self, spark: SparkSession, path: str, seed: str = "permanent") -> None:
         self.spark, self.path, self.seed = spark, path.rstrip("/"), seed
 
+    def _batches(self, kind: str) -> int:
+        """How many finished batches there are."""
+        n = 0
+        while exists(self.spark, f"{self.path}/{kind}/batch={n}/_SUCCESS"):
+            n += 1
+        return n
+
+    def _read(self, kind: str, schema: str) -> DataFrame:
+        n = self._batches(kind)
+        if not n:
+            return self.spark.createDataFrame([], f"{schema}, batch int")
+        return self.spark.read.schema(f"{schema}, batch int").option("basePath", f"{self.path}/{kind}").parquet(*[f"{self.path}/{kind}/batch={i}" for i in range(n)])
+
+    def _append(self, kind: str, rows: DataFrame) -> None:
+        for _ in range(TRIES):
+            at = f"{self.path}/{kind}/batch={self._batches(kind)}"
+            try:
+                rows.write.mode("error" if exists(self.spark, at + "/_SUCCESS") else "overwrite").option("compression", "zstd").parquet(at)
+                return
+            except AnalysisException:  # another writer was faster
+                continue
+        raise RuntimeError(f"no batch of {self.path}/{kind} could be written")
+
     def numbers(self) -> DataFrame:
-        """(id, u) of all identifiers seen so far."""
-        at = f"{self.path}/numbers"
-        return self.spark.read.schema("id string, u double").parquet(at) if exists(self.spark, at) else self.spark.createDataFrame([], "id string, u double")
+        """(id, u) of all identifiers seen so far, one row each."""
+        return self._read("numbers", "id string, u double").groupBy("id").agg(F.min_by("u", "batch").alias("u"))
 
     def register(self, ids: DataFrame, column: str) -> DataFrame:
         """Add the identifiers not seen before; nulls are left out, repeats count once. Returns all numbers."""
-        seen = self.numbers()
-        fresh = ids.select(F.col(column).cast("string").alias("id")).where("id is not null").distinct()
-        if exists(self.spark, f"{self.path}/numbers"):
-            fresh = fresh.join(seen, "id", "left_anti")
-        fresh.select("id", unit_hash("id", seed=self.seed).alias("u")).write.mode("append").option("compression", "zstd").parquet(f"{self.path}/numbers")
+        fresh = ids.select(F.col(column).cast("string").alias("id")).where("id is not null").distinct().join(self._read("numbers", "id string, u double").select("id"), "id", "left_anti")
+        self._append("numbers", fresh.select("id", unit_hash("id", seed=self.seed).alias("u")))
         return self.numbers()
 
     def thresholds(self, rates: DataFrame) -> DataFrame:
-        """(sample_name, threshold): the largest rate ever asked for under each name, after adding ``rates``.
+        """(sample_name, threshold): the largest rate ever asked for under each name, after adding what in ``rates`` is new or larger.
 
-        A null rate counts as 0. The table has one row per name and call, so it is small.
+        A null rate counts as 0.
         """
-        at = f"{self.path}/thresholds"
+        known = self._read("thresholds", "sample_name string, rate double").groupBy("sample_name").agg(F.max("rate").alias("rate"))
         asked = rates.where("sample_name is not null").groupBy("sample_name").agg(F.coalesce(F.max("rate"), F.lit(0.0)).alias("rate"))
-        asked.coalesce(1).write.mode("append").parquet(at)
-        return self.spark.read.schema("sample_name string, rate double").parquet(at).groupBy("sample_name").agg(F.max("rate").alias("threshold"))
+        more = asked.join(known.withColumnRenamed("rate", "before"), "sample_name", "left").where("before is null or rate > before").select("sample_name", "rate")
+        if not more.isEmpty():
+            self._append("thresholds", more.coalesce(1))
+        return self._read("thresholds", "sample_name string, rate double").groupBy("sample_name").agg(F.max("rate").alias("threshold"))
 
 
 def permanent_sample(ids: DataFrame, column: str, rates: DataFrame, registry: NumberRegistry) -> DataFrame:

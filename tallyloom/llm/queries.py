@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from ..storage import shared_dir
+from ..storage import scratch, shared_dir
 from . import encoding, leakage, mixing, neardup, overlap, packing, permanent, pii, quota_sample, splits
 
 #: Key of the pseudonyms in the queries; a deployment gives its own.
@@ -132,7 +132,9 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _registry(spark: SparkSession, d: str) -> permanent.NumberRegistry:
-    return permanent.NumberRegistry(spark, f"{shared_dir(spark)}/numbers-{hashlib.sha1(d.encode()).hexdigest()[:16]}")
+    """The registry of a data directory: below the folder named in ``spark.tallyloom.registry``, else in the shared folder."""
+    at = spark.conf.get("spark.tallyloom.registry", None) or f"{shared_dir(spark)}/registry"
+    return permanent.NumberRegistry(spark, f"{at}/{hashlib.sha1(d.encode()).hexdigest()[:16]}")
 
 
 def p7_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -140,10 +142,20 @@ def p7_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_builds(spark: SparkSession, d: str) -> DataFrame:
-    """How many of a build's records each sample holds; a record counts in the first build that names it."""
-    canonical = table(spark, d, "support_tickets_canonical")
+    """(sample_name, build_label, sampled, lost): two builds of the sample, the second after the last build's records have come and under another seed.
+
+    A record counts in the first build that names it; ``lost`` are records of the first sample that the second lacks. The
+    history is played in a folder of its own, so every call gives the same.
+    """
+    canonical, rates = table(spark, d, "support_tickets_canonical"), table(spark, d, "sample_rates")
     first = canonical.where("record_id is not null").groupBy("record_id").agg(F.min(F.col("metadata.extras")["build_label"]).alias("build_label"))
-    return p7_sample(spark, d).join(first, "record_id").groupBy("sample_name", "build_label").agg(F.count(F.lit(1)).alias("sampled"))
+    last = first.agg(F.max("build_label").alias("last"))
+    old = first.join(F.broadcast(last), F.col("build_label") < F.col("last"), "left_semi").select("record_id")  # one row
+    path = scratch(spark, "history")
+    before = permanent.permanent_sample(old, "record_id", rates, permanent.NumberRegistry(spark, path))
+    after = permanent.permanent_sample(canonical, "record_id", rates, permanent.NumberRegistry(spark, path, "permanent of a later day"))
+    both = after.withColumn("now", F.lit(1)).join(before.withColumn("then", F.lit(1)), ["sample_name", "record_id"], "full")
+    return both.join(first, "record_id").groupBy("sample_name", "build_label").agg(F.count("now").alias("sampled"), F.count_if(F.col("now").isNull()).alias("lost"))
 
 
 def _bins(spark: SparkSession, d: str) -> DataFrame:
@@ -256,9 +268,9 @@ def oracle_sql() -> dict[str, str]:
         SELECT sample_name, record_id FROM (SELECT DISTINCT record_id FROM support_tickets_canonical WHERE record_id IS NOT NULL), sample_rates
         WHERE ('0x' || substr(sha256('permanent:' || record_id), 1, 13))::BIGINT / 4503599627370496.0 < rate""",
         "p7_builds": """
-        WITH f AS (SELECT record_id, min(metadata.extras['build_label']) AS build_label FROM support_tickets_canonical WHERE record_id IS NOT NULL GROUP BY 1)
-        SELECT sample_name, build_label, count(*) AS sampled FROM f, sample_rates
-        WHERE ('0x' || substr(sha256('permanent:' || record_id), 1, 13))::BIGINT / 4503599627370496.0 < rate GROUP BY ALL""",
+        WITH f AS (SELECT record_id, min(metadata.extras['build_label']) AS build_label FROM support_tickets_canonical WHERE record_id IS NOT NULL GROUP BY 1),
+        u AS (SELECT *, ('0x' || substr(sha256(CASE WHEN build_label < (SELECT max(build_label) FROM f) THEN 'permanent:' ELSE 'permanent of a later day:' END || record_id), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM f)
+        SELECT sample_name, build_label, count(*) AS sampled, 0::BIGINT AS lost FROM u, sample_rates WHERE u < rate GROUP BY ALL""",
         "p9_found": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
         b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark_items WHERE text IS NOT NULL),

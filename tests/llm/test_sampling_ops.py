@@ -208,6 +208,33 @@ def test_permanent_sample_only_grows(spark, tmp_path):
     assert permanent.permanent_sample(spark.createDataFrame([(None,)], "record_id string"), "record_id", rates(1.0), permanent.NumberRegistry(spark, str(tmp_path / "e"))).count() == 0
 
 
+def test_registry_keeps_the_first_number_of_an_id(spark, tmp_path):
+    """A batch that another writer adds with the same ids changes nothing, and an unfinished one is written over."""
+    reg = permanent.NumberRegistry(spark, str(tmp_path / "r"))
+    ids = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "record_id string")
+    first = {tuple(r) for r in reg.register(ids, "record_id").collect()}
+    reg._append("numbers", spark.createDataFrame([("a", 0.999), ("c", 0.5)], "id string, u double"))
+    assert {tuple(r) for r in reg.numbers().collect()} == first | {("c", 0.5)}
+    (tmp_path / "r" / "numbers" / "batch=2").mkdir()
+    (tmp_path / "r" / "numbers" / "batch=2" / "part-0.parquet").write_text("half a file")
+    assert {tuple(r)[0] for r in reg.register(spark.createDataFrame([("d",)], "record_id string"), "record_id").collect()} == {"a", "b", "c", "d"}
+    rates = spark.createDataFrame([("s", 0.5), ("t", None), (None, 1.0)], "sample_name string, rate double")
+    for _ in range(3):
+        assert {tuple(r) for r in reg.thresholds(rates).collect()} == {("s", 0.5), ("t", 0.0)}
+    assert reg._batches("thresholds") == 1
+
+
+def test_builds_hang_on_the_registry(spark, monkeypatch):
+    from tallyloom.llm import queries
+
+    d = "/root/testdata/sf0.01"
+    rows = lambda: sorted(tuple(r) for r in queries.p7_builds(spark, d).collect())
+    kept = rows()
+    assert kept == rows() and all(r[3] == 0 for r in kept)
+    monkeypatch.setattr(permanent.NumberRegistry, "register", lambda self, ids, column: ids.select(F.col(column).alias("id"), permanent.unit_hash(column, seed=self.seed).alias("u")).distinct())
+    assert rows() != kept
+
+
 # Problem 8
 
 
