@@ -4,7 +4,8 @@ Packing looks only at how many documents have each token count, a table of at mo
 third of the capacity stand at most two to a window and are paired greedily, the largest with the largest that still
 fits; smaller ones then go, in falling size, into the fullest window that still takes them. The result is a list of
 segments "the documents of this size with these ranks go to these windows at this offset", which is joined back to the
-documents by size and rank. Only texts longer than a window are cut: into full windows and one rest.
+documents by size and block of ranks: the ranks of a size are cut into as many blocks as the size has segments, so a
+document meets two segments on average, however many a size has. Only texts longer than a window are cut: into full windows and one rest.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 
 from ..plans.ranking import ranked, unit_hash
 
-#: Segments up to this number are broadcast (about 40 bytes each); more are joined by shuffle.
+#: Segments up to this number are broadcast (about 60 bytes each); more are joined by shuffle.
 BROADCAST_SEGMENTS = 400_000
+#: Documents of one size in a bucket of the ranking.
+BUCKET_ROWS = 100_000
 
 _encodings: dict[str, object] = {}
 
@@ -118,6 +121,15 @@ def pack(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, in
     return segments, windows
 
 
+def blocks(segments: list[tuple[int, int, int, int, int]]) -> tuple[list[tuple[int, int, int, int, int, int]], dict[int, int]]:
+    """Segments as (size, block, first rank, last rank, first window, offset), repeated for every block of ranks that they reach into, and the width of a block by size."""
+    of: dict[int, list] = defaultdict(list)
+    for s in segments:
+        of[s[0]].append(s)
+    width = {size: -(-max(last for _, _, last, _, _ in parts) // len(parts)) for size, parts in of.items()}
+    return [(s[0], b, *s[1:]) for s in segments for b in range(s[1] // width[s[0]], (s[2] - 1) // width[s[0]] + 1)], width
+
+
 def windows_of(sizes: DataFrame, windows: DataFrame, doc_id: str = "doc_id", seed: str = "window") -> DataFrame:
     """(window_name, doc_id, piece, first_token, n_tokens, bin_id, bin_offset) for each line of the small table ``windows``.
 
@@ -136,17 +148,21 @@ def windows_of(sizes: DataFrame, windows: DataFrame, doc_id: str = "doc_id", see
     counts: dict[str, dict[int, int]] = defaultdict(dict)
     for r in items.where("rest > 0").groupBy("window_name", "rest").count().collect():
         counts[r[0]][int(r[1])] = r[2]
-    segments, packed = [], []
+    segments, widths = [], []
     for name, cap in sorted(kinds.items()):
-        parts, bins = pack(counts[name], cap)
-        packed.append((name, bins))
-        segments += [(name, *p) for p in parts]
-    where = spark.createDataFrame(segments, "window_name string, rest long, first long, last long, bin_first long, bin_offset long")
+        more, of = blocks(pack(counts[name], cap)[0])
+        segments += [(name, *s) for s in more]
+        widths += [(name, size, width) for size, width in of.items()]
+    where = spark.createDataFrame(segments, "window_name string, rest long, block long, first long, last long, bin_first long, bin_offset long")
     if len(segments) <= BROADCAST_SEGMENTS:
         where = F.broadcast(where)
-    whole = ranked(items.where("rest > 0").withColumn("u", unit_hash(F.col("window_name"), F.col(doc_id).cast("string"), seed=seed)), ["window_name", "rest"], "u", doc_id, buckets=32)
+    width = F.broadcast(spark.createDataFrame(widths, "window_name string, rest long, width long"))  # one row per window and size
+    most = max((n for of in counts.values() for n in of.values()), default=0)
+    whole = ranked(items.where("rest > 0").withColumn("u", unit_hash(F.col("window_name"), F.col(doc_id).cast("string"), seed=seed)), ["window_name", "rest"], "u", doc_id, buckets=most // BUCKET_ROWS + 1)
     rests = (
-        whole.join(where, ["window_name", "rest"])
+        whole.join(width, ["window_name", "rest"])
+        .withColumn("block", F.floor(F.col("rank") / F.col("width")))
+        .join(where, ["window_name", "rest", "block"])
         .where("rank >= first and rank < last")
         .select("window_name", doc_id, F.col("full").cast("long").alias("piece"), (F.col("full") * F.col("capacity")).cast("long").alias("first_token"), F.col("rest").cast("long").alias("n_tokens"), F.concat(F.lit("r"), (F.col("bin_first") + F.col("rank") - F.col("first")).cast("string")).alias("bin_id"), "bin_offset")
     )
@@ -159,6 +175,24 @@ def windows_of(sizes: DataFrame, windows: DataFrame, doc_id: str = "doc_id", see
 
 
 def usage(bins: DataFrame, windows: DataFrame) -> DataFrame:
-    """(window_name, bins, tokens, fill): how full the used windows are."""
-    used = bins.groupBy("window_name").agg(F.countDistinct("bin_id").alias("bins"), F.sum("n_tokens").alias("tokens"))
-    return used.join(F.broadcast(windows.select("window_name", "capacity_tokens")), "window_name").select("window_name", "bins", "tokens", (F.col("tokens") / (F.col("bins") * F.col("capacity_tokens"))).alias("fill"))
+    """(window_name, bins, tokens, fill, least_bins): how full the used windows are, and a number below which no packing can go.
+
+    ``least_bins`` is the larger of the tokens over the capacity and the number of pieces of more than half a window.
+    """
+    caps = F.broadcast(windows.select("window_name", "capacity_tokens").distinct())
+    of = bins.join(caps, "window_name")
+    used = of.groupBy("window_name", "capacity_tokens").agg(F.countDistinct("bin_id").alias("bins"), F.sum("n_tokens").alias("tokens"), F.count_if(2 * F.col("n_tokens") > F.col("capacity_tokens")).alias("__large"))
+    fill = F.col("tokens") / (F.col("bins") * F.col("capacity_tokens"))
+    return used.select("window_name", "bins", "tokens", fill.alias("fill"), F.greatest(F.ceil(F.col("tokens") / F.col("capacity_tokens")), "__large").alias("least_bins"))
+
+
+def wholeness(bins: DataFrame, windows: DataFrame) -> DataFrame:
+    """(window_name, documents, cut_needlessly, overfull, overlapping): every document stands in every window kind; the other counts are 0 if no
+    text was cut that fits, and no window holds more than it can or two texts at one place."""
+    caps = F.broadcast(windows.where("window_name is not null and capacity_tokens > 0").select("window_name", "capacity_tokens").distinct())
+    docs = bins.groupBy("window_name", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("n")).join(caps, "window_name")
+    whole = docs.groupBy("window_name").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("pieces") != F.ceil(F.col("n") / F.col("capacity_tokens"))).alias("cut_needlessly"))
+    full = bins.groupBy("window_name", "bin_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("bin_offset") + F.col("n_tokens")).alias("end"), F.min("bin_offset").alias("begin")).join(caps, "window_name")
+    # Texts that leave no gap from offset 0 on cannot overlap.
+    tight = full.groupBy("window_name").agg(F.count_if(F.col("end") > F.col("capacity_tokens")).alias("overfull"), F.count_if((F.col("begin") != 0) | (F.col("end") != F.col("n"))).alias("overlapping"))
+    return whole.join(tight, "window_name")

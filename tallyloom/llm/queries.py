@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from ..storage import scratch, shared_dir
+from ..storage import scratch, shared_dir, written
 from . import encoding, leakage, mixing, neardup, overlap, packing, permanent, pii, quota_sample, splits
 
 #: Key of the pseudonyms in the queries; a deployment gives its own.
@@ -159,8 +159,6 @@ def p7_builds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bins(spark: SparkSession, d: str) -> DataFrame:
-    from ..storage import written
-
     sizes = written(packing.token_counts(table(spark, d, "documents"), packing.default_vocabulary()), "sizes")
     return packing.windows_of(sizes, table(spark, d, "context_windows"))
 
@@ -173,6 +171,10 @@ def p8_usage(spark: SparkSession, d: str) -> DataFrame:
     return packing.usage(_bins(spark, d), table(spark, d, "context_windows"))
 
 
+def p8_whole(spark: SparkSession, d: str) -> DataFrame:
+    return packing.wholeness(_bins(spark, d), table(spark, d, "context_windows"))
+
+
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "benchmark_items"))
 
@@ -271,6 +273,8 @@ def oracle_sql() -> dict[str, str]:
         WITH f AS (SELECT record_id, min(metadata.extras['build_label']) AS build_label FROM support_tickets_canonical WHERE record_id IS NOT NULL GROUP BY 1),
         u AS (SELECT *, ('0x' || substr(sha256(CASE WHEN build_label < (SELECT max(build_label) FROM f) THEN 'permanent:' ELSE 'permanent of a later day:' END || record_id), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM f)
         SELECT sample_name, build_label, count(*) AS sampled, 0::BIGINT AS lost FROM u, sample_rates WHERE u < rate GROUP BY ALL""",
+        "p8_whole": """
+        SELECT window_name, (SELECT count(*) FROM documents WHERE text <> '') AS documents, 0::BIGINT AS cut_needlessly, 0::BIGINT AS overfull, 0::BIGINT AS overlapping FROM context_windows""",
         "p9_found": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
         b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark_items WHERE text IS NOT NULL),

@@ -260,6 +260,25 @@ def test_packing_is_whole_and_tight(seed):
     assert bins <= 1.25 * -(-total // cap) + 1 + sum(n for s, n in counts.items() if 2 * s > cap)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_blocks_meet_each_rank_in_its_segment(seed):
+    """Every rank finds exactly its own segment, after looking at few others however many segments its size has."""
+    rnd = random.Random(seed)
+    counts = {s: rnd.randrange(1, 3_000) for s in rnd.sample(range(1, 200), 60)}
+    segments, _ = packing.pack(counts, 200)
+    parts, width = packing.blocks(segments)
+    met = looked = 0
+    by = {}
+    for size, block, first, last, window, offset in parts:
+        by.setdefault((size, block), []).append((first, last, window, offset))
+    for size, n in counts.items():
+        for rank in range(n):
+            here = by[size, rank // width[size]]
+            looked += len(here)
+            met += sum(a <= rank < b for a, b, _, _ in here)
+    assert met == sum(counts.values()) and looked <= 3 * met
+
+
 def test_pack_nothing_and_full():
     assert packing.pack({}, 10) == ([], 0) and packing.pack({10: 3}, 10)[1] == 3 and packing.pack({5: 3}, 10)[1] == 2 and packing.pack({1: 25}, 10)[1] == 3
 
@@ -275,7 +294,8 @@ def test_windows_of_documents(spark):
         mine = sorted((r["piece"], r["first_token"], r["n_tokens"]) for r in rows if r["doc_id"] == d)
         assert sum(m[2] for m in mine) == total and len(mine) == -(-total // 512)
     used = packing.usage(packing.windows_of(sizes, win), win).first()
-    assert used["tokens"] == sum(n.values()) and used["bins"] == 2
+    assert used["tokens"] == sum(n.values()) and used["bins"] == 2 and used["least_bins"] == 2
+    assert [tuple(r) for r in packing.wholeness(packing.windows_of(sizes, win), win).collect()] == [("w", 3, 0, 0, 0)]
     assert packing.windows_of(sizes.limit(0), win).count() == 0
 
 
