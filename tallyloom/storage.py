@@ -10,6 +10,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -66,3 +67,38 @@ def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists in its file system."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+class Batches:
+    """A table below one folder of a shared file system that grows by numbered batches, each written once.
+
+    A batch that failed on its way is overwritten; of two writers that want the same number one takes the next.
+    """
+
+    #: Appends that may run at the same time before one of them gives up.
+    TRIES = 20
+
+    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+
+    def count(self) -> int:
+        """How many finished batches there are."""
+        n = 0
+        while exists(self.spark, f"{self.path}/batch={n}/_SUCCESS"):
+            n += 1
+        return n
+
+    def read(self) -> DataFrame:
+        """All rows, with the number of their ``batch``."""
+        n, schema = self.count(), f"{self.schema}, batch int"
+        return self.spark.read.schema(schema).option("basePath", self.path).parquet(*[f"{self.path}/batch={i}" for i in range(n)]) if n else self.spark.createDataFrame([], schema)
+
+    def append(self, rows: DataFrame) -> None:
+        for _ in range(self.TRIES):
+            at = f"{self.path}/batch={self.count()}"
+            try:
+                rows.write.mode("error" if exists(self.spark, at + "/_SUCCESS") else "overwrite").option("compression", "zstd").parquet(at)
+                return
+            except AnalysisException:  # another writer was faster
+                continue
+        raise RuntimeError(f"no batch of {self.path} could be written")
