@@ -8,6 +8,7 @@ collinear seeds of five words are chained and extended word by word, and the lik
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
@@ -20,12 +21,12 @@ from pyspark.sql import functions as F
 from ..plans import salted_join
 from ..storage import written
 from . import neardup
-from .leakage import words as python_words
 from .neardup import BUCKET_POSTINGS
 from .postings import Similarity, candidates, flat, hashed, mix, words
 
 #: Words per rolling hash (and seed of an alignment) and hashes per window.
 GRAM, WINDOW = 5, 4
+_WORD = re.compile(r"[^\W_]+")
 #: Fingerprints in more texts than this say little about a text. The join does not depend on it.
 HOT = 1_024
 HELD, TRAIN = 1, 2
@@ -155,7 +156,7 @@ def similar_texts(sets: DataFrame, sim: Similarity | None = None) -> DataFrame:
         for g in batches:
             out = []
             for a, a_lo, x, b, b_lo, y in zip(g["a"], g["a_lo"], g["x"], g["b"], g["b_lo"], g["y"], strict=True):
-                v, w = python_words(x), python_words(y)
+                v, w = _WORD.findall(x.lower()), _WORD.findall(y.lower())
                 s, t = set(v), set(w)
                 n = len(s & t)
                 if n * (sim.num + sim.den) >= sim.num * (len(s) + len(t)):

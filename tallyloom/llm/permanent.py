@@ -9,13 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..plans.ranking import unit_hash
-from ..storage import exists
-
-#: Appends that may run at the same time before one of them gives up.
-TRIES = 20
+from ..storage import Batches
 
 
 class NumberRegistry:
@@ -29,39 +25,18 @@ class NumberRegistry:
     """
 
     def __init__(self, spark: SparkSession, path: str, seed: str = "permanent") -> None:
-        self.spark, self.path, self.seed = spark, path.rstrip("/"), seed
-
-    def _batches(self, kind: str) -> int:
-        """How many finished batches there are."""
-        n = 0
-        while exists(self.spark, f"{self.path}/{kind}/batch={n}/_SUCCESS"):
-            n += 1
-        return n
-
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        n = self._batches(kind)
-        if not n:
-            return self.spark.createDataFrame([], f"{schema}, batch int")
-        return self.spark.read.schema(f"{schema}, batch int").option("basePath", f"{self.path}/{kind}").parquet(*[f"{self.path}/{kind}/batch={i}" for i in range(n)])
-
-    def _append(self, kind: str, rows: DataFrame) -> None:
-        for _ in range(TRIES):
-            at = f"{self.path}/{kind}/batch={self._batches(kind)}"
-            try:
-                rows.write.mode("error" if exists(self.spark, at + "/_SUCCESS") else "overwrite").option("compression", "zstd").parquet(at)
-                return
-            except AnalysisException:  # another writer was faster
-                continue
-        raise RuntimeError(f"no batch of {self.path}/{kind} could be written")
+        self.seed = seed
+        self._numbers = Batches(spark, f"{path.rstrip('/')}/numbers", "id string, u double")
+        self._thresholds = Batches(spark, f"{path.rstrip('/')}/thresholds", "sample_name string, rate double")
 
     def numbers(self) -> DataFrame:
         """(id, u) of all identifiers seen so far, one row each."""
-        return self._read("numbers", "id string, u double").groupBy("id").agg(F.min_by("u", "batch").alias("u"))
+        return self._numbers.read().groupBy("id").agg(F.min_by("u", "batch").alias("u"))
 
     def register(self, ids: DataFrame, column: str) -> DataFrame:
         """Add the identifiers not seen before; nulls are left out, repeats count once. Returns all numbers."""
-        fresh = ids.select(F.col(column).cast("string").alias("id")).where("id is not null").distinct().join(self._read("numbers", "id string, u double").select("id"), "id", "left_anti")
-        self._append("numbers", fresh.select("id", unit_hash("id", seed=self.seed).alias("u")))
+        fresh = ids.select(F.col(column).cast("string").alias("id")).where("id is not null").distinct().join(self._numbers.read().select("id"), "id", "left_anti")
+        self._numbers.append(fresh.select("id", unit_hash("id", seed=self.seed).alias("u")))
         return self.numbers()
 
     def thresholds(self, rates: DataFrame) -> DataFrame:
@@ -69,12 +44,12 @@ class NumberRegistry:
 
         A null rate counts as 0.
         """
-        known = self._read("thresholds", "sample_name string, rate double").groupBy("sample_name").agg(F.max("rate").alias("rate"))
+        known = self._thresholds.read().groupBy("sample_name").agg(F.max("rate").alias("rate"))
         asked = rates.where("sample_name is not null").groupBy("sample_name").agg(F.coalesce(F.max("rate"), F.lit(0.0)).alias("rate"))
         more = asked.join(known.withColumnRenamed("rate", "before"), "sample_name", "left").where("before is null or rate > before").select("sample_name", "rate")
         if not more.isEmpty():
-            self._append("thresholds", more.coalesce(1))
-        return self._read("thresholds", "sample_name string, rate double").groupBy("sample_name").agg(F.max("rate").alias("threshold"))
+            self._thresholds.append(more.coalesce(1))
+        return self._thresholds.read().groupBy("sample_name").agg(F.max("rate").alias("threshold"))
 
 
 def permanent_sample(ids: DataFrame, column: str, rates: DataFrame, registry: NumberRegistry) -> DataFrame:

@@ -176,11 +176,16 @@ def p8_whole(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "benchmark_items"))
+    """Runs, whole short items and passages most of whose words stand near their place."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "benchmark_items"), near_share=0.8)
+
+
+def p9_runs(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "benchmark_items")).where("kind = 'run'").select("doc_id", "item_id", "run_words").distinct()
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return p9_leaks(spark, d).select("doc_id", "item_id").distinct()
+    return p9_runs(spark, d).select("doc_id", "item_id").distinct()
 
 
 def p10_restored(spark: SparkSession, d: str) -> DataFrame:
@@ -215,6 +220,11 @@ def _alike(rows: str, allowed: str) -> str:
 _LABEL = "CASE WHEN regexp_replace(lower(trim({0})), '[\\s\\-]+', '_', 'g') IN ({1}) THEN regexp_replace(lower(trim({0})), '[\\s\\-]+', '_', 'g') END"
 _quoted = lambda names: ", ".join(f"'{n}'" for n in names)
 _ID = "nullif(lower(trim({0}, ' \t\n\r')), '')"
+_GRAMS = r"""
+        d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+        b AS MATERIALIZED (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark_items WHERE text IS NOT NULL),
+        dg AS (SELECT doc_id, array_to_string(w[i:i+12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+        bg AS (SELECT item_id, array_to_string(w[i:i+12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS i FROM b WHERE len(w) >= 13))"""
 _OF_SOURCE = """s AS (SELECT DISTINCT record_id, coalesce(a.dataset_name, b.dataset_name) AS source_dataset FROM support_tickets_canonical c
              LEFT JOIN source_registry a ON c.source_dataset = a.dataset_name LEFT JOIN source_registry b ON c.metadata.adapter_name = b.adapter_name WHERE record_id IS NOT NULL),
         n AS (SELECT source_dataset, count(*) AS n FROM s WHERE source_dataset IS NOT NULL GROUP BY 1)"""
@@ -275,10 +285,11 @@ def oracle_sql() -> dict[str, str]:
         SELECT sample_name, build_label, count(*) AS sampled, 0::BIGINT AS lost FROM u, sample_rates WHERE u < rate GROUP BY ALL""",
         "p8_whole": """
         SELECT window_name, (SELECT count(*) FROM documents WHERE text <> '') AS documents, 0::BIGINT AS cut_needlessly, 0::BIGINT AS overfull, 0::BIGINT AS overlapping FROM context_windows""",
-        "p9_found": r"""
-        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
-        b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark_items WHERE text IS NOT NULL),
-        dg AS (SELECT doc_id, array_to_string(w[i:i+12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
-        bg AS (SELECT item_id, array_to_string(w[i:i+12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS i FROM b WHERE len(w) >= 13))
-        SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g)""",
+        "p9_runs": f"""
+        WITH {_GRAMS}, hit AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g)),
+        x AS (SELECT h.doc_id, h.item_id, unnest(d.w) AS t, unnest(range(len(d.w))) AS i FROM hit h JOIN d USING (doc_id)),
+        y AS (SELECT item_id, unnest(w) AS t, unnest(range(len(w))) AS j FROM b),
+        m AS (SELECT x.doc_id, x.item_id, i - j AS shift, i, row_number() OVER (PARTITION BY x.doc_id, x.item_id, i - j ORDER BY i) AS r FROM x JOIN y ON x.item_id = y.item_id AND x.t = y.t)
+        SELECT doc_id, item_id, max(n)::INT AS run_words FROM (SELECT doc_id, item_id, count(*) AS n FROM m GROUP BY doc_id, item_id, shift, i - r) GROUP BY ALL""",
+        "p9_found": f"WITH {_GRAMS} SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g)",
     }

@@ -213,7 +213,7 @@ def test_registry_keeps_the_first_number_of_an_id(spark, tmp_path):
     reg = permanent.NumberRegistry(spark, str(tmp_path / "r"))
     ids = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "record_id string")
     first = {tuple(r) for r in reg.register(ids, "record_id").collect()}
-    reg._append("numbers", spark.createDataFrame([("a", 0.999), ("c", 0.5)], "id string, u double"))
+    reg._numbers.append(spark.createDataFrame([("a", 0.999), ("c", 0.5)], "id string, u double"))
     assert {tuple(r) for r in reg.numbers().collect()} == first | {("c", 0.5)}
     (tmp_path / "r" / "numbers" / "batch=2").mkdir()
     (tmp_path / "r" / "numbers" / "batch=2" / "part-0.parquet").write_text("half a file")
@@ -221,7 +221,7 @@ def test_registry_keeps_the_first_number_of_an_id(spark, tmp_path):
     rates = spark.createDataFrame([("s", 0.5), ("t", None), (None, 1.0)], "sample_name string, rate double")
     for _ in range(3):
         assert {tuple(r) for r in reg.thresholds(rates).collect()} == {("s", 0.5), ("t", 0.0)}
-    assert reg._batches("thresholds") == 1
+    assert reg._thresholds.count() == 1
 
 
 def test_builds_hang_on_the_registry(spark, monkeypatch):

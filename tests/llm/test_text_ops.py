@@ -79,15 +79,35 @@ def test_names_without_labels(spark):
 # Problem 9
 
 
+def split_words(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
 def brute_leaks(docs, items, run):
     out = set()
     for d, t in docs:
-        w = leakage.words(t)
-        grams = {tuple(w[i : i + run]) for i in range(len(w) - run + 1)}
+        w = split_words(t)
         for i, u in items:
-            v = leakage.words(u)
-            if any(tuple(v[k : k + run]) in grams for k in range(len(v) - run + 1)):
-                out.add((d, i))
+            v = split_words(u)
+            size = min(run, len(v))
+            grams = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)}
+            if size >= min(run, leakage.SHORT) and any(tuple(v[k : k + size]) in grams for k in range(len(v) - size + 1)):
+                out.add((d, i, "run" if len(v) >= run else "whole"))
+    return out
+
+
+def brute_near(docs, items, run, share):
+    out = set()
+    for d, t in docs:
+        w = split_words(t)
+        for i, u in items:
+            v = split_words(u)
+            size = min(leakage.WINDOW, len(v))
+            for s in range(-len(v), len(w) + 1) if size >= run else ():
+                near = [x in w[max(0, k + s - leakage.NEAR) : max(0, k + s + leakage.NEAR + 1)] for k, x in enumerate(v)]
+                if any(sum(near[a : a + size]) >= size * share for a in range(len(v) - size + 1)):
+                    out.add((d, i))
+                    break
     return out
 
 
@@ -99,15 +119,53 @@ def test_leaks_match_brute_force(spark):
     for d in range(80):
         w = [rnd.choice(vocab) for _ in range(rnd.randrange(0, 60))]
         if d % 3 == 0:
-            v = leakage.words(items[rnd.randrange(12)][1])
+            v = split_words(items[rnd.randrange(12)][1])
             a = rnd.randrange(len(v))
             w[5:5] = v[a : a + rnd.randrange(1, 25)]
         docs.append((d, ", ".join(w).upper() if d % 2 else " - ".join(w)))
     docs += [(200, None), (201, ""), (202, "A a! " * 20), (None, "w1"), (203, docs[0][1])]
     got = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), run=6)
     rows = got.collect()
-    assert {(r["doc_id"], r["item_id"]) for r in rows} == brute_leaks([x for x in docs if x[0] is not None], items, 6)
-    assert all(r["run_words"] >= 6 and r["near_words"] >= r["run_words"] for r in rows)
+    assert {(r["doc_id"], r["item_id"], r["kind"]) for r in rows} == brute_leaks([x for x in docs if x[0] is not None], items, 6) and len(rows) == len({(r["doc_id"], r["item_id"]) for r in rows})
+    assert all(r["run_words"] >= (6 if r["kind"] == "run" else 5) and r["near_words"] >= r["run_words"] for r in rows)
+
+
+def test_near_passages_match_brute_force(spark, monkeypatch):
+    """Passages with words changed, dropped and put in, so that few words in a row agree."""
+    monkeypatch.setattr(leakage, "WINDOW", 12)
+    rnd = random.Random(4)
+    vocab = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randrange(8, 40)))) for i in range(10)] + [(90, None), (91, "w1 w2"), (92, "a " * 30)]
+    docs = []
+    for d in range(70):
+        w = [rnd.choice(vocab) for _ in range(rnd.randrange(0, 50))]
+        if d % 2:
+            v = split_words(items[rnd.randrange(10)][1])
+            for k in range(rnd.randrange(3), len(v), rnd.randrange(4, 7)):
+                v[k : k + 1] = rnd.choice([[], ["other"], v[k : k + 1] + ["more"]])
+            w[3:3] = v
+        docs.append((d, " ".join(w)))
+    docs += [(200, None), (201, ""), (202, "A a! " * 20), (203, docs[1][1])]
+    rows = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), run=8, near_share=0.75).collect()
+    near = brute_near(docs, items, 8, 0.75)
+    assert {(r["doc_id"], r["item_id"]) for r in rows if r["kind"] != "whole"} == near | {x[:2] for x in brute_leaks(docs, items, 8) if x[2] == "run"}
+    assert sum(r["kind"] == "near" for r in rows) > 10
+
+
+def test_index_grows_by_batches(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"alpha beta gamma delta epsilon zeta {i} tail") for i in range(20)] + [(None, "alpha"), (99, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "gamma delta epsilon zeta 7 tail", 0)], "item_id long, text string, doc_id int")
+    index = leakage.PositionalIndex(spark, str(tmp_path)).append(docs.where("doc_id < 5"))
+    assert leakage.leaks(docs, items, run=6, index=index).count() == 0
+    index.append(docs).append(docs)
+    assert [(r["doc_id"], r["run_words"]) for r in leakage.leaks(docs, items, run=6, index=index).collect()] == [(7, 6)]
+    assert index.documents_.read().count() == 20 and index.postings_.read().where("term = 'alpha'").count() == 20
+
+
+def test_large_held_out_tables_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "MOST_CHARACTERS", 10)
+    with pytest.raises(ValueError):
+        leakage.held_out(spark.createDataFrame([(1, "more than ten characters")], "item_id long, text string"))
 
 
 def test_leaks_of_empty_tables(spark):
