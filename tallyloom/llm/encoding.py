@@ -3,9 +3,10 @@
 The channel: text was encoded in one way and read in another, perhaps twice, or bytes were lost and stand as U+FFFD. The
 language model is the corpus itself: counts of its words with letters beyond ASCII over all documents, backed by counts
 of neighbouring characters. Runs that look like the image of a channel do not count as language, copies of a text count
-a few times at most, and no source outweighs all others together, so damage does not become usual by being frequent. For each stretch of such characters the byte lattice of every reading is searched by a
+once, and no source outweighs all others together, so damage does not become usual by being frequent, and a corpus that
+is repeated is the same corpus. For each stretch of such characters the byte lattice of every reading is searched by a
 Viterbi pass, in which a character stays as it is or a valid byte sequence becomes the character it stands for; lost
-bytes are wildcards that the word list fills. A stretch is damaged if the best restored form is far likelier than what
+bytes are wildcards of the lattice, and of the likeliest paths the commonest corpus word is taken. A stretch is damaged if the best restored form is far likelier than what
 is written, and not merely quoted: a sign by itself next to words that speak of signs, letters or printing.
 """
 
@@ -33,10 +34,17 @@ SWAPS = tuple((a, b) for a, b in (
     ("cp852", "cp1250"), ("cp437", "cp1250"), ("cp850", "cp1250"), ("cp1252", "iso8859_2"), ("mac_roman", "cp1250"), ("cp1252", "shift_jis"), ("cp1252", "cp932"), ("latin1", "cp932"), ("latin1", "euc_jp"), ("latin1", "cp1251"), ("latin1", "koi8_r"),
 ))
 LOST = "�"
-#: Size of the model that is broadcast; the counts behind it cover all documents.
-MODEL_WORDS, MODEL_PAIRS, MODEL_CONTEXTS, LEAST_COUNT = 100_000, 100_000, 50_000, 3
-#: Copies of one text that are counted.
-MOST_COPIES = 4
+#: Least rates of what the model that is broadcast knows: shares of all words, character pairs and signs with the word
+#: before them, and so 500,000, 500,000 and 50,000 entries at most, of a corpus of any size. What is rarer counts as unseen.
+WORD_RATE, PAIR_RATE, CONTEXT_RATE = 2e-6, 2e-6, 2e-5
+#: Least rates at which a word, and a sign behind a word, is so usual that a swapped table may be read as it.
+KNOWN_RATE, USUAL_RATE = 1.2e-4, 3.8e-4
+#: Rates of fewer occurrences than these are not told from chance: to be in the model, to be known, to be usual.
+LEAST, LEAST_KNOWN, LEAST_USUAL = 3, 20, 5
+#: Rates that an unseen pair, and an unseen first character, count as.
+UNSEEN_PAIR, UNSEEN_FIRST = 2e-8, 7.5e-5
+#: Paths that are kept at every place of a lattice with wildcards.
+BEAM = 200
 #: Log-likelihood gain from which a restored form is believed: for byte sequences, for swapped single-byte tables.
 GAIN, SWAP_GAIN = 1.0, 4.0
 
@@ -122,23 +130,26 @@ def image(run: str) -> bool:
 
 
 class Model:
-    """Word and character-pair counts of the corpus."""
+    """Word and character-pair counts of the corpus; ``totals`` are those of all words, pairs and contexts, the rare ones included."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[str, int], contexts: dict[str, int] | None = None) -> None:
+    def __init__(self, words: dict[str, int], pairs: dict[str, int], contexts: dict[str, int] | None = None, totals: tuple[int, int, int] | None = None) -> None:
         self.words, self.pairs, self.contexts = words, pairs, contexts or {}
-        self.total = math.log(sum(words.values()) + 1)
+        of_words, self.of_pairs, of_contexts = totals or (sum(words.values()), sum(pairs.values()), sum(self.contexts.values()))
+        self.total = math.log(of_words + 1)
+        self.known, self.usual = max(LEAST_KNOWN, KNOWN_RATE * of_words), max(LEAST_USUAL, USUAL_RATE * of_contexts)
         self.after: Counter = Counter()
-        for p, n in pairs.items():
+        self.followers: dict[str, list[str]] = defaultdict(list)
+        for p, n in sorted(pairs.items(), key=lambda x: (-x[1], x[0])):
             self.after[p[0]] += n
-        self.skeletons: dict[str, list[str]] = defaultdict(list)
-        for w in words:
-            if LOST not in w:
-                self.skeletons["".join(c for c in w if c < "\x80")].append(w)
+            if p[1] >= "\x80" and p[1] != LOST:
+                self.followers[p[0]].append(p[1])
+        self.letters = sorted({c for cs in self.followers.values() for c in cs})
 
     def pair(self, a: str, b: str) -> float:
         if a < "\x80" and b < "\x80":
             return -3.0
-        return math.log((self.pairs.get(a + b, 0) + 0.01) / (self.after.get(a, 0) + 40.0))
+        n = self.of_pairs or 1
+        return math.log((self.pairs.get(a + b, 0) / n + UNSEEN_PAIR) / (self.after.get(a, 0) / n + UNSEEN_FIRST))
 
     def score(self, run: str) -> float:
         """Log-likelihood of a run: as a known word or, if likelier, character by character."""
@@ -229,21 +240,36 @@ class Decoder:
                 continue
             known, here = self.model.words.get(back, 0), self.model.words.get(run, 0)
             gain = self.model.score(back) - base
-            if back == run or known < 20 or known < 5 * here or gain <= 0:
+            if back == run or known < self.model.known or known < 5 * here or gain <= 0:
                 continue
             if len(run) > SIGN:
                 sure = known > 30 * here and gain > SWAP_GAIN
             else:  # the restored sign must be usual behind this very word, and the written one must not
                 usual, odd = self.model.contexts.get(f"{before} {back}", 0), self.model.contexts.get(f"{before} {run}", 0)
-                sure = bool(before) and usual >= 5 and usual > 30 * odd and known > 30 * here
+                sure = bool(before) and usual >= self.model.usual and usual > 30 * odd and known > 30 * here
             out.append((gain, f"{read}<{true}", back, sure))
         return sorted(out, key=lambda o: -o[0])  # of equal gains the reading listed first
 
     def fill(self, run: str) -> str | None:
-        """The commonest corpus word of which the run is a copy with lost bytes; None if there is none."""
-        pattern = re.compile("".join(f"[\\u0080-\\U0010fffe]{{1,{len(m)}}}" if m[0] == LOST else re.escape(m) for m in re.findall(f"{LOST}+|[^{LOST}]", run)))
-        fits = [w for w in self.model.skeletons.get("".join(c for c in run if c < "\x80"), ()) if pattern.fullmatch(w)]
-        return max(fits, key=lambda w: (self.model.words[w], w)) if fits else None
+        """The commonest corpus word among the likeliest paths of the run's lattice; None if there is none.
+
+        A stretch of lost bytes is a wildcard of one character beyond ASCII to as many as it has marks; what stands
+        between the wildcards is kept. Paths are scored by the neighbouring characters of the corpus.
+        """
+        pair, paths = self.model.pair, {"": 0.0}
+        for part in re.findall(f"{LOST}+|[^{LOST}]+", run):
+            if part[0] != LOST:
+                step = sum(pair(a, b) for a, b in zip(part, part[1:], strict=False))
+                paths = {t + part: x + step + pair(t[-1:] or " ", part[0]) for t, x in paths.items()}
+                continue
+            done, edge = {}, paths
+            for _ in part:
+                more = {t + c: x + pair(t[-1:] or " ", c) for t, x in edge.items() for c in (self.model.followers.get(t[-1:] or " ") or self.model.letters)}
+                edge = dict(sorted(more.items(), key=lambda o: (-o[1], o[0]))[:BEAM])
+                done |= edge
+            paths = done
+        known = [(self.model.words[t], x, t) for t, x in paths.items() if t in self.model.words]
+        return max(known)[2] if known else None
 
     def restore(self, text: str) -> tuple[str, int, int, str | None]:
         """(restored text, damaged runs, runs that could not be restored, channel). A clean text comes back as it is."""
@@ -284,29 +310,27 @@ class Decoder:
 
 
 def fit(documents: DataFrame, text: str = "text", source: str = "source") -> Model:
-    """Count words and character pairs beyond ASCII over all documents and keep the most frequent.
+    """Count words and character pairs beyond ASCII over all documents and keep what has at least the rates above.
 
-    Images of a channel are left out, a text counts at most MOST_COPIES times, and of each count the largest source
-    gives no more than all others together (if the documents name several sources). Pairs of two ASCII characters are
-    left out; of signs the word before them is counted as well. The model has at most MODEL_WORDS, MODEL_PAIRS and
-    MODEL_CONTEXTS entries, whatever the corpus.
+    Images of a channel are left out, a text counts once however often it stands there, and of each count the largest
+    source gives no more than all others together (if the documents name several sources). Pairs of two ASCII characters
+    are left out; of signs the word before them is counted as well.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
         for b in batches:
             runs: Counter = Counter()
-            for t, s, copies in zip(b["text"], b["source"], b["copies"], strict=True):
+            for t, s in zip(b["text"], b["source"], strict=True):
                 for m in _RUN.finditer(t):
                     r = m.group()
-                    runs[r, s] += copies
+                    runs[r, s] += 1
                     if len(r) <= SIGN and not image(r):
-                        counts["s", f"{before(t, m.start())} {r}", s] += copies
+                        counts["s", f"{before(t, m.start())} {r}", s] += 1
             for (r, s), n in runs.items():
                 if image(r):
                     continue
-                if len(r) <= 40:
-                    counts["w", r, s] += n
+                counts["w", r, s] += n
                 for i in range(len(r) + 1):
                     p = (r[i - 1] if i else " ") + (r[i] if i < len(r) else " ")
                     if p[0] >= "\x80" or p[1] >= "\x80":
@@ -322,17 +346,20 @@ def fit(documents: DataFrame, text: str = "text", source: str = "source") -> Mod
 
     named = F.coalesce(F.col(source).cast("string"), F.lit("")) if source in documents.columns else F.lit("")
     texts = documents.select(F.col(text).alias("text"), named.alias("source")).where(F.col(text).isNotNull() & F.col(text).rlike(r"[^\x00-\x7f]"))
-    once = texts.groupBy(F.xxhash64("text").alias("h"), F.xxhash64(F.lit("second"), F.reverse("text")).alias("lo")).agg(F.min("text").alias("text"), F.min("source").alias("source"), F.least(F.count(F.lit(1)), F.lit(MOST_COPIES)).alias("copies"))
-    rows = once.select("text", "source", "copies").mapInPandas(count, "kind string, item string, source string, n long")
+    once = texts.groupBy(F.xxhash64("text").alias("h"), F.xxhash64(F.lit("second"), F.reverse("text")).alias("lo")).agg(F.min("text").alias("text"), F.min("source").alias("source"))
+    rows = once.select("text", "source").mapInPandas(count, "kind string, item string, source string, n long")
     parts = rows.groupBy("kind", "item", "source").agg(F.sum("n").alias("n")).groupBy("kind", "item").agg(F.sum("n").alias("n"), F.max("n").alias("top"))
     parts = written(parts, "counts")  # the documents are counted once
+    of = {r[0]: int(r[1]) for r in parts.groupBy("kind").agg(F.sum("n")).collect()}
     several = texts.select("source").distinct().limit(2).count() > 1
-    rest = F.col("n") - F.col("top")
-    counts = parts.withColumn("n", rest + F.least("top", F.greatest(rest, F.lit(LEAST_COUNT)))) if several else parts
-    words = counts.where(f"kind = 'w' and n >= {LEAST_COUNT}").orderBy(F.desc("n"), "item").limit(MODEL_WORDS).collect()
-    pairs = counts.where("kind = 'p'").orderBy(F.desc("n"), "item").limit(MODEL_PAIRS).collect()
-    signs = counts.where(f"kind = 's' and n >= {LEAST_COUNT}").orderBy(F.desc("n"), "item").limit(MODEL_CONTEXTS).collect()
-    return Model(*({r["item"]: r["n"] for r in part} for part in (words, pairs, signs)))
+
+    def kept(kind: str, rate: float, least: int) -> dict[str, int]:
+        floor = max(least, rate * of.get(kind, 0))
+        rest = F.col("n") - F.col("top")
+        n = rest + F.least("top", F.greatest(rest, F.ceil(F.lit(floor)))) if several else F.col("n")
+        return {r[0]: int(r[1]) for r in parts.where(F.col("kind") == kind).select("item", n.alias("n")).where(F.col("n") >= floor).collect()}
+
+    return Model(kept("w", WORD_RATE, LEAST), kept("p", PAIR_RATE, 1), kept("s", CONTEXT_RATE, LEAST), tuple(of.get(k, 0) for k in "wps"))
 
 
 def repaired(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:

@@ -180,7 +180,7 @@ CLEAN = ["Le café a été fermé à midi.", "Die Tür wäre schön, für heute
 
 @pytest.fixture(scope="module")
 def model(spark):
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(CLEAN * 40)] + [(None, None), (9_999, "")], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, f"{t} {i}") for i, t in enumerate(CLEAN * 40)] + [(None, None), (9_999, "")], "doc_id long, text string")
     return encoding.fit(docs)
 
 
@@ -212,6 +212,27 @@ def test_lost_bytes(model):
     assert (text, runs, open_) == ("zz�zz", 1, 1)
 
 
+def test_lost_bytes_are_wildcards_of_the_lattice(model, monkeypatch):
+    """Marks of several lost bytes stand for one to so many characters; without paths nothing is filled."""
+    d = encoding.Decoder(model)
+    assert d.restore("Ошиб��а повторяется")[0] == "Ошибка повторяется" and d.restore("Die T��r w�re sch���n")[0] == "Die Tür wäre schön"
+    monkeypatch.setattr(encoding, "BEAM", 0)
+    assert d.fill("caf�") is None
+
+
+@pytest.mark.parametrize("spread", [1, 40])
+def test_answers_do_not_depend_on_repetition(spark, spread):
+    """The same corpus once, ten times and a hundred times gives the same model and so the same answers."""
+    base = [(f"{t} {i % spread}", f"desk/{i % 5}") for i, t in enumerate(CLEAN * 12)] + [(f"a small cafΘ here {i}", "desk/7") for i in range(2)] + [("plain cafÃ©", None), (None, "desk/1"), ("", "desk/1")]
+    found, models = [], []
+    for times in (1, 10, 100):
+        docs = spark.range(times).crossJoin(spark.createDataFrame([(i, *r) for i, r in enumerate(base)], "k long, text string, source string")).select(F.col("k").alias("doc_id"), "text", "source")
+        fitted = encoding.fit(docs)
+        models.append((fitted.words, fitted.pairs, fitted.contexts, fitted.known))
+        found.append({(r["doc_id"], r["restored"]) for r in encoding.repaired(docs, fitted).distinct().collect()})
+    assert models[0] == models[1] == models[2] and found[0] == found[1] == found[2] and found[0]
+
+
 def test_repair_in_spark(spark, model):
     bad = "Le cafÃ© a Ã©tÃ©"
     df = spark.createDataFrame([(1, bad, 0), (2, CLEAN[0], 0), (3, None, 0), (4, "", 0), (5, "x " * 100_000 + bad, 0), (1, bad, 0)], "doc_id long, text string, restored int")
