@@ -63,8 +63,8 @@ def permute_date(day: date, key: bytes, invert: bool = False) -> date:
     return FIRST_DAY + timedelta(days=permute((day - FIRST_DAY).days, DAYS, key, invert))
 
 
-def token(text: str, key: bytes, length: int = 6) -> str:
-    """A short keyed tag for values without a numeric format; equal values get equal tags."""
+def token(text: str, key: bytes, length: int = 12) -> str:
+    """A keyed tag of five bits per character, 60 unless said otherwise, for values without a numeric format; equal values get equal tags."""
     n = int.from_bytes(blake2b(text.encode(), key=key, digest_size=8).digest(), "big")
     out = ""
     for _ in range(length):

@@ -2,10 +2,11 @@
 
 E-mail addresses, phone numbers, identity numbers and street addresses are found by their formats, numbers without a
 telling format only behind words that announce them. A person's name is a surname with a first name or initials, in any
-order and case; first names and surname endings are fitted on a bounded sample of labelled rows. Placeholders carry a
-format-preserving pseudonym: digits and letters of validated numbers are permuted by a keyed Feistel network within
-their format, so the same number is the same pseudonym in every document and spelling of its separators, and the key
-holder can undo it; values without such a format carry a keyed tag.
+order and case; first names, surnames, surname endings and the everyday words that look like them are fitted on a bounded
+sample of labelled rows. Placeholders carry a format-preserving pseudonym: digits and letters are permuted by a keyed
+Feistel network within their format, numbers that pass the rules of their kind among those that do, so the same number is
+the same pseudonym in every document and spelling of its separators, and the key holder can undo it; dates of birth, if
+asked for, are permuted among dates. Values without such a format carry a keyed tag.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,8 +24,13 @@ from pyspark.sql import functions as F
 from . import feistel
 
 TYPES = ("email", "identity_number", "phone", "street_address", "person_name")
-#: Distinct labelled names that the name model is fitted on, taken in hash order.
-LABELLED_NAMES = 20_000
+#: Distinct labelled names, and labelled rows with their texts, that the name model is fitted on, taken in hash order.
+LABELLED_NAMES, LABELLED_ROWS = 20_000, 20_000
+#: A word that stands beside a first name or initial in a smaller share of its places is an everyday word.
+NAME_SHARE = 0.2
+#: Country calling codes of one and two digits; all others have three (fixed values).
+ONE_DIGIT = ("1", "7")
+TWO_DIGITS = tuple("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 _LABEL = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
 _EMAIL = re.compile(rf"[a-z0-9][\w.+-]*(?:\s?@\s?|\s?\(at\)\s?|\s?\[at\]\s?){_LABEL}(?:(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?|\sdot\s){_LABEL})*(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?|\sdot\s)[a-z]{{2,24}}(?![\w-])", re.I)
@@ -69,40 +76,56 @@ _LETTERED = frozenset("passport licence license insurance ni identity".split())
 _EVERYDAY = {"way", "close", "place", "court", "square", "hill", "row", "walk", "drive", "st", "dr", "ct", "grove", "circle", "alley"}
 _STREET_BEFORE = re.compile(r"(?i)\b(?:send|sent|deliver\w*|visit|moved|office|address|bill|replacement|site|ship\w*|lives?|from|at|to)\b[^.!?\n]{0,45}$")
 
-_WORD = re.compile(r"[^\W\d_]+")
-#: Everyday words that end like surnames; they are never surnames (fixed list).
-ORDINARY = frozenset(
-    "field fields shield yield wield afield airfield bank databank lock block clock unlock unblock overlock flock stock well farewell swell dwell ward forward backward onward upward "
-    "downward toward inward outward reward award afterward steward port report export import support passport transport airport viewport sport rapport teleport "
-    "rest crest interest forest arrest nearest harvest instead stead homestead bedstead moor loom bloom gloom forge mere holt brand brand firebrand dale vane weathervane quill cote wick shaw grand rand errand operand strand "
-    "shore adhere sphere where there here somewhere elsewhere everywhere atmosphere".split()
-)
+_WORD = re.compile(r"(?:\bo['’](?=[^\W\d_]{2}))?[^\W\d_]+", re.I)
+_BIRTH = re.compile(r"(?i)\b(?:born(?: on)?|birth(?:day|date)?|date of birth|dob)\b\W{0,3}(?:is |was )?(\d{4})([-/.])(\d{2})\2(\d{2})(?!\d)")
 
 
 @dataclass
 class Names:
-    """First names and surname endings fitted on labelled names."""
+    """First names, surnames, surname endings, and everyday words that are no surnames, fitted on labelled rows."""
 
     first: frozenset = field(default_factory=frozenset)
     endings: frozenset = field(default_factory=frozenset)
+    last: frozenset = field(default_factory=frozenset)
+    everyday: frozenset = field(default_factory=frozenset)
 
     @staticmethod
-    def fit(names: list[str]) -> Names:
-        """Endings are the last four letters of at least 0.4 % of the surnames; first names are those labelled."""
+    def fit(names: list[str], texts: list[str] = ()) -> Names:
+        """Endings are the last four letters of at least 0.4 % of the surnames; first names and surnames are those labelled.
+
+        Everyday words are those of the labelled rows' texts that mostly stand without a first name or initial beside them.
+        """
         split = [w for n in names if len(w := _WORD.findall(n.lower())) >= 2]
         endings = Counter(w[-1][-4:] for w in split if len(w[-1]) >= 5)
         floor = max(1, round(0.004 * len(split)))
-        return Names(frozenset(w[0] for w in split if len(w[0]) > 1), frozenset(e for e, n in endings.items() if n >= floor))
+        first = frozenset(w[0] for w in split if len(w[0]) > 1)
+        seen: Counter = Counter()
+        named: Counter = Counter()
+        for t in texts:
+            w = [x.lower() for x in _WORD.findall(t or "")]
+            seen.update(w)
+            named.update(x for i, x in enumerate(w) if any(n in first or len(n) == 1 for n in w[max(0, i - 1) : i] + w[i + 1 : i + 2]))
+        return Names(first, frozenset(e for e, n in endings.items() if n >= floor), frozenset(w[-1] for w in split), frozenset(w for w, n in seen.items() if named[w] < NAME_SHARE * n))
+
+    def like(self, word: str) -> bool:
+        """Whether a lower-case word looks like a surname: labelled as one, or with the ending of one."""
+        return (word in self.last or (len(word) >= 5 and word[-4:] in self.endings)) and word not in self.everyday
 
     def spans(self, text: str, low: str, vocabulary: set[str]) -> list[tuple[int, int]]:
-        """Where a surname stands with a first name or initials before or behind it. ``low`` is the text in lower case."""
-        if len(low) != len(text) or not any(w[-4:] in self.endings and w not in ORDINARY for w in vocabulary):
+        """Where a surname stands with a first name or initials before or behind it. ``low`` is the text in lower case.
+
+        A word that does not look like a surname is one if it is written like a name, directly behind a first name that is
+        too, and is no everyday word.
+        """
+        if len(low) != len(text) or (vocabulary.isdisjoint(self.first) and not any(self.like(w) for w in vocabulary)):
             return []
         words = [(m.start(), m.end()) for m in _WORD.finditer(low)]
         out = []
         for i, (a, b) in enumerate(words):
             w = low[a:b]
-            if w[-4:] not in self.endings or len(w) < 5 or w in ORDINARY:
+            if not self.like(w):
+                if i and low[slice(*words[i - 1])] in self.first and self._written(text, words[i - 1], (a, b)) and w not in self.first and w not in self.everyday:
+                    out.append((words[i - 1][0], b))
                 continue
             start, end = a, b
             j = i - 1
@@ -129,11 +152,30 @@ class Names:
                 out.append((start, end))
         return out
 
-
-def fit_names(tickets: DataFrame, bound: int = LABELLED_NAMES) -> Names:
-    """Fit on at most ``bound`` distinct values of target.customer.name; the rest of the operator reads every row."""
-    names = tickets.select(F.col("target.customer.name").alias("n")).where("n is not null").distinct()
-    return Names.fit(sorted(r[0] for r in names.orderBy(F.xxhash64("n"), "n").limit(bound).collect()))
+    @staticmethod
+    def _written(text: str, first: tuple[int, int], last: tuple[int, int]) -> bool:
+        """Whether two words stand side by side, both with a capital and small letters or both in capitals."""
+        a, b = text[slice(*first)], text[slice(*last)]
+        plain = b.replace("'", "").replace("’", "")
+        return text[first[1] : last[0]] == " " and len(b) > 1 and ((a.istitle() and b[0].isupper() and plain[1:].lower() != plain[1:].upper() and not b.isupper()) or (a.isupper() and b.isupper()))
+
+    def parts(self, value: str) -> tuple[str, str]:
+        """(surname, first name or initials) of a found name, in lower case."""
+        words = _WORD.findall(value.lower())
+        rest = [w for w in words if len(w) > 1 and (w not in self.first or self.like(w))]
+        last = next((w for w in rest if self.like(w)), words[0] if "," in value else words[-1])
+        given = list(words)
+        given.remove(last)
+        return last, " ".join(given)
+
+
+def fit_names(tickets: DataFrame, bound: int = LABELLED_NAMES, rows: int = LABELLED_ROWS) -> Names:
+    """Fit on at most ``bound`` distinct values of target.customer.name and the texts of ``rows`` labelled rows; the rest of the operator reads every row."""
+    labelled = tickets.where("target.customer.name is not null")
+    names = labelled.select(F.col("target.customer.name").alias("n")).distinct()
+    known = sorted(r[0] for r in names.orderBy(F.xxhash64("n"), "n").limit(bound).collect())
+    texts = labelled.where("input_text is not null").select("input_text") if "input_text" in tickets.columns else None
+    return Names.fit(known, [] if texts is None else [r[0] for r in texts.orderBy(F.xxhash64("input_text"), "input_text").limit(rows).collect()])
 
 
 def find(text: str, names: Names) -> list[tuple[int, int, str]]:
@@ -186,52 +228,103 @@ def find(text: str, names: Names) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
-def placeholder(kind: str, value: str, key: bytes) -> str:
-    """``[TYPE pseudonym]``. Country codes, trunk digits and extensions of phone numbers stay as they are."""
+def country_code(digits: str) -> int:
+    """How many digits the country calling code has that a number begins with."""
+    return 1 if digits[:1] in ONE_DIGIT else 2 if digits[:2] in TWO_DIGITS else 3
+
+
+def valid(kind: str, value: str) -> bool:
+    """Whether a number passes the rules of its kind: areas, groups and serials of social security numbers, and areas and exchanges of North American phone numbers.
+
+    Kinds without rules pass. Numbers are found whether they pass or not; a pseudonym is drawn among those that do as the number does.
+    """
+    d = "".join(c for c in value if c.isdigit())
+    if kind == "identity_number" and len(d) == 9 and not any(c.isalpha() for c in value):
+        return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
+    if kind == "phone" and len(d) in (10, 11) and (len(d) == 10 or d[0] == "1"):
+        return d[-10] in "23456789" and d[-7] in "23456789" and d[-9:-7] != "11" and d[-6:-4] != "11"
+    return True
+
+
+def pseudonym(kind: str, value: str, key: bytes, keep: int = 0, invert: bool = False) -> str:
+    """Another value of the same format that passes the rules of its kind if, and only if, this one does; ``invert`` undoes it."""
+    passes, out = valid(kind, value), value
+    while True:  # walk the cycle of the permutation to the next value that passes alike
+        out = feistel.permute_format(out, key, keep=keep, invert=invert)
+        if valid(kind, out) == passes:
+            return out
+
+
+def placeholder(kind: str, value: str, key: bytes, names: Names | None = None) -> str:
+    """``[TYPE pseudonym]``. Country codes, trunk digits and extensions of phone numbers stay as they are.
+
+    The tag of a name has up to three parts: one of the surname, one with the first initial and, if the first name is
+    written out, one with that. So "A. Hartfield" is a beginning of what "Anna Hartfield" and "Hartfield, Anna" share.
+    """
     if kind == "phone":
         number, ext = re.match(r"(?is)(.*?)(,?\s?(?:ext\.?|x)\s?\d+)?$", value).groups()
-        digits = [c for c in number if c.isdigit()]
+        digits = "".join(c for c in number if c.isdigit())
         if number.lstrip("(").startswith("+"):
-            cc = 1 if digits[0] in "17" else 2
-            keep = cc + ("(0)" in number)
+            keep = country_code(digits) + ("(0)" in number)
         else:
             keep = len(digits) == 11 and digits[0] == "1" or digits[0] == "0"
-        return f"[PHONE {feistel.permute_format(number, key, keep=int(keep))}{ext or ''}]"
+        return f"[PHONE {pseudonym(kind, number, key, int(keep))}{ext or ''}]"
     if kind == "identity_number":
-        return f"[IDENTITY_NUMBER {feistel.permute_format(value, key)}]"
+        return f"[IDENTITY_NUMBER {pseudonym(kind, value, key)}]"
+    if kind == "birth_date":
+        year, sep, month, day = re.match(r"(\d{4})(\D)(\d{2})\D(\d{2})", value).groups()
+        return f"[BIRTH_DATE {feistel.permute_date(date(int(year), int(month), int(day)), key).isoformat().replace('-', sep)}]"
+    if kind == "person_name":
+        last, given = (names or Names()).parts(value)
+        tags = [feistel.token(last, key), feistel.token(f"{last},{given[:1]}", key, 4)]
+        if len(given.split(" ")[0]) > 1:
+            tags.append(feistel.token(f"{last},{given.split(' ')[0]}", key))
+        return f"[PERSON_NAME {'-'.join(tags)}]"
     plain = re.sub(r"\s*(?:@|\(at\)|\[at\])\s*", "@", value.lower()) if kind == "email" else value.lower()
     plain = re.sub(r"\s*\[dot\]\s*|\s*\(dot\)\s*|\sdot\s", ".", plain) if kind == "email" else " ".join(sorted(re.findall(r"\w+", plain)))
     return f"[{kind.upper()} {feistel.token(plain, key)}]"
 
 
-def redact(text: str | None, names: Names, key: bytes) -> tuple[str | None, list[str]]:
-    """The text with placeholders, nothing else changed, and the types found; null stays null."""
+def birth_dates(text: str) -> list[tuple[int, int, str]]:
+    """Dates behind words that speak of a birth, in the 200 years that dates are permuted in."""
+    out = []
+    for m in _BIRTH.finditer(text):
+        try:
+            day = date(int(m[1]), int(m[3]), int(m[4]))
+        except ValueError:
+            continue
+        if 0 <= (day - feistel.FIRST_DAY).days < feistel.DAYS:
+            out.append((m.start(1), m.end(4), "birth_date"))
+    return out
+
+
+def redact(text: str | None, names: Names, key: bytes, dates: bool = False) -> tuple[str | None, list[str]]:
+    """The text with placeholders, nothing else changed, and the types found; null stays null. ``dates`` adds dates of birth."""
     if text is None:
         return None, []
+    found = find(text, names)
+    if dates:
+        found = sorted(found + [d for d in birth_dates(text) if all(d[1] <= a or d[0] >= b for a, b, _ in found)])
     out, at, kinds = [], 0, []
-    for a, b, kind in find(text, names):
-        out += [text[at:a], placeholder(kind, text[a:b], key)]
+    for a, b, kind in found:
+        out += [text[at:a], placeholder(kind, text[a:b], key, names)]
         at = b
         kinds.append(kind)
     return "".join([*out, text[at:]]), kinds
 
 
-def redacted(rows: DataFrame, names: Names, key: bytes, table_name: str, record_id: str, text: str, keep_text: bool = True) -> DataFrame:
+def redacted(rows: DataFrame, names: Names, key: bytes, table_name: str, record_id: str, text: str, dates: bool = False) -> DataFrame:
     """(table_name, record_id, text, pii_types, items) for every row with an id; whole texts, nulls stay null.
 
-    Rows are handled one by one in Arrow batches: no shuffle, no limit on length. ``keep_text=False`` leaves the texts out.
+    Rows are handled one by one in Arrow batches: no shuffle, no limit on length.
     """
-    known = rows.sparkSession.sparkContext.broadcast(names)  # at most LABELLED_NAMES names
+    known = rows.sparkSession.sparkContext.broadcast(names)  # at most LABELLED_NAMES names and the words of LABELLED_ROWS texts
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = known.value
         for b in batches:
-            if keep_text:
-                done = [redact(t, model, key) for t in b["text"]]
-                yield pd.DataFrame({"table_name": table_name, "record_id": b["record_id"], "text": [d[0] for d in done], "pii_types": [sorted(set(d[1])) for d in done], "items": [len(d[1]) for d in done]})
-            else:
-                done = [[k for _, _, k in find(t, model)] for t in b["text"]]
-                yield pd.DataFrame({"table_name": table_name, "record_id": b["record_id"], "text": None, "pii_types": [sorted(set(d)) for d in done], "items": [len(d) for d in done]})
+            done = [redact(t, model, key, dates) for t in b["text"]]
+            yield pd.DataFrame({"table_name": table_name, "record_id": b["record_id"], "text": [d[0] for d in done], "pii_types": [sorted(set(d[1])) for d in done], "items": [len(d[1]) for d in done]})
 
     picked = rows.select(F.col(record_id).cast("string").alias("record_id"), F.col(text).alias("text")).where("record_id is not null")
     return picked.mapInPandas(work, "table_name string, record_id string, text string, pii_types array<string>, items long")

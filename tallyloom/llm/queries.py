@@ -12,24 +12,23 @@ from ..session import table
 from ..storage import scratch, shared_dir, written
 from . import encoding, leakage, mixing, neardup, overlap, packing, permanent, pii, quota_sample, splits
 
-#: Key of the pseudonyms in the queries; a deployment gives its own.
-DEMO_KEY = b"pseudonyms of the example queries"
+#: Key of the pseudonyms in the queries unless ``spark.tallyloom.pseudonym.key`` is set; a deployment sets its own.
+DEMO_KEY = "pseudonyms of the example queries"
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
+def _redacted(spark: SparkSession, d: str) -> DataFrame:
     tickets, prompts = table(spark, d, "support_tickets"), table(spark, d, "support_tickets_sft_prompt_completion")
-    names = pii.fit_names(tickets)
-    a = pii.redacted(tickets, names, DEMO_KEY, "support_tickets", "record_id", "input_text", keep_text=False)
-    b = pii.redacted(prompts, names, DEMO_KEY, "support_tickets_sft_prompt_completion", "record_id", "prompt", keep_text=False)
-    return pii.types_found(a.unionByName(b))
+    names, key = pii.fit_names(tickets), spark.conf.get("spark.tallyloom.pseudonym.key", DEMO_KEY).encode()
+    a = pii.redacted(tickets, names, key, "support_tickets", "record_id", "input_text")
+    return a.unionByName(pii.redacted(prompts, names, key, "support_tickets_sft_prompt_completion", "record_id", "prompt"))
 
 
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
-    tickets, prompts = table(spark, d, "support_tickets"), table(spark, d, "support_tickets_sft_prompt_completion")
-    names = pii.fit_names(tickets)
-    a = pii.redacted(tickets, names, DEMO_KEY, "support_tickets", "record_id", "input_text")
-    b = pii.redacted(prompts, names, DEMO_KEY, "support_tickets_sft_prompt_completion", "record_id", "prompt")
-    return a.unionByName(b).select("table_name", "record_id", "text", "items")
+    return _redacted(spark, d).select("table_name", "record_id", "text", "items")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.types_found(_redacted(spark, d))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

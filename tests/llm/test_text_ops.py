@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm import encoding, feistel, leakage, pii
 
 KEY = b"test"
-NAMES = pii.Names.fit(["Ana Bramford", "Leo Stonefield", "Mia Oakfield", "Kim Lakefield"])
+NAMES = pii.Names.fit(["Ana Bramford", "Leo Stonefield", "Mia Oakfield", "Kim Lakefield"], ["the field is blank, Ana said", "a field of the field list on Thursday", "my field", "Thursday it was"])
 
 
 @settings(max_examples=60, deadline=None)
@@ -43,7 +43,7 @@ CASES = [
     ("Call 212-555-0123 ext. 44 now", {"phone"}), ("Tel +44 (0)7700 900 911", {"phone"}), ("Text 2125550123 if", {"phone"}), ("job 2125550123 in queue", set()), ("run 5562522657.", set()), ("Phone +33 1 99 00 58 96", {"phone"}),
     ("my SSN: 666443123", {"identity_number"}), ("They wanted 666-44-3123 before", {"identity_number"}), ("Invoice 2149-53-1174", set()), ("order 666-44-3123", set()), ("tax id 985-16-5389 before", {"identity_number"}), ("passport no. X24796583", {"identity_number"}), ("NI no. QQ 56 73 79 D", {"identity_number"}), ("licence Z367-6789-6665", {"identity_number"}), ("XXX-XX-XXXX", set()),
     ("go to 12 Old Thorn Lane, Flat 3", {"street_address"}), ("Lane 58 of the queue", set()), ("The 1284 Drive folders", set()), ("The 95 apparently Drive folders", set()), ("the Stothby Street Layout", set()), ("61 rue du Bac", {"street_address"}), ("Calle Mayor 21, 5º", {"street_address"}), ("Gartenstraße 7", {"street_address"}), ("from 42 hill rd", {"street_address"}),
-    ("I am Ana Stonefield, admin", {"person_name"}), ("STONEFIELD, LEO", {"person_name"}), ("This is L. Stonefield", {"person_name"}), ("Leo A. Oakfield", {"person_name"}), ("Stonefield, L. from", {"person_name"}), ("the Oakfield product", set()), ("Ana opened a field", set()), ("ana.stonefield@x.org", {"email"}), ("", set()),
+    ("I am Ana Stonefield, admin", {"person_name"}), ("STONEFIELD, LEO", {"person_name"}), ("This is L. Stonefield", {"person_name"}), ("Leo A. Oakfield", {"person_name"}), ("Stonefield, L. from", {"person_name"}), ("the Oakfield product", set()), ("Ana Lee wrote", {"person_name"}), ("ANA LEE", {"person_name"}), ("Ana O'Brien's desk", {"person_name"}), ("Ana Thursday", set()), ("Ana wrote", set()), ("Ana. Lee", set()), ("ANA wrote", set()), ("Ana opened a field", set()), ("ana.stonefield@x.org", {"email"}), ("", set()),
 ]
 
 
@@ -62,12 +62,61 @@ def test_redaction_changes_nothing_else_and_links():
     assert pii.redact("Oakfield, Ana", NAMES, KEY)[0] == pii.redact("ana OAKFIELD", NAMES, KEY)[0]
 
 
+PHONES = ["+353 1 234 5678", "+420 222 555 010", "+1 212 555 0123", "+44 (0)7700 900 911", "+7 495 555 01 23", "+49 30 555 0123", "212-555-0123", "1-212-555-0123", "030 5550 1234"]
+
+
+@pytest.mark.parametrize("number", PHONES)
+def test_country_codes_and_rules_survive(number):
+    out = pii.placeholder("phone", number, KEY)[7:-1]
+    assert re.sub(r"\d", "9", out) == re.sub(r"\d", "9", number) and pii.valid("phone", out) == pii.valid("phone", number) and out != number
+    if number[0] == "+":
+        n = pii.country_code(re.sub(r"\D", "", number))
+        assert re.sub(r"\D", "", out)[:n] == re.sub(r"\D", "", number)[:n]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**9 - 1))
+def test_pseudonyms_pass_the_rules_that_the_number_passes(n):
+    ssn = f"{n:09d}"
+    ssn = f"{ssn[:3]}-{ssn[3:5]}-{ssn[5:]}"
+    out = pii.pseudonym("identity_number", ssn, KEY)
+    assert pii.valid("identity_number", out) == pii.valid("identity_number", ssn) and pii.pseudonym("identity_number", out, KEY, invert=True) == ssn
+
+
+def test_country_codes():
+    assert [pii.country_code(d) for d in ("14155550123", "74955550123", "4477009001", "35312345678", "42022255501", "21612345678")] == [1, 1, 2, 3, 3, 3]
+
+
+def test_initials_link_to_full_names():
+    tag = lambda t: re.search(r"\[PERSON_NAME ([^]]*)\]", pii.redact(t, NAMES, KEY)[0])[1]
+    full = tag("Leo Stonefield")
+    assert full == tag("STONEFIELD, LEO") == tag("leo stonefield") and full.startswith(tag("L. Stonefield") + "-") and tag("L. Stonefield") == tag("Stonefield, L. from")
+    assert tag("Mia Stonefield").split("-")[0] == full.split("-")[0] and tag("Mia Stonefield") != full and len(full.split("-")[0]) == 12
+
+
+def test_dates_of_birth_only_where_asked():
+    text = "Born 1980-02-29, due 2026-03-01, DOB: 1999/12/31, born 1980-13-01"
+    assert pii.redact(text, NAMES, KEY) == (text, [])
+    out, kinds = pii.redact(text, NAMES, KEY, dates=True)
+    assert kinds == ["birth_date"] * 2 and "due 2026-03-01" in out and "1980-13-01" in out
+    day = datetime.date.fromisoformat(re.search(r"\[BIRTH_DATE ([\d-]+)\]", out)[1])
+    assert feistel.permute_date(day, KEY, invert=True) == datetime.date(1980, 2, 29)
+
+
+def test_found_hangs_on_the_redaction(spark, monkeypatch):
+    from tallyloom.llm import queries
+
+    seen = queries.p1_found(spark, "/root/testdata/sf0.001").limit(1).count()
+    monkeypatch.setattr(pii, "redacted", lambda rows, names, key, table_name, *_: rows.select(F.lit(table_name).alias("table_name"), "record_id", F.array().cast("array<string>").alias("pii_types")))
+    assert seen == 1 and queries.p1_found(spark, "/root/testdata/sf0.001").count() == 0
+
+
 def test_redaction_in_spark(spark):
     long = "word " * 50_000 + "a@b.org"
     df = spark.createDataFrame([("1", "a@b.org", "t"), ("2", None, None), ("3", "", ""), (None, "a@b.org", ""), ("4", long, "x"), ("1", "a@b.org", "t")], "rid string, body string, text string")
     rows = pii.redacted(df, NAMES, KEY, "tab", "rid", "body").collect()
     assert len(rows) == 5 and {(r["record_id"], r["text"] is None) for r in rows} >= {("2", True), ("3", False)}
-    assert {tuple(r) for r in pii.types_found(pii.redacted(df, NAMES, KEY, "tab", "rid", "body", keep_text=False)).collect()} == {("tab", "1", "email"), ("tab", "4", "email")}
+    assert {tuple(r) for r in pii.types_found(pii.redacted(df, NAMES, KEY, "tab", "rid", "body")).collect()} == {("tab", "1", "email"), ("tab", "4", "email")}
     assert pii.redacted(df.limit(0), NAMES, KEY, "tab", "rid", "body").count() == 0
 
 
