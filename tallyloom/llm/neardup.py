@@ -25,14 +25,13 @@ from pyspark.sql import functions as F
 
 from ..plans import salted_join
 from ..storage import written
+from . import postings
 from .postings import ANY, POSTING, Similarity, candidates, flat, hashed, mix, sketches, split_lists, words
 
 #: A word is frequent from rows / 256 sets on, but at least and at most these; more if the list of frequent words grew over MOST_FREQUENT.
 LEAST_FREQUENT, TOP_FREQUENT, MOST_FREQUENT = 512, 4_096, 1_000_000
 #: Frequent words per part of an equality list.
 PART_WORDS = 4.4
-#: Postings of a bucket, and of a part of a long list.
-BUCKET_POSTINGS, LIST_POSTINGS = 64_000, 65_536
 #: Sizes and rare-word counts from here on are put into classes of about 3 % in the plan's histogram.
 FINE = 128
 
@@ -144,7 +143,7 @@ def emitted(batch: pd.DataFrame, order: Order) -> np.ndarray:
         out.append(rows_of(owner[pick2], mix(sums[pick2] + which[pick2].astype(np.uint64), 9), 0, 1))
     pick = in_prefix & frequent & open_[row]
     lists = rows_of(row[pick], values[pick], position[pick], 2)
-    out.append(split_lists(lists, -(-order.count[at[pick]] // LIST_POSTINGS) if len(order.count) else np.ones(len(lists), np.int64)))
+    out.append(split_lists(lists, -(-order.count[at[pick]] // postings.LIST_POSTINGS) if len(order.count) else np.ones(len(lists), np.int64)))
     return np.concatenate(out)
 
 
@@ -162,9 +161,8 @@ def similar_classes(sets: DataFrame, sim: Similarity | None = None) -> DataFrame
     sim = sim or Similarity()
     order, rows, per_set = plan(sets, sim)
     spark = sets.sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(order)  # at most MOST_FREQUENT words
-    close = candidates(sets.select("hi", "toks"), lambda b: emitted(b, shared.value), max(least, int(rows * per_set / BUCKET_POSTINGS) + 1), sim, _allowed, _lead)
+    close = candidates(sets.select("hi", "toks"), lambda b: emitted(b, shared.value), rows, rows * per_set, "hi", sim, _allowed, _lead)
     left = sets.select(F.col("hi").alias("a"), F.col("lo").alias("a_lo"), F.col("toks").alias("x"))
     right = sets.select(F.col("hi").alias("b"), F.col("lo").alias("b_lo"), F.col("toks").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -183,12 +181,12 @@ def record_pairs(members: DataFrame, similar: DataFrame) -> DataFrame:
 
     For classes with many copies the compact form (``members`` and ``similar``) is the one to use.
     """
-    cls = F.struct("hi", "lo")
-    of = members.select(cls.alias("c"), "record_id")
-    pairs = similar.select(F.struct(F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo")).alias("ca"), F.struct(F.col("b_hi").alias("hi"), F.col("b_lo").alias("lo")).alias("cb"))
-    across = pairs.join(of.select(F.col("c").alias("ca"), F.col("record_id").alias("x")), "ca").join(of.select(F.col("c").alias("cb"), F.col("record_id").alias("y")), "cb").select("x", "y")
-    copied = of.join(of.groupBy("c").count().where("count > 1").select("c"), "c", "left_semi")
-    within = salted_join(copied.select("c", F.col("record_id").alias("x")), copied.select("c", F.col("record_id").alias("y")), "c").where("x < y").select("x", "y")
+    named = members.select(F.concat_ws(":", "hi", "lo").alias("c"), "record_id")
+    pairs = similar.select(F.concat_ws(":", "a_hi", "a_lo").alias("c"), F.concat_ws(":", "b_hi", "b_lo").alias("d"))
+    one = salted_join(named.withColumnRenamed("record_id", "x"), pairs, "c").select(F.col("d").alias("c"), "x")
+    across = salted_join(named.withColumnRenamed("record_id", "y"), one, "c").select("x", "y")
+    copied = named.join(named.groupBy("c").count().where("count > 1").select("c"), "c", "left_semi")
+    within = salted_join(copied.withColumnRenamed("record_id", "x"), copied.withColumnRenamed("record_id", "y"), "c").where("x < y").select("x", "y")
     return across.unionByName(within).where("x <> y").select(F.least("x", "y").alias("record_id_a"), F.greatest("x", "y").alias("record_id_b")).distinct()
 
 

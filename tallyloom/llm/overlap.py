@@ -2,13 +2,15 @@
 
 Likeness of word sets implies no shared passage, and neither do short texts or passages that stand in very many texts, so
 candidates come from the exact lists of the near-duplicate join (problem 4), joined across the splits: they lose no pair,
-whatever else the tables hold. The sketch test of the posting engine throws out texts that cannot be alike; of the rest
-collinear seeds of five words are chained and extended word by word, and the likeness is computed on the whole texts.
+whatever else the tables hold. The sketch test of the posting engine throws out texts that cannot be alike. The rest are
+aligned: the least rolling hashes of windows of five-word grams (winnowing) that both texts selected are the seeds, of
+which the longest collinear chain is extended word by word, and the likeness is computed on the whole texts.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
@@ -21,14 +23,11 @@ from pyspark.sql import functions as F
 from ..plans import salted_join
 from ..storage import written
 from . import neardup
-from .neardup import BUCKET_POSTINGS
 from .postings import Similarity, candidates, flat, hashed, mix, words
 
 #: Words per rolling hash (and seed of an alignment) and hashes per window.
 GRAM, WINDOW = 5, 4
 _WORD = re.compile(r"[^\W_]+")
-#: Fingerprints in more texts than this say little about a text. The join does not depend on it.
-HOT = 1_024
 HELD, TRAIN = 1, 2
 #: Bit of a mark that the exact join sets on hard sets.
 HARD = 4
@@ -94,12 +93,22 @@ def _lead(rows: np.ndarray) -> np.ndarray:
     return (rows["mark"] & HELD) > 0
 
 
-def aligned(a: list[str], b: list[str], gram: int = GRAM) -> tuple[int, int]:
-    """(words of a, words of b) covered by the longest chain of collinear seeds, each extended while the words agree."""
+def selected(w: list[str], gram: int = GRAM, window: int = WINDOW) -> dict[int, list[int]]:
+    """Rolling hash -> positions of the grams of a text that are the least of a window of them (of equal ones the last)."""
+    roll = [zlib.crc32(" ".join(w[i : i + gram]).encode()) for i in range(len(w) - gram + 1)]
     at = defaultdict(list)
-    for j in range(len(b) - gram + 1):
-        at[tuple(b[j : j + gram])].append(j)
-    seeds = [(i, j) for i in range(len(a) - gram + 1) for j in reversed(at.get(tuple(a[i : i + gram]), ()))]
+    for i in sorted({min(range(a, min(a + window, len(roll))), key=lambda i: (roll[i], -i)) for a in range(max(1, len(roll) - window + 1) if roll else 0)}):
+        at[roll[i]].append(i)
+    return at
+
+
+def aligned(a: list[str], b: list[str], gram: int = GRAM) -> tuple[int, int]:
+    """(words of a, words of b) covered by the longest chain of collinear seeds, each extended while the words agree.
+
+    Seeds are grams that both texts selected; a passage of gram + window - 1 common words holds at least one.
+    """
+    ours, theirs = selected(a, gram), selected(b, gram)
+    seeds = sorted(((i, j) for h in ours.keys() & theirs.keys() for i in ours[h] for j in theirs[h] if a[i : i + gram] == b[j : j + gram]), key=lambda s: (s[0], -s[1]))
     tails: list[int] = []
     ends: list[int] = []
     back = [-1] * len(seeds)
@@ -147,8 +156,7 @@ def similar_texts(sets: DataFrame, sim: Similarity | None = None) -> DataFrame:
         out["mark"] = out["mark"] * HARD + b["side"].to_numpy(np.uint8)[by_cid[np.searchsorted(cid[by_cid], out["cid"])]]
         return out
 
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(count * per_set / BUCKET_POSTINGS) + 1)
-    close = candidates(sets.select("cid", "toks", "side"), emit, buckets, sim, _allowed, _lead)
+    close = candidates(sets.select("cid", "toks", "side"), emit, count, count * per_set, "cid", sim, _allowed, _lead)
     left = sets.select(F.col("cid").alias("a"), F.col("lo").alias("a_lo"), F.col("text").alias("x"))
     right = sets.select(F.col("cid").alias("b"), F.col("lo").alias("b_lo"), F.col("text").alias("y"))
 
@@ -168,15 +176,48 @@ def similar_texts(sets: DataFrame, sim: Similarity | None = None) -> DataFrame:
     return written(pairs.mapInPandas(verify, "a long, a_lo long, b long, b_lo long, likeness double, coverage_a double, coverage_b double"), "overlaps")
 
 
+def _ways(similar: DataFrame) -> DataFrame:
+    """(c, d, likeness, coverage_c, coverage_d): every pair of classes in both directions."""
+    c, d = F.concat_ws(":", "a", "a_lo"), F.concat_ws(":", "b", "b_lo")
+    return similar.select(c.alias("c"), d.alias("d"), "likeness", F.col("coverage_a").alias("coverage_c"), F.col("coverage_b").alias("coverage_d")).unionByName(
+        similar.select(d.alias("c"), c.alias("d"), "likeness", F.col("coverage_b").alias("coverage_c"), F.col("coverage_a").alias("coverage_d"))
+    )
+
+
 def record_overlaps(members: DataFrame, similar: DataFrame) -> DataFrame:
-    """(held_id, train_id, likeness, held_coverage, train_coverage): pairs of different records across the sides, copies included."""
-    held = members.where(F.col("side") == HELD).select("record_id", "cid", "lo")
-    train = members.where(F.col("side") == TRAIN).select("record_id", "cid", "lo")
-    ways = similar.unionByName(similar.select(F.col("b").alias("a"), F.col("b_lo").alias("a_lo"), F.col("a").alias("b"), F.col("a_lo").alias("b_lo"), "likeness", F.col("coverage_b").alias("coverage_a"), F.col("coverage_a").alias("coverage_b")))
-    h = held.select(F.col("record_id").alias("held_id"), F.col("cid").alias("a"), F.col("lo").alias("a_lo"))
-    t = train.select(F.col("record_id").alias("train_id"), F.col("cid").alias("b"), F.col("lo").alias("b_lo"))
-    near = ways.join(h, ["a", "a_lo"]).join(t, ["b", "b_lo"]).select("held_id", "train_id", "likeness", F.col("coverage_a").alias("held_coverage"), F.col("coverage_b").alias("train_coverage"))
-    one = F.lit(1.0)
-    key = F.concat_ws(":", "cid", "lo")
-    same = salted_join(train.select(key.alias("c"), F.col("record_id").alias("train_id")), held.select(key.alias("c"), F.col("record_id").alias("held_id")), "c").select("held_id", "train_id", one.alias("likeness"), one.alias("held_coverage"), one.alias("train_coverage"))
+    """(held_id, train_id, likeness, held_coverage, train_coverage): pairs of different records across the sides, copies included.
+
+    For classes with many copies the compact form (``linked_records``) is the one to use.
+    """
+    named = members.select(F.concat_ws(":", "cid", "lo").alias("c"), "record_id", "side")
+    held = named.where(F.col("side") == HELD).select("c", F.col("record_id").alias("held_id"))
+    train = named.where(F.col("side") == TRAIN).select("c", F.col("record_id").alias("train_id"))
+    one = salted_join(held, _ways(similar), "c").select(F.col("d").alias("c"), "held_id", "likeness", F.col("coverage_c").alias("held_coverage"), F.col("coverage_d").alias("train_coverage"))
+    near = salted_join(train, one, "c").select("held_id", "train_id", "likeness", "held_coverage", "train_coverage")
+    whole = F.lit(1.0)
+    same = salted_join(train, held, "c").select("held_id", "train_id", whole.alias("likeness"), whole.alias("held_coverage"), whole.alias("train_coverage"))
     return near.unionByName(same).where("held_id <> train_id").groupBy("held_id", "train_id").agg(F.max("likeness").alias("likeness"), F.max("held_coverage").alias("held_coverage"), F.max("train_coverage").alias("train_coverage"))
+
+
+def linked_records(members: DataFrame, similar: DataFrame) -> DataFrame:
+    """(record_id, side, same, near, coverage): one row per record and side that has a partner on the other side.
+
+    ``same`` is the number of other records there with the same words in a row, ``near`` that of similar texts there,
+    ``coverage`` the largest part of the record's text that stands in a partner. No copies are paired: classes are
+    counted, and the counts come back to their members.
+    """
+    named = members.select(F.concat_ws(":", "cid", "lo").alias("c"), "record_id", "side")
+    counts = named.groupBy("c").agg(F.count_if(F.col("side") == HELD).alias("held"), F.count_if(F.col("side") == TRAIN).alias("train"))
+    # A record whose only partner of the same words is itself on the other side has none.
+    twice = named.groupBy("c", "record_id").agg(F.count(F.lit(1)).alias("sides"))
+    near = _ways(similar).join(counts.select(F.col("c").alias("d"), "held", "train"), "d").groupBy("c").agg(
+        *[F.count_if(F.col(s) > 0).alias(f"near_{s}") for s in ("held", "train")], *[F.max(F.when(F.col(s) > 0, F.col("coverage_c"))).alias(f"coverage_{s}") for s in ("held", "train")]
+    )
+    per_class = counts.join(near, "c", "left").where("held > 0 and train > 0 or near_held > 0 or near_train > 0")
+    rows = salted_join(named.join(twice, ["c", "record_id"]), per_class, "c")
+    there = F.when(F.col("side") == HELD, F.col("train")).otherwise(F.col("held")) - (F.col("sides") - 1)
+    close = F.coalesce(F.when(F.col("side") == HELD, F.col("near_train")).otherwise(F.col("near_held")), F.lit(0))
+    covered = F.when(F.col("same") > 0, 1.0).otherwise(F.when(F.col("side") == HELD, F.col("coverage_train")).otherwise(F.col("coverage_held")))
+    found = rows.withColumns({"same": there, "near": close}).where("same > 0 or near > 0").withColumn("coverage", covered)
+    # A record with several texts is told once, by all of them.
+    return found.groupBy("record_id", F.when(F.col("side") == HELD, "held_out").otherwise("train").alias("side")).agg(F.sum("same").alias("same"), F.sum("near").alias("near"), F.max("coverage").alias("coverage"))

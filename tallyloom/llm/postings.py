@@ -24,6 +24,10 @@ ANY = 65_535
 SHORT = 48
 #: Cells of one comparison block.
 CELLS = 1 << 20
+#: Postings of a bucket, and of a part of a long list; tasks that join buckets; long lists that are known beforehand.
+BUCKET_POSTINGS, LIST_POSTINGS, MOST_TASKS, MOST_LISTS = 131_072, 65_536, 20_000, 1_000_000
+#: One set of so many is looked at to tell which lists are long. It decides how lists are cut, not what is found.
+LOOK = 64
 
 
 @dataclass(frozen=True)
@@ -207,20 +211,51 @@ def _distinct(pairs: np.ndarray) -> np.ndarray:
     return pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))] if len(pairs) else pairs
 
 
-def candidates(sets: DataFrame, emit: Callable[[pd.DataFrame], np.ndarray], buckets: int, sim: Similarity, allowed: Allowed, lead: Lead) -> DataFrame:
+def long_lists(sets: DataFrame, emit: Callable[[pd.DataFrame], np.ndarray], rows: int, by: str) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, parts) of the lists that are longer than a part, as told by the sets whose hash of ``by`` is divisible by LOOK. A list is at most as long as there are sets."""
+    if rows <= LIST_POSTINGS:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                out = emit(b)
+                key, n = np.unique(out["key"][out["block"] == ANY], return_counts=True)
+                yield pd.DataFrame({"k": key.view(np.int64), "n": n})
+
+    some = sets.where(F.pmod(F.xxhash64(F.lit("look"), by), F.lit(LOOK)) == 0)
+    found = some.mapInPandas(keys, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") * LOOK > LIST_POSTINGS).orderBy(F.desc("n")).limit(MOST_LISTS).collect()
+    key, n = np.array([r[0] for r in found], np.int64).view(np.uint64), np.array([r[1] for r in found], np.int64)
+    order = np.argsort(key)
+    return key[order], -(-n[order] * LOOK // LIST_POSTINGS)
+
+
+def cut_long(postings: np.ndarray, lists: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The postings, those of long lists repeated over the pairs of the list's parts."""
+    keys, parts = lists
+    if not len(keys) or not len(postings):
+        return postings
+    at = np.minimum(np.searchsorted(keys, postings["key"]), len(keys) - 1)
+    return split_lists(postings, np.where((keys[at] == postings["key"]) & (postings["block"] == ANY), parts[at], 1))
+
+
+def candidates(sets: DataFrame, emit: Callable[[pd.DataFrame], np.ndarray], rows: int, postings: float, by: str, sim: Similarity, allowed: Allowed, lead: Lead) -> DataFrame:
     """(a, b): distinct candidate pairs of the sets whose postings meet in a list.
 
-    ``buckets`` follows the number of postings, so a bucket's size does not grow with the data.
+    The number of buckets follows that of the postings, and tasks that of the buckets, so neither grows with the data.
     """
+    spark = sets.sparkSession
+    buckets = int(postings / BUCKET_POSTINGS) + spark.sparkContext.defaultParallelism
+    lists = spark.sparkContext.broadcast(long_lists(sets, emit, rows, by))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield packed(emit(b), buckets)
+                yield packed(cut_long(emit(b), lists.value), buckets)
 
     def read(group: pd.DataFrame) -> pd.DataFrame:
         pairs = joined(np.concatenate([np.frombuffer(x, POSTING) for x in group["blob"]]), sim, allowed, lead)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     blobs = sets.mapInPandas(write, "bucket int, rows long, blob binary")
-    return blobs.groupBy("bucket").applyInPandas(read, "a long, b long").distinct()
+    return blobs.repartition(min(buckets, MOST_TASKS), "bucket").groupBy("bucket").applyInPandas(read, "a long, b long").distinct()

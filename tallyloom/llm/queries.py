@@ -80,6 +80,10 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    return p4_groups(spark, d).select("table_name", "record_id", "group_id")
+
+
 def _mix(spark: SparkSession, d: str):
     members = mixing.memberships(table(spark, d, "support_tickets_canonical"), table(spark, d, "source_registry"))
     return members, *mixing.plan(members, table(spark, d, "mix_targets"))
@@ -107,27 +111,38 @@ def p5_totals(spark: SparkSession, d: str) -> DataFrame:
     return mixing.totals(p5_mix(spark, d), table(spark, d, "mix_targets"))
 
 
-def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     canonical, manifest = table(spark, d, "support_tickets_canonical"), table(spark, d, "support_tickets_eval_manifest")
     held = overlap.texts(canonical.where("split = 'eval'"), "record_id", "input_text", overlap.HELD).unionByName(overlap.texts(manifest, "record_id", "input_text", overlap.HELD))
     members, sets = overlap.classes(held.unionByName(overlap.texts(canonical.where("split = 'train'"), "record_id", "input_text", overlap.TRAIN)))
-    return overlap.record_overlaps(members, overlap.similar_texts(sets))
+    return members, overlap.similar_texts(sets)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _overlaps(spark, d).select(F.least("held_id", "train_id").alias("record_id_a"), F.greatest("held_id", "train_id").alias("record_id_b")).distinct()
+    pairs = overlap.record_overlaps(*_overlaps(spark, d))
+    return pairs.select(F.least("held_id", "train_id").alias("record_id_a"), F.greatest("held_id", "train_id").alias("record_id_b")).distinct()
 
 
-def p6_report(spark: SparkSession, d: str) -> DataFrame:
-    """Overlaps by split and by the source a record names (of several, the least)."""
+def p6_records(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.linked_records(*_overlaps(spark, d))
+
+
+def _sourced(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    """The rows with the source a record names (of several, the least)."""
     canonical, manifest = table(spark, d, "support_tickets_canonical"), table(spark, d, "support_tickets_eval_manifest")
     source = F.coalesce(F.lower(F.trim("source_dataset")), F.lit("unknown"))
-    of = canonical.select("record_id", source.alias("s")).unionByName(manifest.select("record_id", source.alias("s"))).where("record_id is not null").groupBy("record_id").agg(F.min("s").alias("s"))
-    pairs = _overlaps(spark, d)
-    named = pairs.join(of.select(F.col("record_id").alias("held_id"), F.col("s").alias("held_source")), "held_id", "left").join(of.select(F.col("record_id").alias("train_id"), F.col("s").alias("train_source")), "train_id", "left")
-    return named.groupBy("held_source", "train_source").agg(
-        F.count(F.lit(1)).alias("pairs"), F.countDistinct("held_id").alias("held_records"), F.countDistinct("train_id").alias("train_records"), F.round(F.avg("held_coverage"), 4).alias("held_coverage"), F.round(F.avg("train_coverage"), 4).alias("train_coverage")
-    )
+    of = canonical.select("record_id", source.alias("s")).unionByName(manifest.select("record_id", source.alias("s"))).where("record_id is not null").groupBy("record_id").agg(F.min("s").alias("source_dataset"))
+    return rows.join(of, "record_id", "left")
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """Records with a partner on the other side by split and source."""
+    return _sourced(spark, d, p6_records(spark, d)).groupBy("side", "source_dataset").agg(F.count(F.lit(1)).alias("records"))
+
+
+def p6_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """The same with how many have partners of the same words, and how much of their text is covered."""
+    return _sourced(spark, d, p6_records(spark, d)).groupBy("side", "source_dataset").agg(F.count_if(F.col("same") > 0).alias("same"), F.count_if(F.col("same") == 0).alias("near_only"), F.round(F.avg("coverage"), 4).alias("coverage"))
 
 
 def _registry(spark: SparkSession, d: str) -> permanent.NumberRegistry:
@@ -213,7 +228,7 @@ def _alike(rows: str, allowed: str) -> str:
     e AS MATERIALIZED (SELECT k, id, side, len(w) AS n, unnest(w) AS x FROM s),
     c AS (SELECT a.k AS ka, b.k AS kb, any_value(a.id) AS ia, any_value(b.id) AS ib, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS o
           FROM e a JOIN e b ON a.x = b.x AND a.k <> b.k AND a.id <> b.id AND {allowed} AND a.n * 10 >= b.n * 7 AND b.n * 10 >= a.n * 7 GROUP BY ALL HAVING true)
-    SELECT DISTINCT least(ia, ib) AS record_id_a, greatest(ia, ib) AS record_id_b FROM c WHERE o * 17 >= 7 * (na + nb)"""
+    SELECT DISTINCT ia, ib, least(ia, ib) AS record_id_a, greatest(ia, ib) AS record_id_b FROM c WHERE o * 17 >= 7 * (na + nb)"""
 
 
 _LABEL = "CASE WHEN regexp_replace(lower(trim({0})), '[\\s\\-]+', '_', 'g') IN ({1}) THEN regexp_replace(lower(trim({0})), '[\\s\\-]+', '_', 'g') END"
@@ -233,11 +248,12 @@ _MARK = "coalesce(lower(trim({0}, ' \t\n\r')) IN ({1}), false)"
 def oracle_sql() -> dict[str, str]:
     train, held = _quoted(splits.TRAIN_MARKS), _quoted(splits.HELD_MARKS)
     p4 = [
-        f"SELECT '{name}' AS table_name, record_id_a, record_id_b FROM ({_alike(f'SELECT record_id AS id, 0 AS side, {text} AS text FROM {name}', 'a.k < b.k')})"
+        f"SELECT DISTINCT '{name}' AS table_name, record_id_a, record_id_b FROM ({_alike(f'SELECT record_id AS id, 0 AS side, {text} AS text FROM {name}', 'a.k < b.k')})"
         for name, text in (("support_tickets_canonical", "input_text"), ("support_tickets", "target.summary"))
     ]
     sides = """SELECT record_id AS id, 1 AS side, input_text AS text FROM support_tickets_eval_manifest UNION ALL SELECT record_id, 1, input_text FROM support_tickets_canonical WHERE split = 'eval'
                UNION ALL SELECT record_id, 2, input_text FROM support_tickets_canonical WHERE split = 'train'"""
+    across = _alike(sides, "a.side = 1 AND b.side = 2")
     return {
         "p2_found": f"""
         WITH r AS (SELECT record_id, min(struct_pack(c := c, p := p)) AS l FROM (
@@ -267,6 +283,10 @@ def oracle_sql() -> dict[str, str]:
         g AS (SELECT component, min(record_id) AS group_id, bool_or(train) AS t, bool_or(held) AS h FROM rec JOIN mark USING (node) GROUP BY 1)
         SELECT record_id, group_id FROM rec JOIN g USING (component) WHERE t AND h""",
         "p4_found": " UNION ALL ".join(p4),
+        "p4_members": f"""
+        WITH RECURSIVE p AS MATERIALIZED ({' UNION ALL '.join(p4)}), u AS MATERIALIZED (SELECT table_name, record_id_a AS a, record_id_b AS b FROM p UNION SELECT table_name, record_id_b, record_id_a FROM p),
+        walk AS (SELECT table_name, a AS record_id, a AS seen FROM u UNION SELECT w.table_name, w.record_id, u.b FROM walk w JOIN u ON w.table_name = u.table_name AND w.seen = u.a)
+        SELECT table_name, record_id, min(seen) AS group_id FROM walk GROUP BY ALL""",
         "p5_short": f"""
         WITH {_OF_SOURCE} SELECT mix_name, source_dataset, coalesce(n, 0) AS records, greatest(0, ceil(target_share * mix_rows) - max_repeats * coalesce(n, 0))::BIGINT AS short_rows FROM mix_targets LEFT JOIN n USING (source_dataset)""",
         "p5_totals": f"""
@@ -274,7 +294,11 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": f"""
         WITH {_OF_SOURCE}
         SELECT mix_name, source_dataset FROM mix_targets LEFT JOIN n USING (source_dataset) WHERE target_share * mix_rows > max_repeats * coalesce(n, 0)""",
-        "p6_found": _alike(sides, "a.side = 1 AND b.side = 2"),
+        "p6_found": f"SELECT DISTINCT record_id_a, record_id_b FROM ({across})",
+        "p6_report": f"""
+        WITH p AS MATERIALIZED ({across}), r AS (SELECT DISTINCT 'held_out' AS side, ia AS record_id FROM p UNION SELECT DISTINCT 'train', ib FROM p),
+        s AS (SELECT record_id, min(coalesce(lower(trim(source_dataset)), 'unknown')) AS source_dataset FROM (SELECT record_id, source_dataset FROM support_tickets_canonical UNION ALL SELECT record_id, source_dataset FROM support_tickets_eval_manifest) WHERE record_id IS NOT NULL GROUP BY 1)
+        SELECT side, source_dataset, count(*) AS records FROM r LEFT JOIN s USING (record_id) GROUP BY ALL""",
         "p7_sample": """
         SELECT sample_name, record_id FROM (SELECT DISTINCT record_id FROM support_tickets_canonical WHERE record_id IS NOT NULL), sample_rates
         WHERE ('0x' || substr(sha256('permanent:' || record_id), 1, 13))::BIGINT / 4503599627370496.0 < rate""",

@@ -46,7 +46,9 @@ def test_join_loses_no_pair(spark, monkeypatch, seed, frequent):
     """Thresholds are lowered so that small data goes through all three kinds of lists, and long ones are split."""
     monkeypatch.setattr(neardup, "LEAST_FREQUENT", frequent)
     monkeypatch.setattr(neardup, "TOP_FREQUENT", frequent)
-    monkeypatch.setattr(neardup, "LIST_POSTINGS", 40)
+    monkeypatch.setattr(P, "LIST_POSTINGS", 40)
+    monkeypatch.setattr(P, "LOOK", 2)
+    monkeypatch.setattr(P, "BUCKET_POSTINGS", 500)
     monkeypatch.setattr(P, "SHORT", 6)
     rows = corpus(seed, 220)
     df = spark.createDataFrame([(i, x, 0) for i, x in rows], "record_id string, text string, toks int")
@@ -99,8 +101,7 @@ def test_winnowing_finds_shared_passages():
     assert list(row) == [0, 2] and keys[0] == keys[1]
 
 
-def test_overlaps_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(overlap, "HOT", 6)
+def test_overlaps_match_brute_force(spark):
     rnd = random.Random(7)
     train = [(f"t{i}", " ".join(f"w{rnd.randrange(400)}" for _ in range(rnd.randrange(20, 60)))) for i in range(60)]
     held = []
@@ -114,11 +115,14 @@ def test_overlaps_match_brute_force(spark, monkeypatch):
     rows = overlap.record_overlaps(members, overlap.similar_texts(sets)).collect()
     assert {(r["held_id"], r["train_id"]) for r in rows} == {(a, b) for a, x in held for b, y in train if a != b and alike(x, y)}
     assert all(0 < r["held_coverage"] <= 1 and r["likeness"] >= 0.7 for r in rows)
+    told = {(r["record_id"], r["side"]): r for r in overlap.linked_records(members, overlap.similar_texts(sets)).collect()}
+    assert set(told) == {(r["held_id"], "held_out") for r in rows} | {(r["train_id"], "train") for r in rows} and all(0 < r["coverage"] <= 1 for r in told.values())
 
 
 def test_alignment():
-    a = "the quick brown fox jumps over the lazy dog today".split()
-    assert overlap.aligned(a, a) == (10, 10) and overlap.aligned(a, a[5:] + a[:5]) == (5, 5) and overlap.aligned([], a) == (0, 0)
+    a = "the quick brown fox jumps over the lazy dog today while nine small grey cats sleep under an old oak".split()
+    assert overlap.aligned(a, a) == (20, 20) and overlap.aligned(a, a[10:] + a[:10]) == (10, 10) and overlap.aligned([], a) == (0, 0)
+    assert overlap.aligned(a, a[:9] + ["x"] + a[9:]) == (20, 20) and overlap.aligned(a, a[:9] + a[12:])[1] == 17
 
 
 def _found_across(spark, held, train):
@@ -130,7 +134,6 @@ def _found_across(spark, held, train):
 @pytest.mark.parametrize("frequent", [4, 60, 1_000])
 def test_overlaps_inside_a_hot_family(spark, monkeypatch, frequent):
     """Variants of one text, sentences re-ordered and words inserted: whether a pair is found does not depend on the others."""
-    monkeypatch.setattr(overlap, "HOT", 6)
     monkeypatch.setattr(neardup, "LEAST_FREQUENT", frequent)
     monkeypatch.setattr(neardup, "TOP_FREQUENT", frequent)
     rnd = random.Random(11)
@@ -148,6 +151,33 @@ def test_overlaps_inside_a_hot_family(spark, monkeypatch, frequent):
     assert _found_across(spark, held, train) == {(a, b) for a, x in held for b, y in train if alike(x, y)}
 
 
+def test_hot_class_is_told_without_pairs(spark):
+    """A third of the rows in one class, on both sides, and a record that is its own copy across them."""
+    held = [(f"h{i}", "one text for all of them") for i in range(60)] + [("x", "alone on both sides here")]
+    train = [(f"t{i}", "One text for all of them!") for i in range(70)] + [("x", "alone on both sides here"), ("n", "one text for all of them now")] + [(f"r{i}", f"some other text {i} {i}a {i}b") for i in range(150)]
+    both = overlap.texts(spark.createDataFrame(held, "i string, x string"), "i", "x", 1).unionByName(overlap.texts(spark.createDataFrame(train, "i string, x string"), "i", "x", 2))
+    members, sets = overlap.classes(both)
+    told = {(r["record_id"], r["side"]): (r["same"], r["near"], r["coverage"]) for r in overlap.linked_records(members, overlap.similar_texts(sets)).collect()}
+    assert told["h0", "held_out"] == (70, 1, 1.0) and told["t0", "train"] == (60, 0, 1.0) and told["n", "train"][:2] == (0, 1) and len(told) == 131
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_hot_lists_are_cut(spark, monkeypatch, empty):
+    """Sets of which a third lie in one equality list, that of parts without a frequent word included."""
+    monkeypatch.setattr(neardup, "LEAST_FREQUENT", 3)
+    monkeypatch.setattr(neardup, "TOP_FREQUENT", 3)
+    monkeypatch.setattr(P, "LIST_POSTINGS", 25)
+    monkeypatch.setattr(P, "LOOK", 1)
+    rnd = random.Random(3)
+    few = [f"h{i}" for i in range(9)]
+    rows = [(f"r{i:03d}", " ".join(rnd.sample(few, rnd.randrange(2, 5) if empty else 7) + [f"v{rnd.randrange(900)}"] * rnd.randrange(2))) for i in range(240)]
+    members, sets = neardup.classes(spark.createDataFrame(rows, "record_id string, text string"), "record_id", "text")
+    order, n, per_set = neardup.plan(sets, P.Similarity())
+    lists = P.long_lists(sets, lambda b: neardup.emitted(b, order), n, "hi")
+    assert len(lists[0]) and lists[1].min() > 1
+    assert {tuple(r) for r in neardup.record_pairs(members, neardup.similar_classes(sets)).collect()} == brute(rows)
+
+
 def test_overlaps_of_short_texts(spark):
     rnd = random.Random(12)
     texts_ = lambda n, mark: [(f"{mark}{i}", " ".join(rnd.sample("a b c d e f g h i j".split(), rnd.randrange(1, 9)))) for i in range(n)]
