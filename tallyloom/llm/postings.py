@@ -258,4 +258,6 @@ def candidates(sets: DataFrame, emit: Callable[[pd.DataFrame], np.ndarray], rows
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     blobs = sets.mapInPandas(write, "bucket int, rows long, blob binary")
-    return blobs.repartition(min(buckets, MOST_TASKS), "bucket").groupBy("bucket").applyInPandas(read, "a long, b long").distinct()
+    # A task per bucket; of more buckets than tasks several meet in one, one after the other.
+    spread = blobs.repartitionById(buckets, "bucket") if buckets <= MOST_TASKS else blobs.repartition(MOST_TASKS, "bucket")
+    return spread.groupBy("bucket").applyInPandas(read, "a long, b long").distinct()
