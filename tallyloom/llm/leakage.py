@@ -40,13 +40,16 @@ class PositionalIndex:
         self.postings_ = Batches(spark, f"{path.rstrip('/')}/postings", f"term string, doc_id {doc_type}, pos int")
         self.documents_ = Batches(spark, f"{path.rstrip('/')}/documents", f"doc_id {doc_type}")
 
-    def append(self, documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> PositionalIndex:
-        """Index the documents whose id is not in yet; null ids and null texts are left out."""
+    def append(self, documents: DataFrame, doc_id: str = "doc_id", text: str = "text", only: DataFrame | None = None) -> PositionalIndex:
+        """Index the documents whose id is not in yet; null ids and null texts are left out.
+
+        An index for one set of items may hold ``only`` their terms (a small table); it is then not sorted.
+        """
         rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
         if self.documents_.count():
             rows = rows.join(self.documents_.read().select("doc_id"), "doc_id", "left_anti")
         exploded = rows.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "term"))
-        self.postings_.append(exploded.select("term", "doc_id", "pos").sortWithinPartitions("term"))
+        self.postings_.append((exploded.sortWithinPartitions("term") if only is None else exploded.join(F.broadcast(only), "term", "left_semi")).select("term", "doc_id", "pos"))
         self.documents_.append(rows.select("doc_id").distinct())
         return self
 
@@ -145,8 +148,8 @@ def leaks(documents: DataFrame, items_table: DataFrame, run: int = 13, doc_id: s
     spark = documents.sparkSession
     items = held_out(items_table, item_id, item_text)
     kind, ikind = documents.schema[doc_id].dataType.simpleString(), items_table.schema[item_id].dataType.simpleString()
-    index = index or PositionalIndex(spark, scratch(spark, "index"), kind).append(documents, doc_id, text)
     vocabulary = spark.createDataFrame(sorted({(x,) for w in items.values() for x in w}), "term string")
+    index = index or PositionalIndex(spark, scratch(spark, "index"), kind).append(documents, doc_id, text, vocabulary)
     counts = {r[0]: r[1] for r in index.postings(vocabulary).groupBy("term").count().collect()}  # one row per held-out word
 
     def pins(chosen: set[tuple]) -> DataFrame:

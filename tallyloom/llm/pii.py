@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import date
 
 import pandas as pd
@@ -95,17 +95,27 @@ class Names:
 
         Everyday words are those of the labelled rows' texts that mostly stand without a first name or initial beside them.
         """
+        model = Names.labelled(names)
+        seen, named = model.places(texts)
+        return replace(model, everyday=frozenset(w for w, n in seen.items() if named[w] < NAME_SHARE * n))
+
+    @staticmethod
+    def labelled(names: list[str]) -> Names:
         split = [w for n in names if len(w := _WORD.findall(n.lower())) >= 2]
         endings = Counter(w[-1][-4:] for w in split if len(w[-1]) >= 5)
         floor = max(1, round(0.004 * len(split)))
         first = frozenset(w[0] for w in split if len(w[0]) > 1)
+        return Names(first, frozenset(e for e, n in endings.items() if n >= floor), frozenset(w[-1] for w in split))
+
+    def places(self, texts: list[str]) -> tuple[Counter, Counter]:
+        """How often each word stands in the texts, and how often beside a first name or initial."""
         seen: Counter = Counter()
         named: Counter = Counter()
         for t in texts:
             w = [x.lower() for x in _WORD.findall(t or "")]
             seen.update(w)
-            named.update(x for i, x in enumerate(w) if any(n in first or len(n) == 1 for n in w[max(0, i - 1) : i] + w[i + 1 : i + 2]))
-        return Names(first, frozenset(e for e, n in endings.items() if n >= floor), frozenset(w[-1] for w in split), frozenset(w for w, n in seen.items() if named[w] < NAME_SHARE * n))
+            named.update(x for i, x in enumerate(w) if any(n in self.first or len(n) == 1 for n in w[max(0, i - 1) : i] + w[i + 1 : i + 2]))
+        return seen, named
 
     def like(self, word: str) -> bool:
         """Whether a lower-case word looks like a surname: labelled as one, or with the ending of one."""
@@ -174,8 +184,18 @@ def fit_names(tickets: DataFrame, bound: int = LABELLED_NAMES, rows: int = LABEL
     labelled = tickets.where("target.customer.name is not null")
     names = labelled.select(F.col("target.customer.name").alias("n")).distinct()
     known = sorted(r[0] for r in names.orderBy(F.xxhash64("n"), "n").limit(bound).collect())
-    texts = labelled.where("input_text is not null").select("input_text") if "input_text" in tickets.columns else None
-    return Names.fit(known, [] if texts is None else [r[0] for r in texts.orderBy(F.xxhash64("input_text"), "input_text").limit(rows).collect()])
+    model = Names.labelled(known)
+    if "input_text" not in tickets.columns:
+        return model
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            seen, named = model.places(b["input_text"])
+            yield pd.DataFrame({"word": list(seen), "n": list(seen.values()), "named": [named[w] for w in seen]})
+
+    some = labelled.where("input_text is not null").select("input_text").orderBy(F.xxhash64("input_text"), "input_text").limit(rows)
+    counts = some.mapInPandas(places, "word string, n long, named long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("named").alias("named"))
+    return replace(model, everyday=frozenset(r[0] for r in counts.where(F.col("named") < NAME_SHARE * F.col("n")).select("word").collect()))
 
 
 def find(text: str, names: Names) -> list[tuple[int, int, str]]:
