@@ -16,7 +16,7 @@ from .functions import text as X
 from .functions import udfs
 from .operators import augment, compare, evaluate, lineage, preference, profile, sampling, serving
 from .operators.lineage import root
-from .schema import LIST_FIELD, NULLABLE_FIELDS, SCALAR_FIELDS
+from .schema import LIST_FIELD, NULLABLE_FIELDS, SCALAR_FIELDS, TARGET, TOP_KEYS
 from .session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -346,10 +346,18 @@ def evaluation_rates(spark, d):
     return evaluate.rates(predictions(spark, d), ["stage"])
 
 
-@query("SELECT event_type, count(*) AS rows, count_if(json_extract(props, '$.k') IS NOT NULL) AS present, count_if(json_extract(props, '$.absent') IS NULL) AS absent FROM events GROUP BY 1")
+_JSON_SIDE = "CASE {0} % 4 WHEN 0 THEN NULL WHEN 1 THEN 'null' WHEN 2 THEN 'true' ELSE '1' END"
+
+
+@query(f"""WITH e AS (SELECT event_type, {_JSON_SIDE.format('event_id')} AS a, {_JSON_SIDE.format('(event_id // 4)')} AS b FROM events)
+SELECT event_type, coalesce(a, 'missing') AS predicted, coalesce(b, 'missing') AS reference, a IS NOT DISTINCT FROM b AS same, count(*) AS rows FROM e GROUP BY ALL""")
 def exact_match_missing_vs_null(spark, d):
-    v = F.try_parse_json("props")
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"), F.count_if(evaluate.path_token(v, "$.k").isNotNull()).alias("present"), F.count_if(evaluate.path_token(v, "$.absent").isNull()).alias("absent"))
+    """A path that is missing, null, true or 1 on either side; only the same presence and value match."""
+    shown = lambda n: F.when(n % 4 == 0, "{}").when(n % 4 == 1, '{"k": null}').when(n % 4 == 2, '{"k": true}').otherwise('{"k": 1}')
+    token = lambda n: evaluate.path_token(F.try_parse_json(shown(n)), "$.k")
+    rows = table(spark, d, "events").select("event_type", token(F.col("event_id")).alias("a"), token(F.floor(F.col("event_id") / 4)).alias("b"))
+    said = lambda c: F.coalesce(F.substring_index(c, "=", -1), F.lit("missing"))
+    return rows.groupBy("event_type", said("a").alias("predicted"), said("b").alias("reference"), F.col("a").eqNullSafe(F.col("b")).alias("same")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query(_with("SELECT stage, field, reference, predicted, count(*) AS rows FROM (" + " UNION ALL ".join(f"SELECT stage, '{f}' AS field, coalesce(r_{_C(f)}, 'None') AS reference, coalesce(p_{_C(f)}, 'None') AS predicted FROM scored" for f in evaluate.EXACT_FIELDS) + ") GROUP BY ALL"))
@@ -381,7 +389,13 @@ def candidate_scores(spark, d):
 
 # Comparison of stages.
 
-_JOIN3 = SCORED_SQL + ", j AS (SELECT b.record_id, " + ", ".join(f"{s}.penalised_score AS {s}_score, {s}.syntax AS {s}_syntax, {s}.exact AS {s}_exact, {s}.raw_output AS {s}_output" for s in "bsd") + " FROM scored b JOIN scored s ON b.record_id = s.record_id AND b.stage = 'baseline' AND s.stage = 'sft' JOIN scored d ON b.record_id = d.record_id AND d.stage = 'dpo')"
+_SIDE = "any_value({0}) FILTER (stage = '{1}') AS {2}_{3}"
+_JOIN3 = (
+    SCORED_SQL
+    + ", j AS (SELECT record_id, "
+    + ", ".join(_SIDE.format(c, stage, s, n) for s, stage in zip("bsd", STAGES, strict=True) for c, n in (("penalised_score", "score"), ("syntax", "syntax"), ("exact", "exact"), ("raw_output", "output")))
+    + " FROM scored GROUP BY record_id HAVING count(DISTINCT stage) = 3)"
+)
 
 
 @query(_with("SELECT s.record_id, round(d.semantic_score - s.semantic_score, 6) AS delta, d.syntax - s.syntax AS syntax_delta FROM scored s JOIN scored d ON s.record_id = d.record_id AND s.stage = 'sft' AND d.stage = 'dpo'"))
@@ -405,7 +419,7 @@ def stage_evidence_topk(spark, d):
     return compare.evidence(compare.three_way(scored(spark, d)))
 
 
-@query(f"""WITH {_JOIN3.replace('penalised_score AS', 'semantic_score AS')}, c AS (
+@query(f"""WITH {_JOIN3.replace('any_value(penalised_score)', 'any_value(semantic_score)')}, c AS (
 SELECT record_id, 'baseline_bad_to_sft_good' AS category, s_score - b_score AS weight FROM j WHERE NOT b_exact AND s_exact UNION ALL
 SELECT record_id, 'sft_good_to_dpo_better', d_score - s_score FROM j WHERE s_syntax = 7 AND s_score >= 0.75 AND d_score > s_score + 1e-9 AND d_syntax >= s_syntax UNION ALL
 SELECT record_id, 'sft_good_to_dpo_worse', s_score - d_score + (d_syntax < s_syntax)::INT FROM j WHERE s_syntax = 7 AND s_score >= 0.75 AND (d_score + 1e-9 < s_score OR d_syntax < s_syntax) UNION ALL
@@ -416,7 +430,7 @@ def case_study_topk(spark, d):
     return compare.case_studies(compare.three_way(scored(spark, d), score="semantic_score"))
 
 
-@query(f"WITH {_JOIN3.replace('penalised_score AS', 'semantic_score AS')} SELECT record_id, round(d_score - s_score, 6) AS delta FROM j WHERE d_syntax < s_syntax OR d_score + 1e-9 < s_score ORDER BY round(d_score - s_score, 6), d_syntax, record_id LIMIT 5")
+@query(f"WITH {_JOIN3.replace('any_value(penalised_score)', 'any_value(semantic_score)')} SELECT record_id, round(d_score - s_score, 6) AS delta FROM j WHERE d_syntax < s_syntax OR d_score + 1e-9 < s_score ORDER BY round(d_score - s_score, 6), d_syntax, record_id LIMIT 5")
 def regressions_top5(spark, d):
     return compare.regressions(compare.three_way(scored(spark, d), score="semantic_score"))
 
@@ -591,25 +605,92 @@ def token_counts(spark, d):
     return profile.length_stats(table(spark, d, "documents").where("text is not null"), ["kind"], F.size(X.space_tokens(F.col("text"))))
 
 
-@query("SELECT DISTINCT record_id, md5(completion) AS digest FROM support_tickets_sft_prompt_completion WHERE completion IS NOT NULL")
+#: How a completion is dressed up or damaged, by a hash of its record: (before it, behind it, parsed, recovered).
+DRESSES = (
+    ("", "", True, False),
+    ("```json\n", "\n```", True, False),
+    ("```\n", "\n```", True, False),
+    ('Here is {it}: ', " - done", False, False),
+    ("Sure. ", ' {"more": "}"}', True, True),
+    ('"', '"', True, True),
+    ("[", "]", True, True),
+    ("{", "", False, False),
+    ("No object: [1, 2] ", "", True, True),
+)
+_DRESSED = "('0x' || substr(md5(record_id), 1, 4))::BIGINT % {0}"
+_COMPLETIONS = f"dressed AS (SELECT DISTINCT record_id, completion, {_DRESSED.format(len(DRESSES))} AS dress FROM support_tickets_sft_prompt_completion)"
+
+
+def completions(spark: SparkSession, d: str, n: int) -> DataFrame:
+    """Distinct completions, null ones too, with a number below ``n`` by a hash of their record."""
+    at = F.conv(F.substring(F.md5("record_id"), 1, 4), 16, 10).cast("long") % n
+    return table(spark, d, "support_tickets_sft_prompt_completion").select("record_id", "completion").distinct().withColumn("dress", at)
+
+
+def _dress(at, what):
+    out = None
+    for i, kind in enumerate(DRESSES):
+        v = F.lit(kind[what])
+        out = F.when(at == i, v) if out is None else out.when(at == i, v)
+    return out
+
+
+@query(f"WITH {_COMPLETIONS} SELECT record_id, CASE WHEN completion IS NOT NULL THEN md5(CASE dress {' '.join(f"WHEN {i} THEN '{_q(a)}' || completion || '{_q(b)}'" if i > 2 else f'WHEN {i} THEN completion' for i, (a, b, _, _) in enumerate(DRESSES))} END) END AS digest FROM dressed")
 def strip_fences(spark, d):
-    df = table(spark, d, "support_tickets_sft_prompt_completion").where("completion is not null")
-    fenced = F.concat(F.lit("```json\n"), F.col("completion"), F.lit("\n```"))
-    return df.select("record_id", F.md5(X.strip_fences(fenced)).alias("digest")).distinct()
+    df = completions(spark, d, len(DRESSES))
+    dressed = F.concat(_dress(F.col("dress"), 0), F.col("completion"), _dress(F.col("dress"), 1))
+    return df.select("record_id", F.when(F.col("completion").isNotNull(), F.md5(X.strip_fences(dressed))).alias("digest"))
 
 
-@query("SELECT DISTINCT record_id, true AS parsed, true AS recovered, json_extract_string(completion, '$.issue_category') AS issue_category FROM support_tickets_sft_prompt_completion WHERE completion IS NOT NULL")
+_PARSED = ", ".join(f"({i}, {a}, {b})" for i, (_, _, a, b) in enumerate(DRESSES))
+
+
+@query(f"""WITH {_COMPLETIONS}, k(dress, ok, again) AS (VALUES {_PARSED})
+SELECT record_id, completion IS NOT NULL AND ok AS parsed, completion IS NOT NULL AND again AS recovered, CASE WHEN completion IS NULL OR dress = 3 THEN CASE WHEN completion IS NULL THEN 'no_json_object' ELSE 'invalid_json_object' END WHEN NOT ok THEN 'no_json_object' END AS error,
+CASE WHEN ok THEN json_extract_string(completion, '$.issue_category') END AS issue_category FROM dressed JOIN k USING (dress)""")
 def parse_output(spark, d):
-    """Completions wrapped in prose: every one is recovered."""
-    df = table(spark, d, "support_tickets_sft_prompt_completion").where("completion is not null").select("record_id", "completion").distinct()
-    parsed = df.withColumn("o", udfs.parse_output(F.concat(F.lit("Here it is: "), F.col("completion"), F.lit(" - done"))))
-    return parsed.select("record_id", F.col("o.payload").isNotNull().alias("parsed"), F.col("o.recovered").alias("recovered"), F.get_json_object("o.payload", "$.issue_category").alias("issue_category"))
+    """Completions in fences, in prose, in quotes and brackets, behind other braces, unbalanced, and null."""
+    df = completions(spark, d, len(DRESSES))
+    parsed = df.withColumn("o", udfs.parse_output(F.concat(_dress(F.col("dress"), 0), F.col("completion"), _dress(F.col("dress"), 1))))
+    return parsed.select("record_id", F.col("o.payload").isNotNull().alias("parsed"), F.col("o.recovered").alias("recovered"), F.col("o.error").alias("error"), F.get_json_object("o.payload", "$.issue_category").alias("issue_category"))
+
+
+#: How a valid payload is broken: (key, JSON it gets or None to drop it, is_valid, first issue).
+BREAKS = (
+    (None, None, True, None),
+    ("summary", None, False, "missing"),
+    ("extra", "1", False, "extra_forbidden"),
+    ("priority", '"soon"', False, "enum"),
+    ("sentiment", "null", False, "string_type"),
+    ("summary", '"  "', False, "blank"),
+    ("requires_human_followup", '"yes"', False, "bool_type"),
+    ("customer", '{"name": null, "mail": "x"}', False, "extra_forbidden"),
+    ("customer", '"nobody"', False, "model_type"),
+    ("actions_requested", '["call", " "]', False, "blank"),
+    ("actions_requested", None, True, None),
+    ("actions_requested", '"call"', False, "list_type"),
+)
+_KINDS = ", ".join(f"({i}, {ok}, {'NULL' if issue is None else repr(issue)})" for i, (_, _, ok, issue) in enumerate(BREAKS))
 
 
-@query("SELECT count(*) AS rows, count_if(ok) AS valid FROM (SELECT DISTINCT record_id, completion, json_extract_string(completion, '$.issue_category') IN ('billing', 'account_access', 'technical_bug', 'feature_request', 'integration', 'general_question', 'other') AND json_extract_string(completion, '$.summary') <> '' AS ok FROM support_tickets_sft_prompt_completion WHERE completion IS NOT NULL)")
+@query(f"""WITH p AS (SELECT record_id, {_DRESSED.format(len(BREAKS))} AS dress, split_part(json_extract_string(completion, '$.issue_category'), '?', 1) AS c FROM (SELECT DISTINCT record_id, completion FROM support_tickets_sft_prompt_completion) WHERE completion IS NOT NULL),
+k(dress, ok, issue) AS (VALUES {_KINDS}) SELECT record_id, ok AS is_valid, issue AS first_issue, CASE WHEN ok THEN c END AS issue_category, CASE issue WHEN 'missing' THEN 75 WHEN 'extra_forbidden' THEN 90 ELSE CASE WHEN ok THEN 100 ELSE 85 END END AS points FROM p JOIN k USING (dress)""")
 def validate_payload(spark, d):
-    df = table(spark, d, "support_tickets_sft_prompt_completion").where("completion is not null").select("record_id", "completion").distinct()
-    return df.withColumn("v", udfs.validate_payload("completion")).agg(F.count(F.lit(1)).alias("rows"), F.count_if("v.is_valid").alias("valid"))
+    """Completions as they are and broken in eleven ways, with their schema-only score."""
+    df = completions(spark, d, len(BREAKS)).where("completion is not null")
+    fields = F.from_json("completion", "map<string,string>")
+    plain = F.from_json("completion", TARGET)
+    parts = {k: F.to_json(F.struct(plain[k].alias("v")), {"ignoreNullFields": "false"}) for k in TOP_KEYS}
+    changed = None
+    for i, (key, value, _, _) in enumerate(BREAKS):
+        shown = {k: (F.lit(f'"{k}": {value}') if k == key else F.concat(F.lit(f'"{k}": '), F.regexp_extract(parts[k], r'(?s)^\{"v":(.*)\}$', 1))) for k in TOP_KEYS if not (k == key and value is None)}
+        if key and key not in TOP_KEYS:
+            shown[key] = F.lit(f'"{key}": {value}')
+        text = F.concat(F.lit("{"), F.concat_ws(", ", *shown.values()), F.lit("}"))
+        changed = F.when(F.col("dress") == i, text) if changed is None else changed.when(F.col("dress") == i, text)
+    checked = df.where(fields.isNotNull()).withColumn("v", udfs.validate_payload(changed))
+    other = F.size("v.issues") - F.size("v.missing") - F.size("v.unexpected")
+    return checked.select("record_id", F.col("v.is_valid").alias("is_valid"), F.try_element_at("v.issues", F.lit(1))["issue_type"].alias("first_issue"), F.get_json_object("v.normalized", "$.issue_category").alias("issue_category"), S.schema_points(F.size("v.missing"), F.size("v.unexpected"), other).alias("points"))
 
 
 @query()

@@ -37,6 +37,7 @@ PRIORITY_WORDS = (
 PLAN_WORDS = (("free", ("free",)), ("free", ("starter",)), ("pro", ("pro",)), ("business", ("business",)), ("enterprise", ("enterprise",)))
 SUMMARY_FALLBACK, SUMMARY_LENGTH, EXCERPT_LENGTH = "Customer support request", 140, 240
 
+#: The instruction and the prompt around a ticket (fixed values).
 SYSTEM_TEXT = (
     "You are a structured support-ticket extraction assistant.\n"
     "Return only valid JSON that follows the schema exactly.\n"

@@ -102,7 +102,7 @@ def stress_notes(text: Column) -> Column:
 
 
 def stress_text(text: Column, kind: Column) -> Column:
-    """A long variant of a ticket around its first and last sentence."""
+    """A long variant of a ticket around its first and last sentence (the sentences of the three templates are fixed values)."""
     base, parts = X.clean(text), X.sentences(F.coalesce(text, F.lit("")))
     head, tail = F.element_at(parts, 1), F.element_at(parts, -1)
     notes = F.array_join(F.transform(stress_notes(text), lambda n: F.concat(F.lit("- "), n)), "\n")
