@@ -542,8 +542,8 @@ def length_bucket_cutoffs(spark, d):
 
 @query(f"WITH {_LEN}, p AS (SELECT bucket_label, quantile_disc(n_text, 0.99) AS p99, quantile_disc(n_text, 0.5) AS p50 FROM bk GROUP BY 1) SELECT bucket_label, p50, p99, round(p99 / nullif(p50, 0), 6) AS tail_ratio FROM p")
 def bucket_tail_ratio(spark, d):
-    disc = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY n_text)").cast("long")
-    return _bucketed(spark, d).groupBy("bucket_label").agg(disc(0.5).alias("p50"), disc(0.99).alias("p99")).withColumn("tail_ratio", F.round(F.try_divide("p99", "p50"), 6))
+    ranks = profile.ordered_values(_bucketed(spark, d), ["bucket_label"], "n_text", {"p50": profile.rank_ceil(0.5), "p99": profile.rank_ceil(0.99)})
+    return ranks.withColumn("tail_ratio", F.round(F.try_divide("p99", "p50"), 6))
 
 
 _draw = lambda b, seed, n: f"(SELECT doc_id, bucket_label FROM bk WHERE bucket_label = '{b}' ORDER BY substr(sha256('{seed}:' || doc_id), 1, 16), doc_id::VARCHAR LIMIT {n})"

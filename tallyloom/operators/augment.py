@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..plans.ranking import ranked
+from . import sampling
 
 #: Kinds in the order in which indices are given (fixed values).
 KINDS = ("paraphrase_ticket_text", "longer_noisier_ticket", "missing_field_ticket", "category_confusable_ticket", "irrelevant_prose_ticket", "ambiguous_customer_info_ticket", "correct_null_ticket")
@@ -68,7 +68,7 @@ def augmented(df: DataFrame, most: int | None = None) -> DataFrame:
         F.sha1(text).alias("raw_hash"),
         F.lit(True).alias("synthetic"),
     )
-    return out if most is None else out.orderBy("augmentation_index").limit(most)
+    return out if most is None else sampling.first_n(out, ["augmentation_index"], most)
 
 
 def _positions(df: DataFrame, order: str, out: str) -> DataFrame:

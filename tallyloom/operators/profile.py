@@ -48,15 +48,39 @@ def length_stats(df: DataFrame, keys: list[str], length: Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(x).alias("n"), F.coalesce(F.min(x), F.lit(0)).alias("least"), F.coalesce(F.max(x), F.lit(0)).alias("most"), F.coalesce(F.round(F.avg(x), 2), F.lit(0.0)).alias("mean"), F.coalesce(F.sum(x), F.lit(0)).alias("total"))
 
 
-def ordered_value(df: DataFrame, keys: list[str], value: str, index: Column, out: str) -> DataFrame:
-    """The value at a 0-based index of each group's sorted values; ``index`` is an expression over ``n``, the group's size.
+#: Ranges of values that a group is counted in before the range of a rank is looked into.
+RANGES = 4_096
+
 
-    Values are counted first, so a group is one row per distinct value in the window, not one per row.
+def ordered_values(df: DataFrame, keys: list[str], value: str, indexes: dict[str, Column]) -> DataFrame:
+    """(keys, one column per index): the values at 0-based indexes of each group's sorted values; an index is an expression over ``n``, the group's size.
+
+    A group is counted in ranges of its values first; only the distinct values of the ranges that hold a wanted index are
+    sorted, so no task sees a whole group and nothing is approximate. Nulls are left out, null keys form a group; a
+    group without a value gives no row.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(*keys)
-    placed = counts.withColumn("n", F.sum("__c").over(w)).withColumn("__upto", F.sum("__c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    return placed.withColumn("__i", index.cast("long")).where((F.col("__upto") > F.col("__i")) & (F.col("__upto") - F.col("__c") <= F.col("__i"))).select(*keys, F.col(value).alias(out))
+    x = F.col(value).cast("double")
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value, (F.signum(x) * F.log1p(F.abs(x))).alias("__t"))
+    as_ = lambda d, mark: d.withColumnsRenamed({k: f"{mark}{k}" for k in keys})
+    same = lambda mark: [F.col(k).eqNullSafe(F.col(f"{mark}{k}")) for k in keys]
+    ends = as_(rows.groupBy(*keys).agg(F.min("__t").alias("__lo"), F.max("__t").alias("__hi")), "__e")  # one row per key
+    at = F.when(F.col("__hi") > F.col("__lo"), F.least(F.lit(RANGES - 1), F.floor((F.col("__t") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * RANGES))).otherwise(0)
+    spread = (rows.join(ends, same("__e")) if keys else rows.crossJoin(F.broadcast(ends))).select(*keys, value, at.cast("int").alias("__r"))
+    counts = spread.groupBy(*keys, "__r").agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.partitionBy(*keys)  # at most RANGES rows per key
+    placed = counts.withColumn("n", F.sum("__c").over(w)).withColumn("__upto", F.sum("__c").over(w.orderBy("__r").rowsBetween(Window.unboundedPreceding, 0)))
+    wanted = placed.select(*keys, "__r", "__c", "__upto", F.explode(F.array(*[F.struct(F.lit(o).alias("o"), i.cast("long").alias("i")) for o, i in indexes.items()])).alias("__w"))
+    inside = as_(wanted.where((F.col("__upto") > F.col("__w.i")) & (F.col("__upto") - F.col("__c") <= F.col("__w.i"))).select(*keys, F.col("__r").alias("__q"), F.col("__w.o").alias("__o"), (F.col("__w.i") - F.col("__upto") + F.col("__c")).alias("__i")), "__p")
+    on = [*same("__p"), F.col("__r") == F.col("__q")]
+    near = spread.join(F.broadcast(inside) if not keys else inside, on, "left_semi").groupBy(*keys, "__r", value).agg(F.count(F.lit(1)).alias("__c"))
+    ranked = near.withColumn("__upto", F.sum("__c").over(Window.partitionBy(*keys, "__r").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    found = ranked.join(inside, on).where((F.col("__upto") > F.col("__i")) & (F.col("__upto") - F.col("__c") <= F.col("__i")))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("__o") == o, F.col(value))).alias(o) for o in indexes]) if keys else found.agg(*[F.max(F.when(F.col("__o") == o, F.col(value))).alias(o) for o in indexes])
+
+
+def ordered_value(df: DataFrame, keys: list[str], value: str, index: Column, out: str) -> DataFrame:
+    """:func:`ordered_values` for one index."""
+    return ordered_values(df, keys, value, {out: index})
 
 
 def rank_ceil(p: float) -> Column:
@@ -80,9 +104,8 @@ def bucket_label(length: Column, low: Column, high: Column) -> Column:
 
 def length_buckets(df: DataFrame, length: str) -> DataFrame:
     """Add ``bucket_label`` by the floored 33 % and 66 % cutoffs of the length; equal lengths share a bucket."""
-    low = ordered_value(df, [], length, rank_floor(0.33), "__low")
-    high = ordered_value(df, [], length, rank_floor(0.66), "__high")
-    return df.crossJoin(F.broadcast(low.crossJoin(high))).withColumn("bucket_label", bucket_label(F.col(length), F.col("__low"), F.col("__high"))).drop("__low", "__high")  # one row
+    cuts = ordered_values(df, [], length, {"__low": rank_floor(0.33), "__high": rank_floor(0.66)})
+    return df.crossJoin(F.broadcast(cuts)).withColumn("bucket_label", bucket_label(F.col(length), F.col("__low"), F.col("__high"))).drop("__low", "__high")  # one row
 
 
 def histogram(df: DataFrame, value: str) -> DataFrame:

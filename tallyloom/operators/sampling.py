@@ -9,10 +9,24 @@ from pyspark.sql import functions as F
 
 from ..functions.text import order_key
 from ..plans.ranking import ranked
+from ..storage import written
+
+
+#: Rows that one task may sort at the end of a top-n.
+TOP = 10_000
+
+
+def first_n(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n rows by the order columns; of more than TOP rows cut by distributed position."""
+    if n <= TOP:
+        return df.orderBy(*order).limit(n)
+    return chunks(df, order, 1).where(F.col("chunk") < n).drop("chunk")
 
 
 def hash_top_n(df: DataFrame, record_id: str, seed: int, n: int) -> DataFrame:
-    """The n rows that come first in hash order; a partial top-n per partition, then one merge."""
+    """The n rows that come first in hash order: a partial top-n per partition and one merge, or, of more than TOP rows, a cut by distributed rank."""
+    if n > TOP:
+        return hash_ranked(df.withColumn("__all", F.lit(0)), record_id, seed, ["__all"]).where(F.col("hash_rank") < n).drop("hash_rank", "__all")
     return df.withColumn("__k", order_key(F.col(record_id), seed)).orderBy("__k", record_id).limit(n).drop("__k")
 
 
@@ -37,7 +51,7 @@ def percent_subset(df: DataFrame, record_id: str, percent: float, seed: int = 17
         raise ValueError("limit must not be negative")
     k = max(1, math.floor(df.count() * percent))
     out = df if percent == 1 else hash_ranked(df.withColumn("__all", F.lit(0)), record_id, seed, ["__all"]).where(F.col("hash_rank") < k).drop("hash_rank", "__all")
-    return out if limit is None else out.orderBy(record_id).limit(limit)
+    return out if limit is None else first_n(out, [record_id], limit)
 
 
 def quotas(counts: dict[str, int], target: int, weights: dict[str, float], max_share: float | None = None) -> dict[str, int]:
@@ -111,6 +125,6 @@ def workload_mix(rows: DataFrame, bucket: str, record_id: str, name: str, total:
 def chunks(df: DataFrame, order: list[str], size: int) -> DataFrame:
     """Number rows in order and cut them into chunks of ``size`` (at least 1): an ordinal by range-partitioned offsets."""
     w = Window.partitionBy("__p").orderBy(*order)
-    parts = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    parts = written(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ordered")  # ids must not change between the count and the numbering
     counts = parts.groupBy("__p").count().withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__before")
     return parts.withColumn("__i", F.row_number().over(w)).join(F.broadcast(counts), "__p").withColumn("chunk", F.floor((F.col("__i") + F.col("__before") - 1) / max(1, size)).cast("long")).drop("__p", "__i", "__before")

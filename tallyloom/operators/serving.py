@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import profile
+
 
 def workload_summary(requests: DataFrame, keys: list[str], latency: str, success: str, elapsed: Column | None = None) -> DataFrame:
     """Counts, success rate, throughput (all requests, and successful ones, per second) and nearest-rank percentiles of successful requests."""
-    ok = F.when(F.col(success), F.col(latency))
-    disc = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY CASE WHEN {success} THEN {latency} END)")
-    out = requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("request_count"), F.count_if(F.col(success)).alias("success_count"), disc(0.5).alias("p50"), disc(0.9).alias("p90"), disc(0.99).alias("p99"), F.sum(ok).alias("__sum"), *([elapsed.alias("elapsed_s")] if elapsed is not None else []))
-    out = out.withColumns({"success_rate": F.round(F.col("success_count") / F.col("request_count"), 6), "tail_inflation": F.round(F.try_divide(F.col("p99"), F.col("p50")), 6)}).drop("__sum")
+    counts = requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("request_count"), F.count_if(F.col(success)).alias("success_count"), *([elapsed.alias("elapsed_s")] if elapsed is not None else []))
+    ranks = profile.ordered_values(requests.where(F.col(success)), keys, latency, {"p50": profile.rank_ceil(0.5), "p90": profile.rank_ceil(0.9), "p99": profile.rank_ceil(0.99)}).withColumnsRenamed({k: f"__{k}" for k in keys})
+    out = counts.join(ranks, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left").drop(*[f"__{k}" for k in keys]) if keys else counts.crossJoin(F.broadcast(ranks))
+    out = out.withColumns({"success_rate": F.round(F.col("success_count") / F.col("request_count"), 6), "tail_inflation": F.round(F.try_divide(F.col("p99"), F.col("p50")), 6)})
     if elapsed is not None:
         out = out.withColumns({"throughput_rps": F.coalesce(F.try_divide(F.col("request_count"), F.col("elapsed_s")), F.lit(0.0)), "success_rps": F.coalesce(F.try_divide(F.col("success_count"), F.col("elapsed_s")), F.lit(0.0))})
     return out

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import exists
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True) -> DataFrame:
     """JSON lines under an explicit schema, with the raw line in ``raw``; blank lines are skipped.
@@ -25,8 +27,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, stric
 
 
 def read_jsonl_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Like read_jsonl; an absent local file gives no rows."""
-    if not os.path.exists(path.removeprefix("file://")):
+    """Like read_jsonl; an absent file gives no rows."""
+    if not exists(spark, path if "://" in path or path.startswith("file:") else os.path.abspath(path)):
         fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         return spark.createDataFrame([], T.StructType([*fields.fields, T.StructField("raw", T.StringType())]))
     return read_jsonl(spark, path, schema)
