@@ -27,13 +27,18 @@ STRESS_KINDS = ("ticket_repeat_context", "multi_turn_ticket_digest", "log_attach
 SOURCE = "synthetic_hardening_v1"
 
 
-def hidden(text: Column, name: Column, account: Column, plan: Column) -> Column:
-    """(text, drop_name, drop_account, drop_plan): first mentions replaced. The plan is dropped once anything changed, as downstream data expect."""
-    a = X.replace_first(text, name, STAND_INS["name"])
-    b = X.replace_first(a, account, STAND_INS["account_id"])
-    c = X.replace_first(b, plan, STAND_INS["plan_tier"], ignore_case=True)
-    changed = c != text
-    return F.struct(c.alias("text"), (a != text).alias("drop_name"), (b != a).alias("drop_account"), (plan.isNotNull() & changed).alias("drop_plan"), changed.alias("changed"))
+def hidden(df: DataFrame, text: str, name: Column, account: Column, plan: Column) -> DataFrame:
+    """Add ``__cut``: (text, drop_name, drop_account, drop_plan, changed), the first mentions replaced one after the other.
+
+    Each step is a column of its own, so that no expression holds copies of the one before. The plan is dropped once
+    anything changed, as downstream data expect.
+    """
+    steps = df.withColumn("__a", X.replace_first(F.col(text), name, STAND_INS["name"]))
+    steps = steps.withColumn("__b", X.replace_first(F.col("__a"), account, STAND_INS["account_id"]))
+    steps = steps.withColumn("__c", X.replace_first(F.col("__b"), plan, STAND_INS["plan_tier"], ignore_case=True))
+    changed = F.col("__c") != F.col(text)
+    cut = F.struct(F.col("__c").alias("text"), (F.col("__a") != F.col(text)).alias("drop_name"), (F.col("__b") != F.col("__a")).alias("drop_account"), (plan.isNotNull() & changed).alias("drop_plan"), changed.alias("changed"))
+    return steps.withColumn("__cut", cut).drop("__a", "__b", "__c")
 
 
 def augmented(df: DataFrame, most: int | None = None) -> DataFrame:
@@ -45,10 +50,9 @@ def augmented(df: DataFrame, most: int | None = None) -> DataFrame:
     """
     t = F.col("target")
     order = df.where(F.col("input_text").isNotNull()).withColumn("__o", F.concat_ws("\u0000", F.coalesce("source_dataset", F.lit("")), "record_id"))
-    placed = _positions(order, "__o", "__at")
+    placed = hidden(_positions(order, "__o", "__at"), "input_text", t["customer"]["name"], t["customer"]["account_id"], t["customer"]["plan_tier"])
     kinds = placed.select("*", F.posexplode(F.array(*[F.lit(k) for k in KINDS])).alias("__pos", "kind"))
-    cut = F.when(F.col("kind").isin(*HIDING), hidden(F.col("input_text"), t["customer"]["name"], t["customer"]["account_id"], t["customer"]["plan_tier"]))
-    rows = kinds.withColumn("index", F.col("__at") * len(KINDS) + F.col("__pos")).withColumn("__cut", cut)
+    rows = kinds.withColumn("index", F.col("__at") * len(KINDS) + F.col("__pos")).withColumn("__cut", F.when(F.col("kind").isin(*HIDING), F.col("__cut")))
     bare = t["customer"]["name"].isNull() & t["customer"]["account_id"].isNull() & t["customer"]["plan_tier"].isNull()
     rows = rows.where((~F.col("kind").isin(*HIDING) | F.col("__cut.changed")) & ((F.col("kind") != "correct_null_ticket") | bare))
     lookup = lambda table: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col("kind")), F.lit(""))
