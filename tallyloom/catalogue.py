@@ -38,10 +38,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from . import row_queries  # noqa: F401  registers its own
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import row_queries  # noqa: F401
+
     return dict(_sql)
 
 
@@ -79,6 +83,7 @@ _FIELD_SQL = {
     "requires_human_followup": ("CASE WHEN t.requires_human_followup THEN 'True' WHEN NOT t.requires_human_followup THEN 'False' END", "CASE WHEN t.requires_human_followup THEN 'False' WHEN NOT t.requires_human_followup THEN 'True' END"),
 }
 _C = evaluate.column
+SYSTEM, USER = X.SYSTEM_TEXT, X.USER_TEXT
 _hex = lambda stage, what: f"substr(sha1(record_id || ':{stage}:{what}'), 1, 2)"
 
 
@@ -501,7 +506,14 @@ def score_gap_avg(spark, d):
     return preference.gaps(live).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("numeric_score_gap"), 6).alias("numeric_score_gap"))
 
 
-@query()
+def _told(field: str, sentence: str, unit: str | None) -> str:
+    if unit is None:
+        return f"WHEN c.{field} AND NOT r.{field} THEN '{sentence}'"
+    shown = [f"printf('%.4f', {x}.{field})" if field in S.DECIMAL else f"{x}.{field}" for x in "cr"]
+    return f"WHEN c.{field} {'<' if field in S.SMALLER else '>'} r.{field} THEN '{sentence} (' || {shown[0]} || ' vs ' || {shown[1]} || '{unit}).'"
+
+
+@query(f"WITH {_RANK_SQL} SELECT record_id, CASE {' '.join(_told(*x) for x in S.REASONS)} ELSE '{S.LAST_REASON}' END AS rationale FROM sk JOIN rk c USING (record_id) JOIN rk r USING (record_id) WHERE skip_reason IS NULL AND c.rank = 1 AND r.candidate_index = ri")
 def pair_rationale(spark, d):
     """One row per emitted pair with the text of the decision."""
     live = _gated(spark, d).where("skip_reason is null")

@@ -97,18 +97,32 @@ def schema_points(missing: Column, unexpected: Column, other: Column) -> Column:
     return F.greatest(F.lit(0), 100 - 25 * missing - 10 * unexpected - 15 * other)
 
 
+#: Why a chosen candidate beat a rejected one, in the order in which it is told (fixed values): (what decides, sentence, unit of the two numbers).
+REASONS = (
+    ("parses", "Chosen parsed into a JSON object while rejected did not.", None),
+    ("valid", "Chosen passed full schema validation while rejected did not.", None),
+    ("extra", "Chosen contained fewer hallucinated keys than rejected", ""),
+    ("matches", "Chosen matched more structured gold fields than rejected", ""),
+    ("actions_f1", "Chosen matched the requested actions more accurately than rejected", ""),
+    ("null_errors", "Chosen respected nullable customer fields better than rejected", " mistakes"),
+    ("summary_f1", "Chosen summary stayed closer to the gold summary than rejected", ""),
+    ("words", "Chosen summary was more concise than rejected on an otherwise-tied semantic score", " words"),
+)
+LAST_REASON = "Chosen won the final stable text tie-break after all higher-priority rubric checks tied."
+#: Of these the smaller number is better, and these are shown with four decimals.
+SMALLER, DECIMAL = ("extra", "null_errors", "words"), ("actions_f1", "summary_f1")
+
+
 def rationale(c: Column, r: Column) -> Column:
     """Why a chosen candidate beat a rejected one, from structs with the scorecard's fields; null handling is told before summaries."""
-    num = lambda x: F.format_string("%.4f", x)
-    say = lambda text, a, b, tail="": F.concat(F.lit(text + " ("), a.cast("string"), F.lit(" vs "), b.cast("string"), F.lit(tail + ")."))
-    return (
-        F.when(c["parses"] & ~r["parses"], "Chosen parsed into a JSON object while rejected did not.")
-        .when(c["valid"] & ~r["valid"], "Chosen passed full schema validation while rejected did not.")
-        .when(c["extra"] < r["extra"], say("Chosen contained fewer hallucinated keys than rejected", c["extra"], r["extra"]))
-        .when(c["matches"] > r["matches"], say("Chosen matched more structured gold fields than rejected", c["matches"], r["matches"]))
-        .when(c["actions_f1"] > r["actions_f1"], say("Chosen matched the requested actions more accurately than rejected", num(c["actions_f1"]), num(r["actions_f1"])))
-        .when(c["null_errors"] < r["null_errors"], say("Chosen respected nullable customer fields better than rejected", c["null_errors"], r["null_errors"], " mistakes"))
-        .when(c["summary_f1"] > r["summary_f1"], say("Chosen summary stayed closer to the gold summary than rejected", num(c["summary_f1"]), num(r["summary_f1"])))
-        .when(c["words"] < r["words"], say("Chosen summary was more concise than rejected on an otherwise-tied semantic score", c["words"], r["words"], " words"))
-        .otherwise("Chosen won the final stable text tie-break after all higher-priority rubric checks tied.")
-    )
+    out = None
+    for field, sentence, unit in REASONS:
+        a, b = c[field], r[field]
+        if unit is None:
+            won, told = a & ~b, F.lit(sentence)
+        else:
+            won = a < b if field in SMALLER else a > b
+            shown = [F.format_string("%.4f", x) if field in DECIMAL else x.cast("string") for x in (a, b)]
+            told = F.concat(F.lit(f"{sentence} ("), shown[0], F.lit(" vs "), shown[1], F.lit(f"{unit})."))
+        out = F.when(won, told) if out is None else out.when(won, told)
+    return out.otherwise(LAST_REASON)

@@ -133,3 +133,22 @@ def path_token(variant: Column, path: str) -> Column:
     """A token of the value at a JSON path: null if the path is missing, "path=null" for JSON null, so that true and 1 differ."""
     v = F.try_variant_get(variant, path, "variant")
     return F.when(v.isNotNull() | F.is_variant_null(v), F.concat(F.lit(path + "="), F.coalesce(F.to_json(v), F.lit("null"))))
+
+
+def document(df: DataFrame, keys: list[str], latency: str | None = None) -> DataFrame:
+    """One row per key with everything an evaluation tells: rows, rates, scores per field, micro and macro scores, bucket counts, latency.
+
+    Four aggregations of the same rows that meet on the key; each is small.
+    """
+    counts = field_counts(df, keys)
+    scores = prf(counts)
+    fields = scores.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", F.struct("tp", "fp", "fn", "precision", "recall", "f1", "support").alias("s"))))).alias("fields"))
+    buckets = bucket_counts(scored(df), keys).groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("bucket", "rows")))).alias("buckets"))
+    out = rates(df, keys).join(fields, keys, "left").join(macro(counts, keys), keys, "left").join(buckets, keys, "left")
+    if latency:
+        from . import profile
+
+        figures = df.groupBy(*keys).agg(F.avg(latency).alias("latency_mean"), F.min(latency).alias("latency_min"), F.max(latency).alias("latency_max"))
+        ranks = profile.ordered_values(df, keys, latency, {"latency_p50": profile.rank_round(0.5), "latency_p95": profile.rank_round(0.95)})
+        out = out.join(figures, keys, "left").join(ranks, keys, "left")
+    return out

@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scores import rationale
 from ..functions.udfs import sequence_ratio
+from ..sources.sinks import write_jsonl
 
 GAPS = {
     "numeric_score_gap": ("numeric_score", 1), "parses_json_gap": ("parses", 1), "schema_valid_gap": ("valid", 1), "hallucinated_key_reduction": ("extra", -1), "structured_field_match_gap": ("matches", 1),
@@ -85,3 +87,49 @@ def pair_quality(df: DataFrame, source: str) -> DataFrame:
     """(source, rows, pairs, emission_rate), "overall" first by GROUPING SETS."""
     out = df.groupingSets([[], [F.col(source)]], source).agg(F.grouping(source).alias("g"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("skip_reason").isNull()).alias("pairs"))
     return out.select(F.when(F.col("g") == 1, "overall").otherwise(F.col(source)).alias(source), "rows", "pairs", F.round(F.col("pairs") / F.col("rows"), 6).alias("emission_rate"))
+
+
+def completion_text(payload: Column, raw: Column) -> Column:
+    """What is kept of a candidate: its normalised payload, or its raw text if there is none."""
+    return F.coalesce(payload, raw)
+
+
+def audit(ranked: DataFrame, gated_rows: DataFrame, generated: DataFrame) -> DataFrame:
+    """One row per record with all its candidates in rank order, the choice, the gaps, and why it was made or not.
+
+    ``generated`` is (record_id, generated): how many candidates there were before equal ones were dropped. A record has
+    as many candidates as generation rounds, so the list is short.
+    """
+    shown = F.struct("rank", *CARD)
+    per = ranked.groupBy("record_id").agg(
+        F.sort_array(F.collect_list(shown)).alias("candidates"), F.count(F.lit(1)).alias("distinct_candidates"), F.count_if("parses").alias("parseable_json_count"), F.count_if("valid").alias("schema_valid_count")
+    )
+    emitted = F.col("skip_reason").isNull()
+    told = gaps(gated_rows).withColumn("score_gap", F.when(emitted, F.struct(*GAPS))).withColumns({"chosen_index": F.when(emitted, F.col("chosen.candidate_index")), "rejected_index": F.when(emitted, F.col("rejected.candidate_index"))})
+    why = F.when(emitted, rationale(F.col("chosen"), F.col("rejected"))).otherwise(F.concat(F.lit("Skipped because "), F.replace("skip_reason", F.lit("_"), F.lit(" ")), F.lit(".")))
+    rows = told.select("record_id", "skip_reason", "chosen_index", "rejected_index", "score_gap", why.alias("decision_rationale"))
+    return per.join(rows, "record_id").join(generated, "record_id").withColumn("dominant_failure_modes", F.transform("candidates", lambda c: c["failure_mode"]))
+
+
+def run_summary(candidates: DataFrame, gated_rows: DataFrame, source: str) -> DataFrame:
+    """(scope, rows, pairs, emission_rate, skipped, chosen_valid_rate, rejected_valid_rate, candidates, json_valid_rate, schema_pass_rate): the whole run ("overall") and each source.
+
+    ``candidates`` are all that were generated, equal ones included, with the source.
+    """
+    live = F.col("skip_reason").isNull()
+    rate = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
+    scope = lambda df: df.withColumn("scope", F.explode(F.array(F.lit("overall"), F.coalesce(F.col(source), F.lit("unknown")))))
+    runs = scope(gated_rows).groupBy("scope").agg(F.count(F.lit(1)).alias("rows"), F.count_if(live).alias("pairs"), F.count_if(live & F.col("chosen.valid")).alias("__c"), F.count_if(live & F.col("rejected.valid")).alias("__r"))
+    made = scope(candidates).groupBy("scope").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("parses").alias("__p"), F.count_if("valid").alias("__v"))
+    return runs.join(made, "scope", "left").select(
+        "scope", "rows", "pairs", rate(F.col("pairs"), F.col("rows")).alias("emission_rate"), (F.col("rows") - F.col("pairs")).alias("skipped"), rate(F.col("__c"), F.col("pairs")).alias("chosen_valid_rate"), rate(F.col("__r"), F.col("pairs")).alias("rejected_valid_rate"),
+        F.coalesce("candidates", F.lit(0)).alias("candidates"), rate(F.col("__p"), F.col("candidates")).alias("json_valid_rate"), rate(F.col("__v"), F.col("candidates")).alias("schema_pass_rate"),
+    )
+
+
+def write_artifacts(directory: str, pairs_rows: DataFrame, audit_rows: DataFrame, summary_rows: DataFrame) -> dict[str, str]:
+    """Pairs and audit rows as folders of JSON lines, the summary, a row per source, as one folder of JSON lines."""
+    paths = {k: f"{directory}/{k}" for k in ("pairs", "audit", "summary")}
+    for k, df, order in (("pairs", pairs_rows, "record_id"), ("audit", audit_rows, "record_id"), ("summary", summary_rows, "scope")):
+        write_jsonl(df, paths[k], [order])
+    return paths

@@ -7,8 +7,11 @@ import json
 import os
 from datetime import UTC, datetime
 
+from pyspark.sql import DataFrame, SparkSession
+
 from ..sources.readers import read_json_document
 from ..sources.sinks import write_document
+from ..storage import Batches
 
 
 def overlay(base: dict, profile: str | None, strict: bool = False, aliases: dict[str, str] | None = None) -> dict:
@@ -60,6 +63,44 @@ def save_pointer(path: str, **entry) -> str:
     return write_document(path, {**entry, "updated_at_utc": datetime.now(UTC).isoformat()})
 
 
+def read_pointer(path: str) -> dict | None:
+    """What :func:`save_pointer` wrote last; None if nothing was."""
+    return read_json_document(path)
+
+
+def load_yaml(path: str) -> dict:
+    """A YAML document; an empty one is an empty dict, one that is no mapping an error. JSON is YAML, so a JSON file needs no YAML library."""
+    with open(path) as f:
+        text = f.read()
+    try:
+        document = json.loads(text) if text.strip() else {}
+    except ValueError:
+        import yaml  # optional: only YAML proper needs it
+
+        document = yaml.safe_load(text) or {}
+    if not isinstance(document, dict):
+        raise ValueError(f"{path} holds no mapping")
+    return document
+
+
+def load_profile(path: str, profile: str | None, strict: bool = True, aliases: dict[str, str] | None = None) -> dict:
+    """The settings of a YAML document under one of its profiles."""
+    return overlay(load_yaml(path), profile, strict, aliases)
+
+
+def cached_rows(spark: SparkSession, folder: str, key: str, make) -> DataFrame:
+    """Rows that are made once per key, such as rendered and counted prompts: read where they were written before, else made, written and read."""
+    batches = Batches(spark, f"{folder.rstrip('/')}/{key}", "")
+    if not batches.count():
+        batches.append(make())
+    return spark.read.parquet(f"{batches.path}/batch=0")
+
+
+def run_manifest(name: str, settings: dict, **parts) -> dict:
+    """The summary document of a run: its name, settings and their fingerprint, and whatever parts are not None."""
+    return {"run_name": name, "settings": settings, "fingerprint": fingerprint(settings), "created_at_utc": datetime.now(UTC).isoformat(), **{k: v for k, v in parts.items() if v is not None}}
+
+
 def excerpt(document: dict | None, keys: tuple[str, ...]) -> dict:
     return {k: (document or {}).get(k) for k in keys}
 

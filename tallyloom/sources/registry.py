@@ -43,6 +43,13 @@ def registry(entries: list[dict]) -> list[Source]:
     return out
 
 
+def load_registry(path: str) -> list[Source]:
+    """The entries below ``sources`` of a YAML document."""
+    from ..plans.documents import load_yaml
+
+    return registry(load_yaml(path).get("sources") or [])
+
+
 def registry_frame(spark: SparkSession, sources: list[Source]) -> DataFrame:
     names = [f.name for f in fields(Source) if f.name not in ("extra", "hf_split", "local_fixture_path")]
     return spark.createDataFrame([tuple(getattr(s, n) for n in names) for s in sources], "dataset_name string, source_type string, source_uri_or_path string, adapter_name string, source_group string, license_note string, default_inclusion_weight double, enabled_by_default boolean, source_notes string")

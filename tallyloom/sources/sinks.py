@@ -28,9 +28,17 @@ def json_line(df: DataFrame) -> Column:
     return F.to_json(F.struct(*[sorted_struct(F.col(f.name), f.dataType).alias(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name)]), {"ignoreNullFields": "false"})
 
 
+def ascii_only(line: Column) -> Column:
+    """JSON text with every character beyond ASCII as an escape, those beyond the basic plane as two."""
+    units = F.regexp_extract_all(F.hex(F.encode(line, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
+    plain = lambda u: F.decode(F.unhex(F.substring(u, 3, 2)), "UTF-8")
+    escaped = F.array_join(F.transform(units, lambda u: F.when(u < "0080", plain(u)).otherwise(F.concat(F.lit("\\u"), F.lower(u)))), "")
+    return F.when(line.rlike(r"[^\x00-\x7f]"), escaped).otherwise(line)
+
+
 def write_jsonl(df: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """A folder of JSON-lines parts; with ``order`` they are range-partitioned, so their names follow the order."""
-    out = df.select(json_line(df).alias("value"), *(order or []))
+    """A folder of JSON-lines parts, keys sorted, nulls kept, ASCII only; with ``order`` they are range-partitioned, so their names follow the order."""
+    out = df.select(ascii_only(json_line(df)).alias("value"), *(order or []))
     (out.orderBy(*order).select("value") if order else out).write.mode("overwrite").text(path)
 
 
@@ -55,6 +63,13 @@ def export(canonical: DataFrame, directory: str) -> dict[str, str]:
     return paths
 
 
+def write_mixes(rows: DataFrame, directory: str, mix: str = "mix_name", order: str = "record_id") -> dict[str, str]:
+    """Every mix of a frame of few mixes as a folder of JSON lines of its own: mix -> path. All go in one job."""
+    stored = rows.select(mix, order, ascii_only(json_line(rows)).alias("value"))
+    stored.repartitionByRange(mix, order).sortWithinPartitions(mix, order).select(mix, "value").write.mode("overwrite").partitionBy(mix).text(directory)
+    return {r[0]: f"{directory}/{mix}={r[0]}" for r in rows.select(mix).distinct().collect()}
+
+
 def payload_json(target: Column, kind: T.DataType) -> Column:
     return F.to_json(sorted_struct(target, kind), {"ignoreNullFields": "false"})
 
