@@ -16,7 +16,7 @@ from .functions import text as X
 from .functions import udfs
 from .operators import augment, compare, evaluate, lineage, preference, profile, sampling, serving
 from .operators.lineage import root
-from .schema import LIST_FIELD, NULLABLE_FIELDS, SCALAR_FIELDS, TARGET, TOP_KEYS
+from .schema import DOMAINS, LIST_FIELD, NULLABLE_FIELDS, SCALAR_FIELDS, TARGET, TOP_KEYS
 from .session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -736,17 +736,62 @@ def label_union(spark, d):
     return records(spark, d).select(F.col("source_dataset").alias("label")).union(table(spark, d, "source_registry").select("dataset_name")).distinct()
 
 
-@query()
-def dataset_build(spark, d):
-    """The whole build over the seed tickets and two other sources, reported as its composition."""
-    from .plans.build import Profile, build
+def raw_sources(spark: SparkSession, d: str):
+    """(source, raw rows) of every registry source that has an adapter, as that source would deliver them.
+
+    A record belongs to the source that its source_dataset names exactly, else to the one its adapter_name names.
+    """
     from .sources.registry import registry
 
-    sources = {s.dataset_name: s for s in registry([r.asDict() for r in table(spark, d, "source_registry").collect()])}
-    rec = records(spark, d)
-    seed = table(spark, d, "support_tickets").where("record_id is not null").groupBy("record_id").agg(F.min("split").alias("split"), F.min("input_text").alias("input_text"), F.any_value("target").alias("target"))
-    desk = rec.where("source_dataset = 'internal_it_helpdesk_tickets'").select(F.col("record_id").alias("ticket_id"), F.lit(None).cast("string").alias("subject"), F.col("input_text").alias("description"), F.col("target.priority").alias("priority"), F.col("target.issue_category").alias("category"))
-    mail = rec.where("source_dataset = 'shared_customer_support_tickets'").select(F.col("record_id").alias("id"), F.col("target.summary").alias("subject"), F.col("input_text").alias("body"), F.col("target.priority").alias("priority"))
-    rows, refused = build([(sources["synthetic_support_tickets_v1"], seed), (sources["internal_it_helpdesk_tickets"], desk), (sources["shared_customer_support_tickets"], mail)], Profile())
+    entries = table(spark, d, "source_registry")
+    sources = {s.adapter_name: s for s in registry([r.asDict() for r in entries.collect()])}
+    by_name = F.broadcast(entries.select(F.col("dataset_name").alias("n")))  # a row per source
+    by_adapter = F.broadcast(entries.select(F.col("adapter_name").alias("a"), F.col("dataset_name").alias("m")))
+    df = table(spark, d, "support_tickets_canonical").where("record_id is not null").withColumn("adapter", F.col("metadata.adapter_name"))
+    named = df.join(by_name, F.col("source_dataset") == F.col("n"), "left").join(by_adapter, F.col("adapter") == F.col("a"), "left")
+    rec = named.groupBy("record_id").agg(F.min(F.coalesce("n", "m")).alias("source"), F.min("input_text").alias("input_text"), F.any_value("target", True).alias("target"))
+    of = lambda adapter: rec.where(F.col("source") == sources[adapter].dataset_name)
+    t, text, key = F.col("target"), F.col("input_text"), F.col("record_id")
+    seed = table(spark, d, "support_tickets").where("record_id is not null").groupBy("record_id").agg(F.min("split").alias("split"), F.min("input_text").alias("input_text"), F.any_value("target", True).alias("target"))
+    desk = of("hf_it_helpdesk_ticket_v1").select(key.alias("ticket_id"), F.lit(None).cast("string").alias("subject"), text.alias("description"), t["priority"].alias("priority"), t["issue_category"].alias("category"))
+    mail = of("hf_customer_support_ticket_v1").select(key.alias("id"), t["summary"].alias("subject"), text.alias("body"), t["priority"].alias("priority"))
+    story = of("cfpb_complaint_csv_v1").select(key.alias("complaint_id"), t["product_area"].alias("product"), t["issue_category"].alias("issue"), text.alias("consumer_complaint_narrative"))
+    plain = of("hf_schema_discipline_json_v1").select("record_id", text.alias("text"), F.to_json("target", {"ignoreNullFields": "false"}).alias("output"))
+    raw = {"json_extraction": seed, "hf_it_helpdesk_ticket_v1": desk, "hf_customer_support_ticket_v1": mail, "cfpb_complaint_csv_v1": story, "hf_schema_discipline_json_v1": plain}
+    return [(sources[a], df) for a, df in raw.items() if a in sources]
+
+
+_VALID = " AND ".join([*(f"t.{f} IN {v}" for f, v in DOMAINS.items() if "." not in f), "coalesce(t.customer.plan_tier, 'free') IN ('free', 'pro', 'business', 'enterprise')", "t.requires_human_followup IS NOT NULL", "trim(coalesce(t.summary, '')) <> ''", "t.customer IS NOT NULL"])
+_VALID += " AND len(list_filter(coalesce(t.actions_requested, []), lambda x: trim(coalesce(x, '')) = '')) = 0"
+_EMPTY = "regexp_replace(coalesce(input_text, ''), '^\\s+|\\s+$', '', 'g') = ''"
+_INTAKE_SQL = f"""rs AS (SELECT record_id, min(coalesce(a.dataset_name, b.dataset_name)) AS src, min(input_text) AS input_text, any_value(target) AS t FROM support_tickets_canonical c
+ LEFT JOIN source_registry a ON c.source_dataset = a.dataset_name LEFT JOIN source_registry b ON c.metadata.adapter_name = b.adapter_name WHERE record_id IS NOT NULL GROUP BY 1),
+x AS (SELECT record_id, dataset_name, adapter_name, NULL AS hint, CASE adapter_name WHEN 'hf_it_helpdesk_ticket_v1' THEN CASE WHEN {_EMPTY} THEN 'missing_description' END WHEN 'hf_customer_support_ticket_v1' THEN CASE WHEN {_EMPTY} THEN 'missing_body' END
+ WHEN 'cfpb_complaint_csv_v1' THEN CASE WHEN {_EMPTY} THEN 'missing_consumer_complaint_narrative' END ELSE CASE WHEN {_EMPTY} OR t IS NULL THEN 'missing_text_or_output' WHEN NOT coalesce({_VALID}, false) THEN 'schema_violation' END END AS reason
+ FROM rs JOIN source_registry ON src = dataset_name WHERE adapter_name IN ('hf_it_helpdesk_ticket_v1', 'hf_customer_support_ticket_v1', 'cfpb_complaint_csv_v1', 'hf_schema_discipline_json_v1')
+UNION ALL SELECT record_id, dataset_name, adapter_name, lower(trim(coalesce(split, ''))), CASE WHEN NOT coalesce({_VALID}, false) THEN 'invalid_target' WHEN {_EMPTY} THEN 'missing_input_text' END
+ FROM (SELECT record_id, min(split) AS split, min(input_text) AS input_text, any_value(target) AS t FROM support_tickets WHERE record_id IS NOT NULL GROUP BY 1), (SELECT dataset_name, adapter_name FROM source_registry WHERE adapter_name = 'json_extraction'))"""
+
+
+def _counted(rows: DataFrame, refused: DataFrame) -> DataFrame:
     counts = rows.groupBy("source_dataset", "split").agg(F.count(F.lit(1)).alias("rows"))
     return counts.unionByName(refused.groupBy(F.col("adapter_name").alias("source_dataset"), F.col("reason").alias("split")).agg(F.count(F.lit(1)).alias("rows")))
+
+
+@query(f"""WITH {_INTAKE_SQL} SELECT CASE WHEN reason IS NULL THEN dataset_name ELSE adapter_name END AS source_dataset, coalesce(reason, CASE WHEN hint IN ('train', 'training') THEN 'train' WHEN hint IN ('eval', 'evaluation', 'test', 'validation') THEN 'eval'
+WHEN ('0x' || substr(sha1(dataset_name || ':' || record_id), 1, 8))::BIGINT % 1000 < 200 THEN 'eval' ELSE 'train' END) AS split, count(*) AS rows FROM x GROUP BY ALL""")
+def build_intake(spark, d):
+    """All sources through all adapters: accepted rows by source and split, rejects by adapter and reason."""
+    from .plans.build import Profile, intake
+
+    return _counted(*intake(raw_sources(spark, d), Profile()))
+
+
+@query()
+def dataset_build(spark, d):
+    """The whole build over all sources that have an adapter, drawn by weight to half of the training and of the evaluation rows, reported as its composition."""
+    from .plans.build import Profile, build
+
+    raw = raw_sources(spark, d)
+    half = max(1, table(spark, d, "support_tickets_canonical").where("record_id is not null").count() // 4)
+    return _counted(*build(raw, Profile(train_target=half, eval_target=half // 4)))

@@ -32,15 +32,21 @@ def eval_policy(df: DataFrame, allow_synthetic: bool) -> DataFrame:
     return df if allow_synthetic else df.where(~((F.col("split") == "eval") & F.coalesce(F.col("metadata.synthetic"), F.lit(False))))
 
 
-def build(raw: dict[Source, DataFrame] | list[tuple[Source, DataFrame]], profile: Profile) -> tuple[DataFrame, DataFrame]:
-    """(canonical rows, rejects) of raw source frames; rows are written to the shared folder after adaptation and once more before leaks are removed."""
+def intake(pairs: list[tuple[Source, DataFrame]], profile: Profile) -> tuple[DataFrame, DataFrame]:
+    """(accepted rows, rejects) of raw source frames: adapted, split, and without synthetic evaluation rows unless they are allowed."""
     accepted, refused = None, None
-    pairs = list(raw.items()) if isinstance(raw, dict) else raw
     for source, df in pairs:
         drafts = adapters.adapt(source.adapter_name, df)
         a, r = adapters.canonical(drafts, source, profile.eval_ratio), adapters.rejects(drafts, source.adapter_name)
         accepted, refused = (a, r) if accepted is None else (accepted.unionByName(a), refused.unionByName(r))
-    rows = written(eval_policy(accepted, profile.eval_allow_synthetic), "accepted")
+    return eval_policy(accepted, profile.eval_allow_synthetic), refused
+
+
+def build(raw: dict[Source, DataFrame] | list[tuple[Source, DataFrame]], profile: Profile) -> tuple[DataFrame, DataFrame]:
+    """(canonical rows, rejects) of raw source frames; rows are written to the shared folder after adaptation and once more before leaks are removed."""
+    pairs = list(raw.items()) if isinstance(raw, dict) else raw
+    accepted, refused = intake(pairs, profile)
+    rows = written(accepted, "accepted")
     weights = {s.dataset_name: weight(s, profile.weight_overrides, profile.group_weights) for s, _ in pairs}
     train = sampling.weighted_sample(rows.where("split = 'train'"), "source_dataset", "record_id", profile.train_target, weights, profile.max_source_share, profile.seed)
     held = sampling.weighted_sample(rows.where("split = 'eval'"), "source_dataset", "record_id", profile.eval_target, weights, profile.max_source_share, profile.seed + 100)

@@ -13,15 +13,13 @@ from .catalogue import (
 )
 from .functions import text as X
 from .functions import udfs
-from .operators import augment, evaluate, generate, manifests, preference, profile, promptsets, report, sampling, serving
-from .plans import build as plans_build
+from .operators import evaluate, generate, manifests, preference, profile, promptsets, report, sampling, serving
 from .schema import TARGET
 from .session import table
 from .sources import adapters, readers, registry, sinks
 from .storage import is_folder, scratch
 from .streaming import requests as stream
 
-_WHITE = "[\\t\\n\\v\\f\\r ]"
 _TRIM = lambda c: f"regexp_replace(coalesce({c}, ''), '^\\s+|\\s+$', '', 'g')"
 
 # Text functions.
@@ -515,7 +513,7 @@ def stream_sliding(spark, d):
     return _shown(_streamed(spark, stream.windowed_latency(_log(spark, d), "1 day", "3650 days", slide="12 hours"), "complete"))
 
 
-@query(f"""WITH o AS (SELECT *, ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) > INTERVAL '20 minutes' AS new FROM events), s AS (SELECT *, count_if(new) OVER (PARTITION BY event_type ORDER BY ts) AS k FROM o)
+@query(f"""WITH o AS (SELECT *, ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) > INTERVAL '20 minutes' AS new FROM events), s AS (SELECT *, count_if(coalesce(new, false)) OVER (PARTITION BY event_type ORDER BY ts) AS k FROM o)
 SELECT floor(epoch(min(ts)))::BIGINT AS begin, event_type AS bucket_label, {_WINDOWED} FROM s GROUP BY event_type, k""")
 def stream_sessions(spark, d):
     return _shown(_streamed(spark, stream.windowed_latency(_log(spark, d), late="3650 days", gap="20 minutes"), "complete"))
