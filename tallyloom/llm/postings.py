@@ -1,6 +1,6 @@
 """Inverted lists that are joined inside numpy: the engine below the similarity joins.
 
-Postings of a batch are packed into one binary row per target bucket, so the shuffle moves few rows, and a bucket is
+Postings of a batch are packed into one binary row per target bucket, so the shuffle moves few rows that compress well, and a bucket is
 sorted and joined by array operations. A posting carries the size of its set and a 128-bit sketch; two sets of sizes s
 and t that reach the similarity share at least o = ceil(T (s + t) / (1 + T)) elements, so their sketches differ in at
 most s + t - 2 o bits (a bit is the parity of a bin, so common elements cancel). That test never loses a pair; what it lets through is verified on the sets themselves.
@@ -84,13 +84,27 @@ def sketches(values: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray
 
 
 def packed(postings: np.ndarray, buckets: int) -> pd.DataFrame:
-    """One binary row per bucket."""
+    """One binary row per bucket: the postings in order of their lists, field by field, so that the shuffle's compression finds what repeats."""
     target = (mix(postings["key"], 5) % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(target, kind="stable")
+    order = np.lexsort((postings["size"], postings["key"], target))
     postings, target = postings[order], target[order]
     names, starts = np.unique(target, return_index=True)
     ends = np.append(starts[1:], len(target))
-    return pd.DataFrame({"bucket": names, "rows": ends - starts, "blob": [postings[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]})
+    fields = [np.ascontiguousarray(postings[f]) for f in POSTING.names]
+    return pd.DataFrame({"bucket": names, "rows": ends - starts, "blob": [b"".join(f[a:b].tobytes() for f in fields) for a, b in zip(starts, ends, strict=True)]})
+
+
+def unpacked(blobs: list[bytes]) -> np.ndarray:
+    """The postings of the blobs of a bucket."""
+    parts = []
+    for blob in blobs:
+        n, at = len(blob) // POSTING.itemsize, 0
+        part = np.empty(n, POSTING)
+        for f in POSTING.names:
+            part[f] = np.frombuffer(blob, POSTING[f], n, at)
+            at += n * POSTING[f].itemsize
+        parts.append(part)
+    return np.concatenate(parts)
 
 
 def split_lists(postings: np.ndarray, parts: np.ndarray) -> np.ndarray:
@@ -254,7 +268,7 @@ def candidates(sets: DataFrame, emit: Callable[[pd.DataFrame], np.ndarray], rows
                 yield packed(cut_long(emit(b), lists.value), buckets)
 
     def read(group: pd.DataFrame) -> pd.DataFrame:
-        pairs = joined(np.concatenate([np.frombuffer(x, POSTING) for x in group["blob"]]), sim, allowed, lead)
+        pairs = joined(unpacked(list(group["blob"])), sim, allowed, lead)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     blobs = sets.mapInPandas(write, "bucket int, rows long, blob binary")

@@ -90,6 +90,14 @@ def test_sketches_never_overstate():
         assert np.bitwise_count(x[0] ^ x[1]) + np.bitwise_count(y[0] ^ y[1]) <= len(np.setxor1d(a, b))
 
 
+def test_postings_survive_packing():
+    rnd = np.random.default_rng(3)
+    rows = np.frombuffer(rnd.bytes(500 * P.POSTING.itemsize), P.POSTING).copy()
+    boxes = P.packed(rows, 7)
+    back = np.concatenate([P.unpacked([b]) for b in boxes["blob"]])
+    assert sorted(back.tolist()) == sorted(rows.tolist()) and boxes["rows"].sum() == 500 and len(P.unpacked(list(boxes["blob"]))) == 500
+
+
 def test_winnowing_finds_shared_passages():
     rnd = np.random.default_rng(2)
     passage = rnd.integers(0, 1 << 60, overlap.GRAM + overlap.WINDOW - 1).astype(np.uint64)
