@@ -48,7 +48,8 @@ BEAM = 200
 #: Log-likelihood gain from which a restored form is believed: for byte sequences, for swapped single-byte tables.
 GAIN, SWAP_GAIN = 1.0, 4.0
 
-_RUN = re.compile(r"[A-Za-z\u0080-\U0010ffff]*[\u0080-\U0010ffff][A-Za-z\u0080-\U0010ffff]*")
+#: A stretch of letters and characters beyond ASCII with at least one of the latter; only its beginning is tried.
+_RUN = re.compile(r"(?<![A-Za-z\u0080-\U0010ffff])[A-Za-z]*+[\u0080-\U0010ffff][A-Za-z\u0080-\U0010ffff]*")
 _CUES = frozenset("sign signs letter letters character characters symbol symbols glyph apostrophe accent umlaut instead belongs mojibake garbled encoding".split())
 #: Verbs that make a sign behind them a quotation.
 _SHOWS = frozenset("show shows showed displays reads prints writes".split())
@@ -144,12 +145,18 @@ class Model:
             if p[1] >= "\x80" and p[1] != LOST:
                 self.followers[p[0]].append(p[1])
         self.letters = sorted({c for cs in self.followers.values() for c in cs})
+        self.known_pairs: dict[str, float] = {}
 
     def pair(self, a: str, b: str) -> float:
         if a < "\x80" and b < "\x80":
             return -3.0
-        n = self.of_pairs or 1
-        return math.log((self.pairs.get(a + b, 0) / n + UNSEEN_PAIR) / (self.after.get(a, 0) / n + UNSEEN_FIRST))
+        p = a + b
+        if p not in self.known_pairs:
+            if len(self.known_pairs) > 500_000:
+                self.known_pairs.clear()
+            n = self.of_pairs or 1
+            self.known_pairs[p] = math.log((self.pairs.get(p, 0) / n + UNSEEN_PAIR) / (self.after.get(a, 0) / n + UNSEEN_FIRST))
+        return self.known_pairs[p]
 
     def score(self, run: str) -> float:
         """Log-likelihood of a run: as a known word or, if likelier, character by character."""
