@@ -43,6 +43,8 @@ KNOWN_RATE, USUAL_RATE = 1.2e-4, 3.8e-4
 LEAST, LEAST_KNOWN, LEAST_USUAL = 3, 20, 5
 #: Rates that an unseen pair, and an unseen first character, count as.
 UNSEEN_PAIR, UNSEEN_FIRST = 2e-8, 7.5e-5
+#: Groups that sources are put into by hash, of which the largest gives no more to a count than all others together.
+SOURCES = 256
 #: Paths that are kept at every place of a lattice with wildcards.
 BEAM = 200
 #: Log-likelihood gain from which a restored form is believed: for byte sequences, for swapped single-byte tables.
@@ -320,7 +322,7 @@ def fit(documents: DataFrame, text: str = "text", source: str = "source") -> Mod
     """Count words and character pairs beyond ASCII over all documents and keep what has at least the rates above.
 
     Images of a channel are left out, a text counts once however often it stands there, and of each count the largest
-    source gives no more than all others together (if the documents name several sources). Pairs of two ASCII characters
+    of SOURCES groups of sources gives no more than all others together (if there are several groups). Pairs of two ASCII characters
     are left out; of signs the word before them is counted as well.
     """
 
@@ -351,7 +353,7 @@ def fit(documents: DataFrame, text: str = "text", source: str = "source") -> Mod
     def rows_of(counts: Counter) -> pd.DataFrame:
         return pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["kind", "item", "source", "n"])
 
-    named = F.coalesce(F.col(source).cast("string"), F.lit("")) if source in documents.columns else F.lit("")
+    named = F.pmod(F.xxhash64(F.coalesce(F.col(source).cast("string"), F.lit(""))), F.lit(SOURCES)).cast("string") if source in documents.columns else F.lit("")
     texts = documents.select(F.col(text).alias("text"), named.alias("source")).where(F.col(text).isNotNull() & F.col(text).rlike(r"[^\x00-\x7f]"))
     once = texts.groupBy(F.xxhash64("text").alias("h"), F.xxhash64(F.lit("second"), F.reverse("text")).alias("lo")).agg(F.min("text").alias("text"), F.min("source").alias("source"))
     rows = once.select("text", "source").mapInPandas(count, "kind string, item string, source string, n long")
