@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .catalogue import (
-    _PRF_SQL, _RANK_SQL, NULLABLE_FIELDS, RECORDS_SQL, SCORED_SQL, SYSTEM, USER, _bucketed, _gated, _LEN, _q, _ranked, _requests, _with, candidates, predictions, query, records, rules_sql, scored,
+    _PRF_SQL, _RANK_SQL, NULLABLE_FIELDS, RECORDS_SQL, SCORED_SQL, SYSTEM, USER, _bucketed, _first, _gated, _LEN, _q, _ranked, _requests, _with, candidates, predictions, query, records, rules_sql, scored,
 )
 from .functions import text as X
 from .functions import udfs
-from .operators import evaluate, generate, manifests, preference, profile, promptsets, report, sampling, serving
-from .schema import TARGET
+from .operators import augment, evaluate, generate, manifests, preference, profile, promptsets, report, sampling, serving
+from .schema import DOMAINS, TARGET, TOP_KEYS, json_schema
 from .session import table
 from .sources import adapters, readers, registry, sinks
 from .storage import is_folder, scratch
@@ -525,3 +525,72 @@ def stream_sink(spark, d):
     target = scratch(spark, "sink")
     stream.write_once(_log(spark, d).select("request_id", "success"), target, scratch(spark, "progress")).awaitTermination()
     return spark.read.parquet(target).select("request_id", "success")
+
+
+# More projections and generators.
+
+_DESK = "(SELECT record_id, any_value(input_text) AS input_text FROM rec WHERE source = 'internal_it_helpdesk_tickets' GROUP BY 1)"
+
+
+@query(f"""WITH {RECORDS_SQL} SELECT record_id, CASE WHEN ('0x' || substr(sha1('internal_it_helpdesk_tickets:' || record_id), 1, 8))::BIGINT % 1000 < 200 THEN 'eval' ELSE 'train' END AS split, dataset_name AS source_dataset, source_group, source_type, adapter_name, license_note,
+record_id AS lineage_root_id, 'stable_hash' AS split_origin, false AS synthetic, 'v1' AS mapping_version, true AS hashed, true AS stamped FROM {_DESK}, source_registry WHERE dataset_name = 'internal_it_helpdesk_tickets' AND {_T['text']} <> ''""")
+def canonical_projection(spark, d):
+    """Accepted rows of one source with their split and provenance."""
+    (source,) = [s for s in registry.registry([r.asDict() for r in table(spark, d, "source_registry").collect()]) if s.dataset_name == "internal_it_helpdesk_tickets"]
+    raw = records(spark, d).where(F.col("source_dataset") == source.dataset_name).select(F.col("record_id").alias("ticket_id"), F.col("input_text").alias("description"))
+    out, m = adapters.canonical(adapters.helpdesk(raw), source, 0.2), "metadata"
+    kept = [F.col(f"{m}.{c}").alias(c) for c in ("source_group", "source_type", "adapter_name", "license_note", "lineage_root_id", "split_origin", "synthetic", "mapping_version")]
+    hashed, stamped = F.col(f"{m}.raw_hash").rlike("^[0-9a-f]{40}$"), F.col(f"{m}.ingested_at_utc").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}(Z|[+-]\d\d:\d\d)$")
+    return out.select("record_id", "split", "source_dataset", *kept, hashed.alias("hashed"), stamped.alias("stamped"))
+
+
+@query(f"""WITH m AS (SELECT *, list_position(list_transform(messages, lambda x: trim(x.role)), 'assistant') AS a FROM {_EVAL} WHERE messages IS NOT NULL),
+h AS (SELECT *, CASE WHEN coalesce(a, 0) > 0 THEN messages[1:a - 1] ELSE messages END AS h FROM m) SELECT record_id, CASE WHEN len(h) > 0 THEN len(h) ELSE 2 END::INT AS turns, md5(CASE WHEN len(h) > 0 THEN h[-1].content ELSE '{_q(USER)}' || {_T['text']} END) AS digest FROM h""")
+def request_messages(spark, d):
+    """What is sent to a model for every evaluation row: the turns before the assistant, else the rendered ticket."""
+    df = _manifest(spark, d).where("messages is not null").withColumn("h", X.request_messages(F.col("messages"), F.col("input_text")))
+    return df.select("record_id", F.size("h").alias("turns"), F.md5(F.element_at("h", -1)["content"]).alias("digest"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def zip_join(spark, d):
+    """Two halves of a table's columns put together again by their place."""
+    from .operators import compare
+
+    df = sampling.chunks(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ["o_orderkey"], 1).withColumnRenamed("chunk", "ordinal")
+    return compare.zip_join(df.select("ordinal", "o_orderkey", "o_custkey"), df.select("ordinal", "o_totalprice")).drop("ordinal")
+
+
+_VARIANTS = f"""o AS (SELECT *, row_number() OVER (ORDER BY source || chr(0) || record_id) - 1 AS pos FROM rec WHERE input_text IS NOT NULL AND split = 'train'),
+h AS (SELECT *, {_first('input_text', 't.customer.name', augment.STAND_INS['name'])} AS a FROM o), h2 AS (SELECT *, {_first('a', 't.customer.account_id', augment.STAND_INS['account_id'])} AS b FROM h),
+h3 AS (SELECT *, CASE WHEN length(t.customer.plan_tier) > 0 AND instr(lower(b), lower(t.customer.plan_tier)) > 0 THEN left(b, instr(lower(b), lower(t.customer.plan_tier)) - 1) || '{augment.STAND_INS['plan_tier']}' || substr(b, instr(lower(b), lower(t.customer.plan_tier)) + length(t.customer.plan_tier)) ELSE b END AS c FROM h2),
+k AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{n}')" for i, n in enumerate(augment.KINDS))}) AS k(kp, kind)),
+v AS (SELECT *, pos * {len(augment.KINDS)} + kp AS i, kind IN {augment.HIDING} AS hides FROM h3, k WHERE (kind NOT IN {augment.HIDING} OR c <> input_text) AND (kind <> 'correct_null_ticket' OR (t.customer.name IS NULL AND t.customer.account_id IS NULL AND t.customer.plan_tier IS NULL)))"""
+
+
+def _variants(spark, d, most=None):
+    return augment.augmented(records(spark, d).where("split = 'train'"), most)
+
+
+@query(f"WITH {RECORDS_SQL}, {_VARIANTS} SELECT record_id AS parent_record_id, kind AS augmentation_kind, i AS augmentation_index FROM v ORDER BY i LIMIT 700")
+def augment_prefix(spark, d):
+    """Generation stops after so many accepted variants; the indices keep the gaps of those that do not apply."""
+    return _variants(spark, d, 700).select("parent_record_id", "augmentation_kind", "augmentation_index")
+
+
+@query(f"""WITH {RECORDS_SQL}, {_VARIANTS} SELECT i AS augmentation_index, CASE WHEN NOT (hides AND a <> input_text) THEN t.customer.name END AS name, CASE WHEN NOT (hides AND b <> a) THEN t.customer.account_id END AS account_id, CASE WHEN NOT hides THEN t.customer.plan_tier END AS plan_tier, t.issue_category AS issue_category FROM v""")
+def augment_targets(spark, d):
+    """What is hidden in a variant's text is null in its target; the rest of the target stays."""
+    c = F.col("target.customer")
+    return _variants(spark, d).select("augmentation_index", c["name"].alias("name"), c["account_id"].alias("account_id"), c["plan_tier"].alias("plan_tier"), F.col("target.issue_category").alias("issue_category"))
+
+
+_FIELDS = ", ".join(f"('{k}', {k != 'actions_requested'}, {len(DOMAINS[k]) if k in DOMAINS else 'NULL'})" for k in TOP_KEYS)
+
+
+@query(f"SELECT * FROM (VALUES {_FIELDS}) AS f(field, required, values_allowed)")
+def schema_fields(spark, d):
+    """The payload schema as it describes itself."""
+    s = json_schema()
+    rows = [(k, k in s["required"], len(p["enum"]) if "enum" in p else None) for k, p in s["properties"].items()]
+    return spark.createDataFrame(rows, "field string, required boolean, values_allowed int")
