@@ -185,7 +185,8 @@ def source_share(spark, d):
     return profile.share_of_total(table(spark, d, "documents"), "source")
 
 
-@query("SELECT kind, count(length(text)) AS n, coalesce(min(length(text)), 0) AS least, coalesce(max(length(text)), 0) AS most, coalesce(round(avg(length(text)), 2), 0.0) AS mean, coalesce(sum(length(text)), 0)::BIGINT AS total FROM documents GROUP BY kind")
+@query("""SELECT kind, count(length(text)) AS n, coalesce(min(length(text)), 0) AS least, coalesce(max(length(text)), 0) AS most, coalesce(round(avg(length(text)), 2), 0.0) AS mean, coalesce(sum(length(text)), 0)::BIGINT AS total
+FROM documents GROUP BY kind""")
 def length_stats(spark, d):
     return profile.length_stats(table(spark, d, "documents"), ["kind"], F.length("text"))
 
@@ -228,7 +229,8 @@ def enforce_eval_policy(spark, d):
     return eval_policy(df, False).groupBy("source_dataset").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("SELECT dataset_name, default_inclusion_weight * CASE source_group WHEN 'domain_task_data' THEN 1.0 WHEN 'schema_discipline_data' THEN 0.2 ELSE 0.0 END AS weight FROM source_registry WHERE enabled_by_default AND source_group <> 'schema_discipline_data'")
+@query("""SELECT dataset_name, default_inclusion_weight * CASE source_group WHEN 'domain_task_data' THEN 1.0 WHEN 'schema_discipline_data' THEN 0.2 ELSE 0.0 END AS weight
+FROM source_registry WHERE enabled_by_default AND source_group <> 'schema_discipline_data'""")
 def active_sources(spark, d):
     from .sources import registry as R
 
@@ -254,7 +256,8 @@ def hash_topn_sample(spark, d):
     return sampling.hash_top_n(records(spark, d).select("record_id"), "record_id", 17, 20)
 
 
-@query(f"WITH {RECORDS_SQL} SELECT record_id FROM (SELECT record_id, row_number() OVER (ORDER BY substr(sha256('17:' || record_id), 1, 16), record_id) AS i, count(*) OVER () AS n FROM rec) WHERE i <= greatest(1, floor(n * 0.3))")
+@query(f"""WITH {RECORDS_SQL} SELECT record_id FROM (SELECT record_id, row_number() OVER (ORDER BY substr(sha256('17:' || record_id), 1, 16), record_id) AS i, count(*) OVER () AS n
+FROM rec) WHERE i <= greatest(1, floor(n * 0.3))""")
 def exact_percent_subset(spark, d):
     return sampling.percent_subset(records(spark, d).select("record_id"), "record_id", 0.3)
 
@@ -293,7 +296,9 @@ def lineage_leak_anti(spark, d):
     return lineage.without_leaks(records(spark, d).select("record_id", "split", "lineage_root_id")).select("record_id", "split")
 
 
-@query(f"WITH {RECORDS_SQL}, {_HELD}, bad AS (SELECT record_id FROM rec WHERE split = 'train' AND coalesce(lineage_root_id, record_id) IN (SELECT root FROM held)) SELECT (SELECT count(*) FROM held) AS eval_root_count, (SELECT count(*) FROM bad) AS leaked_train_row_count, (SELECT string_agg(record_id, ',' ORDER BY record_id) FROM (SELECT DISTINCT record_id FROM bad ORDER BY 1 LIMIT 10)) AS leaked_examples, (SELECT count(*) = 0 FROM bad) AS is_lineage_clean")
+@query(f"""WITH {RECORDS_SQL}, {_HELD}, bad AS (SELECT record_id FROM rec WHERE split = 'train' AND coalesce(lineage_root_id, record_id) IN (SELECT root
+FROM held)) SELECT (SELECT count(*) FROM held) AS eval_root_count, (SELECT count(*) FROM bad) AS leaked_train_row_count, (SELECT string_agg(record_id, ',' ORDER BY record_id)
+FROM (SELECT DISTINCT record_id FROM bad ORDER BY 1 LIMIT 10)) AS leaked_examples, (SELECT count(*) = 0 FROM bad) AS is_lineage_clean""")
 def lineage_summary(spark, d):
     out = lineage.summary(records(spark, d).select("record_id", "split", "lineage_root_id"))
     return out.withColumn("leaked_examples", F.nullif(F.array_join("leaked_examples", ","), F.lit("")))
@@ -346,7 +351,8 @@ def macro_f1(spark, d):
 _EXACT_SQL = ", ".join(f"round(avg((p_{_C(f)} IS NOT DISTINCT FROM r_{_C(f)})::INT), 6) AS exact_{_C(f)}" for f in evaluate.EXACT_FIELDS)
 
 
-@query(_with(f"SELECT stage, count(*) AS rows, round(avg(parses::INT), 6) AS json_validity_rate, round(avg(valid::INT), 6) AS schema_pass_rate, round(avg((extra > 0)::INT), 6) AS hallucinated_rate, {_EXACT_SQL} FROM scored GROUP BY 1"))
+@query(_with(f"""SELECT stage, count(*) AS rows, round(avg(parses::INT), 6) AS json_validity_rate, round(avg(valid::INT), 6) AS schema_pass_rate,
+round(avg((extra > 0)::INT), 6) AS hallucinated_rate, {_EXACT_SQL} FROM scored GROUP BY 1"""))
 def evaluation_rates(spark, d):
     return evaluate.rates(predictions(spark, d), ["stage"])
 
@@ -365,7 +371,8 @@ def exact_match_missing_vs_null(spark, d):
     return rows.groupBy("event_type", said("a").alias("predicted"), said("b").alias("reference"), F.col("a").eqNullSafe(F.col("b")).alias("same")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query(_with("SELECT stage, field, reference, predicted, count(*) AS rows FROM (" + " UNION ALL ".join(f"SELECT stage, '{f}' AS field, coalesce(r_{_C(f)}, 'None') AS reference, coalesce(p_{_C(f)}, 'None') AS predicted FROM scored" for f in evaluate.EXACT_FIELDS) + ") GROUP BY ALL"))
+@query(_with("SELECT stage, field, reference, predicted, count(*) AS rows FROM ("
+    + " UNION ALL ".join(f"SELECT stage, '{f}' AS field, coalesce(r_{_C(f)}, 'None') AS reference, coalesce(p_{_C(f)}, 'None') AS predicted FROM scored" for f in evaluate.EXACT_FIELDS) + ") GROUP BY ALL"))
 def confusion_matrix(spark, d):
     return evaluate.confusion(predictions(spark, d), ["stage"])
 
@@ -387,7 +394,8 @@ def actions_set_f1(spark, d):
     return p.select("stage", "record_id", F.round(S.set_f1(F.col(f"p.{LIST_FIELD}"), F.col(f"r.{LIST_FIELD}")), 6).alias("actions_f1"))
 
 
-@query(_with("SELECT stage, record_id, round(summary_f1, 6) AS summary_f1, round(numeric_score, 6) AS numeric_score, round(semantic_score, 6) AS semantic_score, round(penalised_score, 6) AS penalised_score FROM scored"))
+@query(_with("""SELECT stage, record_id, round(summary_f1, 6) AS summary_f1, round(numeric_score, 6) AS numeric_score, round(semantic_score, 6) AS semantic_score,
+round(penalised_score, 6) AS penalised_score FROM scored"""))
 def candidate_scores(spark, d):
     return scored(spark, d).select("stage", "record_id", *[F.round(c, 6).alias(c) for c in ("summary_f1", "numeric_score", "semantic_score", "penalised_score")])
 
@@ -403,7 +411,8 @@ _JOIN3 = (
 )
 
 
-@query(_with("SELECT s.record_id, round(d.semantic_score - s.semantic_score, 6) AS delta, d.syntax - s.syntax AS syntax_delta FROM scored s JOIN scored d ON s.record_id = d.record_id AND s.stage = 'sft' AND d.stage = 'dpo'"))
+@query(_with("""SELECT s.record_id, round(d.semantic_score - s.semantic_score, 6) AS delta, d.syntax - s.syntax AS syntax_delta FROM scored s
+JOIN scored d ON s.record_id = d.record_id AND s.stage = 'sft' AND d.stage = 'dpo'"""))
 def stage_join_two(spark, d):
     rows = scored(spark, d)
     a, b = compare.staged(rows, "sft", "s", "semantic_score"), compare.staged(rows, "dpo", "d", "semantic_score")
@@ -435,7 +444,8 @@ def case_study_topk(spark, d):
     return compare.case_studies(compare.three_way(scored(spark, d), score="semantic_score"))
 
 
-@query(f"WITH {_JOIN3.replace('any_value(penalised_score)', 'any_value(semantic_score)')} SELECT record_id, round(d_score - s_score, 6) AS delta FROM j WHERE d_syntax < s_syntax OR d_score + 1e-9 < s_score ORDER BY round(d_score - s_score, 6), d_syntax, record_id LIMIT 5")
+@query(f"""WITH {_JOIN3.replace('any_value(penalised_score)', 'any_value(semantic_score)')} SELECT record_id, round(d_score - s_score, 6) AS delta
+FROM j WHERE d_syntax < s_syntax OR d_score + 1e-9 < s_score ORDER BY round(d_score - s_score, 6), d_syntax, record_id LIMIT 5""")
 def regressions_top5(spark, d):
     return compare.regressions(compare.three_way(scored(spark, d), score="semantic_score"))
 
@@ -443,7 +453,8 @@ def regressions_top5(spark, d):
 _PIVOT = ", ".join(f"max(f1) FILTER (stage = '{s}') AS {s}" for s in STAGES)
 
 
-@query(f"WITH {_PRF_SQL}, w AS (SELECT field, {_PIVOT} FROM m GROUP BY field) SELECT *, round(sft - baseline, 6) AS sft_minus_baseline, round(dpo - sft, 6) AS dpo_minus_sft, round(dpo - baseline, 6) AS dpo_minus_baseline FROM w WHERE baseline IS NOT NULL")
+@query(f"""WITH {_PRF_SQL}, w AS (SELECT field, {_PIVOT} FROM m GROUP BY field) SELECT *, round(sft - baseline, 6) AS sft_minus_baseline,
+round(dpo - sft, 6) AS dpo_minus_sft, round(dpo - baseline, 6) AS dpo_minus_baseline FROM w WHERE baseline IS NOT NULL""")
 def stage_delta_pivot(spark, d):
     return compare.stage_deltas(evaluate.prf(evaluate.field_counts(predictions(spark, d), ["stage"])), "field", "f1")
 
@@ -495,7 +506,8 @@ def pair_skip_reason(spark, d):
     return _gated(spark, d).groupBy(F.coalesce("skip_reason", F.lit("emitted")).alias("skip_reason")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query(f"WITH {_RANK_SQL} SELECT CASE WHEN grouping(source) = 1 THEN 'overall' ELSE source END AS source_dataset, count(*) AS rows, count_if(skip_reason IS NULL) AS pairs, round(count_if(skip_reason IS NULL) / count(*), 6) AS emission_rate FROM sk GROUP BY GROUPING SETS ((), (source))")
+@query(f"""WITH {_RANK_SQL} SELECT CASE WHEN grouping(source) = 1 THEN 'overall' ELSE source END AS source_dataset, count(*) AS rows,
+count_if(skip_reason IS NULL) AS pairs, round(count_if(skip_reason IS NULL) / count(*), 6) AS emission_rate FROM sk GROUP BY GROUPING SETS ((), (source))""")
 def pair_quality(spark, d):
     return preference.pair_quality(_gated(spark, d), "source_dataset")
 
@@ -513,7 +525,8 @@ def _told(field: str, sentence: str, unit: str | None) -> str:
     return f"WHEN c.{field} {'<' if field in S.SMALLER else '>'} r.{field} THEN '{sentence} (' || {shown[0]} || ' vs ' || {shown[1]} || '{unit}).'"
 
 
-@query(f"WITH {_RANK_SQL} SELECT record_id, CASE {' '.join(_told(*x) for x in S.REASONS)} ELSE '{S.LAST_REASON}' END AS rationale FROM sk JOIN rk c USING (record_id) JOIN rk r USING (record_id) WHERE skip_reason IS NULL AND c.rank = 1 AND r.candidate_index = ri")
+@query(f"""WITH {_RANK_SQL} SELECT record_id, CASE {' '.join(_told(*x) for x in S.REASONS)} ELSE '{S.LAST_REASON}' END AS rationale FROM sk
+JOIN rk c USING (record_id) JOIN rk r USING (record_id) WHERE skip_reason IS NULL AND c.rank = 1 AND r.candidate_index = ri""")
 def pair_rationale(spark, d):
     """One row per emitted pair with the text of the decision."""
     live = _gated(spark, d).where("skip_reason is null")
@@ -552,7 +565,8 @@ def length_bucket_cutoffs(spark, d):
     return _bucketed(spark, d).select("doc_id", "bucket_label")
 
 
-@query(f"WITH {_LEN}, p AS (SELECT bucket_label, quantile_disc(n_text, 0.99) AS p99, quantile_disc(n_text, 0.5) AS p50 FROM bk GROUP BY 1) SELECT bucket_label, p50, p99, round(p99 / nullif(p50, 0), 6) AS tail_ratio FROM p")
+@query(f"""WITH {_LEN}, p AS (SELECT bucket_label, quantile_disc(n_text, 0.99) AS p99, quantile_disc(n_text, 0.5) AS p50 FROM bk GROUP BY 1)
+SELECT bucket_label, p50, p99, round(p99 / nullif(p50, 0), 6) AS tail_ratio FROM p""")
 def bucket_tail_ratio(spark, d):
     ranks = profile.ordered_values(_bucketed(spark, d), ["bucket_label"], "n_text", {"p50": profile.rank_ceil(0.5), "p99": profile.rank_ceil(0.99)})
     return ranks.withColumn("tail_ratio", F.round(F.try_divide("p99", "p50"), 6))
@@ -570,7 +584,8 @@ def workload_mix(spark, d):
 _CONF = "c AS (SELECT l_linenumber AS max_num_seqs, l_returnflag AS flag, count(*)::DOUBLE AS throughput_rps, round(avg(l_extendedprice), 4) AS short_p99_ms, max(l_quantity)::INT AS max_num_batched_tokens FROM lineitem GROUP BY ALL)"
 
 
-@query(f"WITH {_CONF}, e AS (SELECT *, max(throughput_rps) OVER () AS best FROM c) SELECT max_num_seqs, flag, throughput_rps FROM e WHERE throughput_rps >= best * 0.5 ORDER BY short_p99_ms, throughput_rps DESC, max_num_batched_tokens, max_num_seqs LIMIT 1")
+@query(f"""WITH {_CONF}, e AS (SELECT *, max(throughput_rps) OVER () AS best FROM c) SELECT max_num_seqs, flag, throughput_rps FROM e
+WHERE throughput_rps >= best * 0.5 ORDER BY short_p99_ms, throughput_rps DESC, max_num_batched_tokens, max_num_seqs LIMIT 1""")
 def config_argmin(spark, d):
     rows = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("max_num_seqs"), F.col("l_returnflag").alias("flag")).agg(F.count(F.lit(1)).cast("double").alias("throughput_rps"), F.round(F.avg("l_extendedprice"), 4).alias("short_p99_ms"), F.max("l_quantity").cast("int").alias("max_num_batched_tokens"))
     return serving.tuned_config(rows, 0.5).select("max_num_seqs", "flag", "throughput_rps")
@@ -647,7 +662,8 @@ def _dress(at, what):
     return out
 
 
-@query(f"WITH {_COMPLETIONS} SELECT record_id, CASE WHEN completion IS NOT NULL THEN md5(CASE dress {' '.join(f"WHEN {i} THEN '{_q(a)}' || completion || '{_q(b)}'" if i > 2 else f'WHEN {i} THEN completion' for i, (a, b, _, _) in enumerate(DRESSES))} END) END AS digest FROM dressed")
+@query(f"""WITH {_COMPLETIONS} SELECT record_id, CASE WHEN completion IS NOT NULL THEN md5(CASE dress {' '.join(f"WHEN {i} THEN '{_q(a)}' || completion || '{_q(b)}'" if i > 2 else f'WHEN {i} THEN completion' for i, (a, b, _, _) in enumerate(DRESSES))} END) END AS digest
+FROM dressed""")
 def strip_fences(spark, d):
     df = completions(spark, d, len(DRESSES))
     dressed = F.concat(_dress(F.col("dress"), 0), F.col("completion"), _dress(F.col("dress"), 1))
@@ -720,13 +736,16 @@ def context_budget(spark, d):
     return df.withColumn("b", serving.context_budget(F.col("u") + 40, F.col("u"), max_len=512)).select("doc_id", "b.kept", "b.output_tokens", "b.reason")
 
 
-@query("SELECT event_id::DOUBLE AS step, 'value' AS metric, value FROM events WHERE value IS NOT NULL UNION ALL SELECT event_id, 'k', try_cast(json_extract_string(props, '$.k') AS DOUBLE) FROM events WHERE try_cast(json_extract_string(props, '$.k') AS DOUBLE) IS NOT NULL")
+@query("""SELECT event_id::DOUBLE AS step, 'value' AS metric, value FROM events WHERE value IS NOT NULL UNION ALL SELECT event_id, 'k', try_cast(json_extract_string(props, '$.k') AS DOUBLE)
+FROM events WHERE try_cast(json_extract_string(props, '$.k') AS DOUBLE) IS NOT NULL""")
 def history_unpivot(spark, d):
     log = table(spark, d, "events").select("event_id", F.col("value").cast("string").alias("value"), F.get_json_object("props", "$.k").alias("k"))
     return serving.history(log, "event_id", ["value", "k"])
 
 
-@query(f"""WITH {RECORDS_SQL}, v AS (SELECT record_id, ('0x' || substr(sha256('17:' || record_id), 1, 16))::HUGEINT % 3 AS i FROM rec) SELECT record_id || '-stress-' || (['{"', '".join(augment.STRESS_KINDS)}'])[(i + 1)::BIGINT] AS record_id, record_id AS lineage_record_id FROM v""")
+@query(f"""WITH {RECORDS_SQL}, v AS (SELECT record_id, ('0x' || substr(sha256('17:' || record_id), 1, 16))::HUGEINT % 3 AS i FROM rec)
+SELECT record_id || '-stress-' || (['{"', '".join(augment.STRESS_KINDS)}'])[(i + 1)::BIGINT] AS record_id, record_id AS lineage_record_id
+FROM v""")
 def stress_variants(spark, d):
     return augment.stress_rows(records(spark, d)).select("record_id", "lineage_record_id")
 

@@ -55,8 +55,11 @@ def build(raw: dict[Source, DataFrame] | list[tuple[Source, DataFrame]], profile
         more = augment.augmented(base)
         kinds = {f.name: f.dataType for f in rows.schema["metadata"].dataType}
         given = {
-            "source_group": F.lit("synthetic_augmentation_data"), "source_type": F.lit("generated"), "source_record_id": F.col("record_id"), "source_uri_or_path": F.lit(f"generated://{augment.SOURCE}"), "adapter_name": F.lit(augment.SOURCE), "license_note": F.lit("Generated train-only augmentation derived from accepted canonical task rows."),
-            "synthetic": F.lit(True), "augmentation_kind": F.col("augmentation_kind"), "parent_record_id": F.col("parent_record_id"), "lineage_root_id": F.col("lineage_root_id"), "split_origin": F.lit("parent"), "mapping_version": F.lit("v1"), "ingested_at_utc": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"), "raw_hash": F.col("raw_hash"), "augmentation_index": F.col("augmentation_index"),
+            "source_group": F.lit("synthetic_augmentation_data"), "source_type": F.lit("generated"), "source_record_id": F.col("record_id"),
+            "source_uri_or_path": F.lit(f"generated://{augment.SOURCE}"), "adapter_name": F.lit(augment.SOURCE),
+            "license_note": F.lit("Generated train-only augmentation derived from accepted canonical task rows."),
+            "synthetic": F.lit(True), "augmentation_kind": F.col("augmentation_kind"), "parent_record_id": F.col("parent_record_id"), "lineage_root_id": F.col("lineage_root_id"),
+            "split_origin": F.lit("parent"), "mapping_version": F.lit("v1"), "ingested_at_utc": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"), "raw_hash": F.col("raw_hash"), "augmentation_index": F.col("augmentation_index"),
         }
         meta = F.struct(*[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds.items()])
         train = train.unionByName(more.select("record_id", "split", "source_dataset", "input_text", F.col("target").cast(rows.schema["target"].dataType).alias("target"), meta.alias("metadata")))

@@ -43,7 +43,8 @@ def stable_ids(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", X.stable_id("doc", F.col("text")).alias("stable_id"), X.excerpt(F.col("text")).alias("excerpt"))
 
 
-@query("""WITH h AS (SELECT lower(trim(coalesce(split, ''))) AS h FROM support_tickets) SELECT CASE WHEN h IN ('train', 'training') THEN 'train' WHEN h IN ('eval', 'evaluation', 'test', 'validation') THEN 'eval' END AS split, count(*) AS rows FROM h GROUP BY 1""")
+@query("""WITH h AS (SELECT lower(trim(coalesce(split, ''))) AS h FROM support_tickets) SELECT CASE WHEN h IN ('train', 'training') THEN 'train'
+WHEN h IN ('eval', 'evaluation', 'test', 'validation') THEN 'eval' END AS split, count(*) AS rows FROM h GROUP BY 1""")
 def split_hints(spark, d):
     return table(spark, d, "support_tickets").groupBy(X.split_hint(F.col("split")).alias("split")).agg(F.count(F.lit(1)).alias("rows"))
 
@@ -60,13 +61,17 @@ def slugs(spark, d):
     return table(spark, d, "documents").where("source is not null").select("source", X.slug(F.col("source")).alias("slug")).distinct()
 
 
-@query(f"WITH {RECORDS_SQL} SELECT record_id, array_to_string(list_filter([t.issue_category, t.priority, array_to_string(t.actions_requested, ' ')], lambda x: x IS NOT NULL AND x <> ''), ' ') AS tags FROM rec")
+@query(f"""WITH {RECORDS_SQL} SELECT record_id, array_to_string(list_filter([t.issue_category, t.priority, array_to_string(t.actions_requested, ' ')], lambda x: x IS NOT NULL AND x <> ''), ' ') AS tags
+FROM rec""")
 def tags_flatten(spark, d):
     parts = [F.col("target.issue_category"), F.col("target.priority"), F.array_join("target.actions_requested", " ")]
     return records(spark, d).select("record_id", F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts]).alias("tags"))
 
 
-@query("SELECT DISTINCT record_id, json_extract_string(completion, '$.issue_category') AS issue_category, json_extract_string(completion, '$.summary') AS summary, 1 + len(json_keys(completion)) + CASE WHEN json_type(completion, '$.customer') = 'OBJECT' THEN len(json_keys(completion, '$.customer')) + 1 ELSE 0 END + CASE WHEN json_array_length(completion, '$.actions_requested') > 0 THEN json_array_length(completion, '$.actions_requested')::BIGINT + 1 ELSE 0 END + 1 AS lines FROM support_tickets_sft_prompt_completion WHERE completion IS NOT NULL")
+@query("""SELECT DISTINCT record_id, json_extract_string(completion, '$.issue_category') AS issue_category, json_extract_string(completion, '$.summary') AS summary, 1 + len(json_keys(completion)) +
+CASE WHEN json_type(completion, '$.customer') = 'OBJECT' THEN len(json_keys(completion, '$.customer')) + 1 ELSE 0 END + CASE
+WHEN json_array_length(completion, '$.actions_requested') > 0 THEN json_array_length(completion, '$.actions_requested')::BIGINT + 1 ELSE 0 END + 1 AS lines
+FROM support_tickets_sft_prompt_completion WHERE completion IS NOT NULL""")
 def canonical_json(spark, d):
     """Payloads as sorted, indented JSON: what they hold, and their number of lines."""
     df = table(spark, d, "support_tickets_sft_prompt_completion").where("completion is not null").select("record_id", udfs.canonical_json("completion").alias("j")).distinct()
@@ -86,7 +91,8 @@ def _labels_sql(category: str, product: str, issue: str, level: str) -> str:
 _T = {"text": _TRIM("input_text"), "level": "coalesce(t.priority, '')", "kind": "coalesce(t.issue_category, '')", "area": "coalesce(t.product_area, '')"}
 
 
-@query(f"WITH {RECORDS_SQL}, l AS (SELECT record_id, {_labels_sql(_T['kind'], _T['area'], _T['text'], _T['level'])} FROM rec) SELECT *, issue_category <> 'general_question' OR priority <> 'low' AS requires_human_followup FROM l")
+@query(f"""WITH {RECORDS_SQL}, l AS (SELECT record_id, {_labels_sql(_T['kind'], _T['area'], _T['text'], _T['level'])} FROM rec) SELECT *, issue_category <> 'general_question' OR priority <> 'low' AS requires_human_followup
+FROM l""")
 def target_builder(spark, d):
     none, of = F.lit(None).cast("string"), lambda c: F.coalesce(F.col(f"target.{c}"), F.lit(""))
     t = X.target_from_text(F.col("target.summary"), X.clean(F.col("input_text")), of("priority"), of("issue_category"), of("product_area"), none, none, none)
@@ -107,7 +113,8 @@ _C_REC = "(SELECT * FROM rec WHERE source = 'consumer_finance_complaints')"
 _C_CAT = f"array_to_string(list_filter([{_T['area']}, {_T['kind']}], lambda x: x <> ''), ' ')"
 
 
-@query(f"""WITH {RECORDS_SQL} SELECT record_id, CASE WHEN {_T['text']} = '' THEN 'missing_consumer_complaint_narrative' END AS reason, left(coalesce(nullif({_T['area']}, ''), 'Consumer complaint') || ': ' || coalesce(nullif({_T['kind']}, ''), 'reported issue'), 140) AS summary, {_labels_sql(_C_CAT, _T['area'], _T['text'], "''")}, true AS requires_human_followup FROM {_C_REC}""")
+@query(f"""WITH {RECORDS_SQL} SELECT record_id, CASE WHEN {_T['text']} = '' THEN 'missing_consumer_complaint_narrative' END AS reason, left(coalesce(nullif({_T['area']}, ''), 'Consumer complaint') || ': ' || coalesce(nullif({_T['kind']}, ''), 'reported issue'), 140) AS summary, {_labels_sql(_C_CAT, _T['area'], _T['text'], "''")}, true AS requires_human_followup
+FROM {_C_REC}""")
 def adapter_complaints(spark, d):
     out = adapters.complaints(_complaint_rows(spark, d))
     return out.select("record_id", "reason", *[F.col(f"target.{c}").alias(c) for c in ("summary", "issue_category", "priority", "product_area", "sentiment", "requires_human_followup")])
@@ -141,7 +148,8 @@ def _manifest(spark, d):
     return table(spark, d, "support_tickets_eval_manifest").where("record_id is not null").select("record_id", "prompt", "messages", "input_text", "reference_json").distinct()
 
 
-@query(f"""SELECT record_id, len(messages) >= 2 AND messages[-1].role = 'assistant' AS talk, CASE WHEN len(messages) >= 2 AND messages[-1].role = 'assistant' THEN len(messages) - 1 END::INT AS turns, md5(CASE WHEN len(messages) >= 2 AND messages[-1].role = 'assistant' THEN messages[-1].content END) AS digest FROM {_EVAL} WHERE messages IS NOT NULL""")
+@query(f"""SELECT record_id, len(messages) >= 2 AND messages[-1].role = 'assistant' AS talk, CASE WHEN len(messages) >= 2 AND messages[-1].role = 'assistant' THEN len(messages) - 1 END::INT AS turns, md5(CASE
+WHEN len(messages) >= 2 AND messages[-1].role = 'assistant' THEN messages[-1].content END) AS digest FROM {_EVAL} WHERE messages IS NOT NULL""")
 def conversations(spark, d):
     m = F.col("messages")
     talk = _manifest(spark, d).where("messages is not null").withColumn("ok", (F.size(m) >= 2) & (F.try_element_at(m, F.lit(-1))["role"] == "assistant")).withColumn("c", X.conversation(m))
@@ -154,7 +162,8 @@ def prompt_text_pick(spark, d):
     return df.select("record_id", F.md5(manifests.prompt_text(df)).alias("digest"))
 
 
-@query(f"SELECT record_id, md5(CASE hash_ WHEN 0 THEN prompt WHEN 1 THEN array_to_string(list_transform(messages, lambda m: coalesce(m.content, '')), chr(10)) ELSE coalesce(input_text, '') END) AS digest FROM (SELECT *, ('0x' || substr(md5(record_id), 1, 2))::INT % 3 AS hash_ FROM {_EVAL}) WHERE prompt IS NOT NULL AND messages IS NOT NULL")
+@query(f"""SELECT record_id, md5(CASE hash_ WHEN 0 THEN prompt WHEN 1 THEN array_to_string(list_transform(messages, lambda m: coalesce(m.content, '')), chr(10)) ELSE coalesce(input_text, '') END) AS digest
+FROM (SELECT *, ('0x' || substr(md5(record_id), 1, 2))::INT % 3 AS hash_ FROM {_EVAL}) WHERE prompt IS NOT NULL AND messages IS NOT NULL""")
 def prompt_text_fallbacks(spark, d):
     """The same pick over rows of which a third have no prompt and a third neither prompt nor messages."""
     at = F.conv(F.substring(F.md5("record_id"), 1, 2), 16, 10).cast("int") % 3
@@ -181,13 +190,15 @@ def exchange_roundtrip(spark, d):
     return back.select("record_id", F.md5("input_text").alias("digest"), "reason", F.col("target.priority").alias("priority"), (F.col("metadata")["source_system"] == X.SYSTEM_TEXT).alias("kept"))
 
 
-@query(f"WITH {RECORDS_SQL} SELECT record_id, md5('{_q(SYSTEM)}' || chr(10) || chr(10) || '{_q(USER)}' || {_T['text']} || chr(10)) AS digest, t.issue_category AS issue_category, 'todo' AS labeling_status, true AS waits FROM rec")
+@query(f"""WITH {RECORDS_SQL} SELECT record_id, md5('{_q(SYSTEM)}' || chr(10) || chr(10) || '{_q(USER)}' || {_T['text']} || chr(10)) AS digest, t.issue_category AS issue_category, 'todo' AS labeling_status, true AS waits
+FROM rec""")
 def preference_placeholders(spark, d):
     out = manifests.preference_placeholders(records(spark, d))
     return out.select("record_id", F.md5("prompt").alias("digest"), F.get_json_object("reference_completion", "$.issue_category").alias("issue_category"), "labeling_status", (F.col("chosen").isNull() & F.col("rejected").isNull()).alias("waits"))
 
 
-@query(f"""WITH {RECORDS_SQL} SELECT record_id, split, md5('{_q(SYSTEM)}' || chr(10) || chr(10) || '{_q(USER)}' || {_T['text']} || chr(10)) AS prompt, md5('{_q(USER)}' || {_T['text']}) AS user_turn, 2 AS turns, t.sentiment AS sentiment FROM rec WHERE split = 'eval'""")
+@query(f"""WITH {RECORDS_SQL} SELECT record_id, split, md5('{_q(SYSTEM)}' || chr(10) || chr(10) || '{_q(USER)}' || {_T['text']} || chr(10)) AS prompt, md5('{_q(USER)}' || {_T['text']}) AS user_turn, 2 AS turns, t.sentiment AS sentiment
+FROM rec WHERE split = 'eval'""")
 def eval_projection(spark, d):
     rec = manifests.split_rows(records(spark, d).withColumn("metadata", F.lit(None)), "eval")
     out = sinks.eval_manifest(rec)
@@ -213,7 +224,9 @@ def eval_training_manifest(spark, d):
     return rows.select("record_id", F.md5("prompt").alias("prompt"), F.md5("completion").alias("completion"))
 
 
-@query(f"SELECT CASE WHEN named THEN record_id ELSE 'eval-' || row_number() OVER (ORDER BY record_id, md5(coalesce(prompt, ''))) END AS record_id, CASE WHEN len(messages) >= 2 AND messages[-1].role = 'assistant' THEN len(messages) - 1 END::INT AS turns FROM (SELECT *, ('0x' || substr(md5(record_id), 1, 1))::INT % 2 = 0 AS named FROM {_EVAL})")
+@query(f"""SELECT CASE WHEN named THEN record_id ELSE 'eval-' || row_number() OVER (ORDER BY record_id, md5(coalesce(prompt, ''))) END AS record_id,
+CASE WHEN len(messages) >= 2 AND messages[-1].role = 'assistant' THEN len(messages) - 1 END::INT AS turns FROM (SELECT *, ('0x' || substr(md5(record_id), 1, 1))::INT % 2 = 0 AS named
+FROM {_EVAL})""")
 def messages_manifest(spark, d):
     """Rows in messages shape of which half have lost their id and are named by their place."""
     keep = F.conv(F.substring(F.md5("record_id"), 1, 1), 16, 10).cast("int") % 2 == 0
@@ -232,7 +245,8 @@ def preference_source(spark, d):
     return manifests.split_rows(records(spark, d), "train", percent=0.1).select("record_id")
 
 
-@query(f"WITH {_RANK_SQL} SELECT record_id, md5(c.raw_output) AS chosen, md5(r.raw_output) AS rejected FROM sk JOIN rk c USING (record_id) JOIN rk r USING (record_id) WHERE skip_reason IS NULL AND c.rank = 1 AND r.candidate_index = ri AND c.raw_output <> '' AND r.raw_output <> ''")
+@query(f"""WITH {_RANK_SQL} SELECT record_id, md5(c.raw_output) AS chosen, md5(r.raw_output) AS rejected FROM sk JOIN rk c USING (record_id)
+JOIN rk r USING (record_id) WHERE skip_reason IS NULL AND c.rank = 1 AND r.candidate_index = ri AND c.raw_output <> '' AND r.raw_output <> ''""")
 def preference_manifest(spark, d):
     live = _gated(spark, d).where("skip_reason is null").join(records(spark, d).select("record_id", X.prompt(F.col("input_text")).alias("prompt")), "record_id")
     none = F.lit(None).cast("string")
@@ -277,7 +291,9 @@ def _summary(spark, d):
     return report.stage_summary(evaluate.rates(rows, ["stage"]), evaluate.prf(counts), evaluate.macro(counts, ["stage"]))
 
 
-@query(f"WITH {_MICRO} SELECT stage, round(json_validity_rate, 4) AS json_validity_rate, round(schema_pass_rate, 4) AS schema_pass_rate, round(hallucinated_rate, 4) AS hallucinated_rate, round(micro_f1, 4) AS micro_f1, round(macro_f1, 4) AS macro_f1 FROM ra JOIN mi USING (stage) JOIN ma USING (stage)")
+@query(f"""WITH {_MICRO} SELECT stage, round(json_validity_rate, 4) AS json_validity_rate, round(schema_pass_rate, 4) AS schema_pass_rate,
+round(hallucinated_rate, 4) AS hallucinated_rate, round(micro_f1, 4) AS micro_f1, round(macro_f1, 4) AS macro_f1 FROM ra JOIN mi USING (stage)
+JOIN ma USING (stage)""")
 def stage_table(spark, d):
     return report.stage_table(_summary(spark, d)).drop("latency_mean_ms", "latency_p95_ms")
 
@@ -287,7 +303,8 @@ def stage_summary(spark, d):
     return _summary(spark, d).select("stage", "rows", F.col("syntax.json_validity_rate").alias("json_validity_rate"), F.col("semantic.micro_f1").alias("micro_f1"), F.col("semantic.macro_f1").alias("macro_f1"))
 
 
-@query("SELECT build_label, source_dataset, split, coalesce(row_count, 0) AS row_count, coalesce(synthetic_row_count, 0) AS synthetic_row_count, round(coalesce(synthetic_row_rate, 0.0), 4) AS synthetic_row_rate FROM support_tickets_dataset_composition")
+@query("""SELECT build_label, source_dataset, split, coalesce(row_count, 0) AS row_count, coalesce(synthetic_row_count, 0) AS synthetic_row_count,
+round(coalesce(synthetic_row_rate, 0.0), 4) AS synthetic_row_rate FROM support_tickets_dataset_composition""")
 def composition_table(spark, d):
     df = table(spark, d, "support_tickets_dataset_composition").withColumn("source_dataset", F.struct("build_label", "source_dataset"))
     return report.composition_table(df).select("source_dataset.*", "split", "row_count", "synthetic_row_count", "synthetic_row_rate")
@@ -334,7 +351,9 @@ def median_and_p90(spark, d):
 # Serving.
 
 
-@query(f"WITH {SCORED_SQL}, s AS (SELECT record_id FROM (SELECT record_id, {_HASHED} AS i FROM rec)), x AS (SELECT * FROM scored WHERE stage = 'dpo') SELECT count(*) AS sampled, round(avg(parses::INT), 6) AS json_parse_pass_rate, round(avg(valid::INT), 6) AS schema_pass_rate, round(avg((p_priority = r_priority)::INT), 6) AS priority FROM x JOIN s USING (record_id)")
+@query(f"""WITH {SCORED_SQL}, s AS (SELECT record_id FROM (SELECT record_id, {_HASHED} AS i FROM rec)), x AS (SELECT * FROM scored WHERE stage = 'dpo')
+SELECT count(*) AS sampled, round(avg(parses::INT), 6) AS json_parse_pass_rate, round(avg(valid::INT), 6) AS schema_pass_rate,
+round(avg((p_priority = r_priority)::INT), 6) AS priority FROM x JOIN s USING (record_id)""")
 def correctness_sample(spark, d):
     rows = predictions(spark, d).where("stage = 'dpo'").withColumn("priority", F.col("p.priority") == F.col("r.priority"))
     return serving.correctness(rows, records(spark, d).select("record_id"), ["priority"])
@@ -376,7 +395,8 @@ def training_series(spark, d):
     return promptsets.training_series(log)
 
 
-@query(f"""WITH {RECORDS_SQL}, n AS (SELECT record_id, input_text, row_number() OVER (ORDER BY substr(sha256('17:' || record_id), 1, 16), record_id) AS i FROM rec WHERE input_text IS NOT NULL) SELECT record_id, 'natural' AS length_family FROM n WHERE i <= 200""")
+@query(f"""WITH {RECORDS_SQL}, n AS (SELECT record_id, input_text, row_number() OVER (ORDER BY substr(sha256('17:' || record_id), 1, 16), record_id) AS i
+FROM rec WHERE input_text IS NOT NULL) SELECT record_id, 'natural' AS length_family FROM n WHERE i <= 200""")
 def promptset_natural(spark, d):
     """The natural prompts of a benchmark set, in hash order."""
     return promptsets.promptset(records(spark, d), 200, 50).where("length_family = 'natural'").select("record_id", "length_family")
@@ -390,7 +410,8 @@ def bucket_filter(spark, d):
 # Generation.
 
 
-@query(f"SELECT record_id, 'other' AS issue_category, true AS schema_is_valid, false AS json_recovery_used, 0 AS missing, 'placeholder' AS backend FROM (SELECT DISTINCT record_id, source_dataset, input_text, prompt FROM support_tickets_eval_manifest WHERE record_id IS NOT NULL)")
+@query(f"""SELECT record_id, 'other' AS issue_category, true AS schema_is_valid, false AS json_recovery_used, 0 AS missing, 'placeholder' AS backend
+FROM (SELECT DISTINCT record_id, source_dataset, input_text, prompt FROM support_tickets_eval_manifest WHERE record_id IS NOT NULL)""")
 def prediction_rows(spark, d):
     """Every evaluation row through the placeholder backend, as prediction rows."""
     rows = table(spark, d, "support_tickets_eval_manifest").where("record_id is not null").groupBy("record_id", "source_dataset", "input_text", "prompt").agg(F.any_value("reference_json").alias("reference_payload"), F.lit(17).alias("seed"))
@@ -427,7 +448,9 @@ def csv_union_roundtrip(spark, d):
     return readers.read_csv(spark, path).select("kind", "key", "name", F.nullif("segment_of_part", F.lit("")).alias("segment_of_part"))
 
 
-@query(f"WITH {RECORDS_SQL} SELECT 'canonical' AS product, count(*) AS rows FROM rec UNION ALL SELECT 'sft_prompt_completion', count_if(split = 'train') FROM rec UNION ALL SELECT 'sft_messages', count_if(split = 'train') FROM rec UNION ALL SELECT 'eval_manifest', count_if(split = 'eval') FROM rec")
+@query(f"""WITH {RECORDS_SQL} SELECT 'canonical' AS product, count(*) AS rows FROM rec UNION ALL SELECT 'sft_prompt_completion', count_if(split = 'train')
+FROM rec UNION ALL SELECT 'sft_messages', count_if(split = 'train') FROM rec UNION ALL SELECT 'eval_manifest', count_if(split = 'eval')
+FROM rec""")
 def export_products(spark, d):
     """The four products of a build, written and read back."""
     paths = sinks.export(records(spark, d).withColumn("metadata", F.struct("synthetic", "lineage_root_id")), scratch(spark, "export"))
@@ -578,7 +601,9 @@ def augment_prefix(spark, d):
     return _variants(spark, d, 700).select("parent_record_id", "augmentation_kind", "augmentation_index")
 
 
-@query(f"""WITH {RECORDS_SQL}, {_VARIANTS} SELECT i AS augmentation_index, CASE WHEN NOT (hides AND a <> input_text) THEN t.customer.name END AS name, CASE WHEN NOT (hides AND b <> a) THEN t.customer.account_id END AS account_id, CASE WHEN NOT hides THEN t.customer.plan_tier END AS plan_tier, t.issue_category AS issue_category FROM v""")
+@query(f"""WITH {RECORDS_SQL}, {_VARIANTS} SELECT i AS augmentation_index, CASE WHEN NOT (hides AND a <> input_text) THEN t.customer.name END AS name,
+CASE WHEN NOT (hides AND b <> a) THEN t.customer.account_id END AS account_id, CASE WHEN NOT hides THEN t.customer.plan_tier END AS plan_tier, t.issue_category AS issue_category
+FROM v""")
 def augment_targets(spark, d):
     """What is hidden in a variant's text is null in its target; the rest of the target stays."""
     c = F.col("target.customer")

@@ -108,7 +108,11 @@ def canonical(drafts: DataFrame, source, eval_ratio: float, mapping_version: str
     """Accepted drafts as canonical rows with split and provenance; one ingest time per query."""
     ok = drafts.where("reason is null")
     meta = F.struct(
-        F.lit(source.source_group).alias("source_group"), F.lit(source.source_type).alias("source_type"), F.col("record_id").alias("source_record_id"), F.lit(source.source_uri_or_path).alias("source_uri_or_path"), F.lit(source.adapter_name).alias("adapter_name"), F.lit(source.license_note).alias("license_note"), F.lit(False).alias("synthetic"), F.lit(None).cast("string").alias("augmentation_kind"),
-        F.lit(None).cast("string").alias("parent_record_id"), F.col("record_id").alias("lineage_root_id"), F.coalesce(X.split_hint(F.col("split_hint")), F.lit("stable_hash")).alias("split_origin"), F.lit(mapping_version).alias("mapping_version"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("ingested_at_utc"), F.sha1("raw_json").alias("raw_hash"), F.lit(None).cast("int").alias("augmentation_index"), "extras",
+        F.lit(source.source_group).alias("source_group"), F.lit(source.source_type).alias("source_type"), F.col("record_id").alias("source_record_id"), F.lit(source.source_uri_or_path).alias("source_uri_or_path"),
+        F.lit(source.adapter_name).alias("adapter_name"), F.lit(source.license_note).alias("license_note"), F.lit(False).alias("synthetic"),
+        F.lit(None).cast("string").alias("augmentation_kind"),
+        F.lit(None).cast("string").alias("parent_record_id"), F.col("record_id").alias("lineage_root_id"),
+        F.coalesce(X.split_hint(F.col("split_hint")), F.lit("stable_hash")).alias("split_origin"), F.lit(mapping_version).alias("mapping_version"),
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("ingested_at_utc"), F.sha1("raw_json").alias("raw_hash"), F.lit(None).cast("int").alias("augmentation_index"), "extras",
     )
     return ok.select("record_id", X.hash_split(F.lit(source.dataset_name), F.col("record_id"), F.col("split_hint"), eval_ratio).alias("split"), F.lit(source.dataset_name).alias("source_dataset"), "input_text", "target", meta.alias("metadata"))
