@@ -169,20 +169,30 @@ def test_hot_class_is_told_without_pairs(spark):
     assert told["h0", "held_out"] == (70, 1, 1.0) and told["t0", "train"] == (60, 0, 1.0) and told["n", "train"][:2] == (0, 1) and len(told) == 131
 
 
-@pytest.mark.parametrize("empty", [True, False])
-def test_hot_lists_are_cut(spark, monkeypatch, empty):
-    """Sets of which a third lie in one equality list, that of parts without a frequent word included."""
+@pytest.mark.parametrize("changed", [1, 6])
+def test_hot_lists_are_cut(spark, monkeypatch, changed):
+    """Families of texts of frequent words that agree in whole parts: long equality lists are cut into parts."""
     monkeypatch.setattr(neardup, "LEAST_FREQUENT", 3)
     monkeypatch.setattr(neardup, "TOP_FREQUENT", 3)
-    monkeypatch.setattr(P, "LIST_POSTINGS", 25)
+    monkeypatch.setattr(P, "LIST_POSTINGS", 15)
     monkeypatch.setattr(P, "LOOK", 1)
     rnd = random.Random(3)
-    few = [f"h{i}" for i in range(9)]
-    rows = [(f"r{i:03d}", " ".join(rnd.sample(few, rnd.randrange(2, 5) if empty else 7) + [f"v{rnd.randrange(900)}"] * rnd.randrange(2))) for i in range(240)]
+    hot = [f"h{i}" for i in range(60)]
+    rows = []
+    for family in range(6):
+        base = rnd.sample(hot, 24)
+        for i in range(40):
+            w = list(base)
+            for k in rnd.sample(range(24), rnd.randrange(changed + 1)):
+                w[k] = rnd.choice(hot)
+            rows.append((f"r{family}{i:02d}", " ".join(w + [f"v{rnd.randrange(900)}" for _ in range(rnd.randrange(3))])))
+    rows += [(f"s{i}", " ".join(rnd.sample(hot, rnd.randrange(1, 4)))) for i in range(60)]
     members, sets = neardup.classes(spark.createDataFrame(rows, "record_id string, text string"), "record_id", "text")
-    order, n, per_set = neardup.plan(sets, P.Similarity())
+    order, n, _ = neardup.plan(sets, P.Similarity())
     lists = P.long_lists(sets, lambda b: neardup.emitted(b, order), n, "hi")
-    assert len(lists[0]) and lists[1].min() > 1
+    sent = neardup.emitted(sets.select("hi", "toks").toPandas(), order)
+    longest = lambda rows: np.unique(rows["key"][rows["kind"] == 1], return_counts=True)[1].max()
+    assert order.parts > 1 and lists[1].min() > 1 and longest(P.cut_long(sent, lists)) < 2 * 2 * P.LIST_POSTINGS < 3 * longest(sent)
     assert {tuple(r) for r in neardup.record_pairs(members, neardup.similar_classes(sets)).collect()} == brute(rows)
 
 
